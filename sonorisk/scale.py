@@ -28,7 +28,7 @@ SINGLE_TASK_BYTES = 256 << 20
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df``; reads statistics only, runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
