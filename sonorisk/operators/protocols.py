@@ -148,8 +148,16 @@ def score_stability(ws: Column, threshold: Column) -> tuple[Column, Column]:
     """(population std, decision flips per minute) over scored windows; NULL under two of them."""
     p = scored_windows(ws)
     n = F.size(p)
-    mean = F.aggregate(p, F.lit(0.0), lambda a, x: a + x) / F.nullif(n, F.lit(0))
-    var = F.aggregate(p, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.nullif(n, F.lit(0))
+    # one pass: running count, mean and squared deviation
+    start = F.struct(F.lit(0.0).alias("k"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(a: Column, x: Column) -> Column:
+        k = a["k"] + 1
+        mean = a["mean"] + (x - a["mean"]) / k
+        return F.struct(k.alias("k"), mean.alias("mean"), (a["m2"] + (x - a["mean"]) * (x - mean)).alias("m2"))
+
+    acc = F.aggregate(p, start, add)
+    var = acc["m2"] / F.nullif(acc["k"], F.lit(0.0))
     flags = F.transform(p, lambda x: x >= threshold)
     pairs = F.zip_with(F.slice(flags, 1, F.greatest(n - 1, F.lit(0))), F.slice(flags, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: a != b)
     flips = F.size(F.filter(pairs, lambda x: x))

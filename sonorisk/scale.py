@@ -17,6 +17,7 @@ are read twice; a lost executor or a pruned second read can then not move a boun
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 import pandas as pd
@@ -46,6 +47,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table, under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts the lineage and survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -159,3 +165,72 @@ def exact_quantiles(
             for m in probs
         ],
     )
+
+
+def running_last(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], cols: Sequence[str], limit: int | None = None
+) -> DataFrame:
+    """Replace each of ``cols`` by its last non-NULL value so far in the key (an as-of carry)."""
+    keys, cols = list(keys), list(cols)
+    if fits_one_task(df, limit):
+        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+    n = _num_partitions(df)
+    by = [*keys, *order]
+    ranged = materialize(
+        df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id())
+    )
+
+    def fill(batches):
+        last, carry = None, {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            k = pdf[keys]
+            run = (k != k.shift()).any(axis=1).cumsum() if keys else pd.Series(0, index=pdf.index)
+            filled = pdf.groupby(run.values)[cols].ffill()
+            if (tuple(k.iloc[0]) if keys else ()) == last:
+                first = (run == run.iloc[0]).values
+                for c in cols:
+                    if not pd.isna(carry[c]):
+                        filled[c] = filled[c].where(~(first & filled[c].isna().values), carry[c])
+            last, carry = (tuple(k.iloc[-1]) if keys else ()), {c: filled[c].iloc[-1] for c in cols}
+            yield pdf.assign(**{c: filled[c] for c in cols})
+
+    local = ranged.mapInPandas(fill, ranged.schema)
+    tails = ranged.groupBy(*keys, "_part").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_pos"))).alias(f"_t_{c}") for c in cols])
+    w = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = tails.select(*keys, "_part", *[F.last(f"_t_{c}", ignorenulls=True).over(w).alias(f"_b_{c}") for c in cols])
+    j = local.join(before, [*keys, "_part"])
+    return j.select(*[F.coalesce(F.col(c), F.col(f"_b_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def fold_sorted(df: DataFrame, key: Sequence[str], order: Sequence[str], step, schema: T.StructType | str) -> DataFrame:
+    """Sequential fold of each key in order, with constant memory per task.
+
+    ``step(pdf, state) -> (out_pdf, state)`` receives consecutive rows of one key; ``state`` is None at
+    the start of a key.  Rows stream through a sorted partition, so a long key is never held whole.
+    """
+    key = list(key)
+
+    def run(batches):
+        last, state = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            k = pdf[key]
+            change = (k != k.shift()).any(axis=1)
+            starts = [i for i, c in enumerate(change.to_numpy()) if c]
+            outs = []
+            for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True):
+                ident = tuple(k.iloc[a])
+                if ident != last:
+                    state = None
+                out, state = step(pdf.iloc[a:b], state)
+                last = ident
+                if out is not None and len(out):
+                    outs.append(out)
+            if outs:
+                yield pd.concat(outs, ignore_index=True)
+
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
