@@ -43,6 +43,11 @@ def noisy_or(weights: list[Column]) -> Column:
     return 1 - reduce(lambda acc, w: acc * (1 - F.coalesce(w, F.lit(0.0))), weights, F.lit(1.0))
 
 
+def half_even(x: Column, digits: int = 4) -> Column:
+    """Half-to-even rounding that first drops binary noise beyond ten decimals."""
+    return F.bround(F.round(x, 10), digits)
+
+
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson score interval; NULL when n is 0."""
     nn = F.nullif(n.cast("double"), F.lit(0.0))

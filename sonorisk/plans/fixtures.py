@@ -157,3 +157,8 @@ def logit_sql(x: str) -> str:
 
 def sigmoid_sql(z: str) -> str:
     return f"(CASE WHEN ({z}) IS NOT NULL THEN 1 / (1 + exp(-greatest(-35.0, least(35.0, {z})))) END)"
+
+
+def re4(x: str) -> str:
+    """SQL of half-to-even rounding to four decimals after dropping binary noise."""
+    return f"(round_even(round(({x}) * 10000, 6), 0) / 10000)"

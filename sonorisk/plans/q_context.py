@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from sonorisk.functions import text as X
-from sonorisk.functions.math import final_risk, noisy_or, r6
+from sonorisk.functions.math import final_risk, half_even, noisy_or, r6
 from sonorisk.operators import context as C
-from sonorisk.plans.fixtures import cte, events, micros, sql, table
+from sonorisk.plans.fixtures import cte, events, micros, re4, sql, table
 from sonorisk.plans.q_text import WEIGHT_SQL, segments, session_text
 from sonorisk.plans.registry import query
 
@@ -47,7 +47,7 @@ SIGS = {
 _MET = "1 - " + " * ".join(f"(1 - CASE WHEN {c} THEN CAST({w} AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)" for c, w in SIGS.values())
 cte(
     "mrisk",
-    f"SELECT session_id, array_to_string(list_filter([{', '.join(f'CASE WHEN {c} THEN {chr(39)}{k}{chr(39)} END' for k, (c, _) in SIGS.items())}], lambda x: x IS NOT NULL), ',') AS signals, CAST(round_even({_MET}, 4) AS DOUBLE) AS metadata_risk FROM mflags",
+    f"SELECT session_id, array_to_string(list_filter([{', '.join(f'CASE WHEN {c} THEN {chr(39)}{k}{chr(39)} END' for k, (c, _) in SIGS.items())}], lambda x: x IS NOT NULL), ',') AS signals, {re4(_MET)} AS metadata_risk FROM mflags",
     "mflags",
 )
 
@@ -118,10 +118,10 @@ def job11(spark, sf):
     return meta(spark, sf).select("session_id", F.array_join("signals", ",").alias("signals"), "metadata_risk")
 
 
-@query("AGG37", "SELECT event_id, CAST(round_even(1 - (1 - CASE WHEN event_id % 2 = 0 THEN CAST(0.15 AS DOUBLE) ELSE 0 END) * (1 - CASE WHEN event_id % 3 = 0 THEN CAST(0.45 AS DOUBLE) ELSE 0 END) * (1 - CASE WHEN user_id % 5 = 0 THEN CAST(0.6 AS DOUBLE) ELSE 0 END), 4) AS DOUBLE) AS risk FROM events")
+@query("AGG37", "SELECT event_id, " + re4("1 - (1 - CASE WHEN event_id % 2 = 0 THEN CAST(0.15 AS DOUBLE) ELSE 0 END) * (1 - CASE WHEN event_id % 3 = 0 THEN CAST(0.45 AS DOUBLE) ELSE 0 END) * (1 - CASE WHEN user_id % 5 = 0 THEN CAST(0.6 AS DOUBLE) ELSE 0 END)") + " AS risk FROM events")
 def agg37(spark, sf):
     w = [F.when(F.col("event_id") % 2 == 0, 0.15), F.when(F.col("event_id") % 3 == 0, 0.45), F.when(F.col("user_id") % 5 == 0, 0.6)]
-    return table(spark, sf, "events").select("event_id", F.bround(noisy_or(w), 4).alias("risk"))
+    return table(spark, sf, "events").select("event_id", half_even(noisy_or(w)).alias("risk"))
 
 
 # ---- transactions -----------------------------------------------------------------------------
@@ -156,7 +156,7 @@ TSIG = {
     "new_beneficiary": "CASE WHEN bene IS NOT NULL AND added_us IS NULL THEN CAST(0.45 AS DOUBLE) END",
     "recent_beneficiary": "CASE WHEN bene IS NOT NULL AND req_us - added_us < 86400000000 THEN CAST(0.35 AS DOUBLE) END",
 }
-_TR = "CAST(round_even(1 - " + " * ".join(f"(1 - coalesce({v}, 0))" for v in TSIG.values()) + ", 4) AS DOUBLE)"
+_TR = re4("1 - " + " * ".join(f"(1 - coalesce({v}, 0))" for v in TSIG.values()))
 cte(
     "trisk",
     f"""SELECT *, CASE WHEN (has_profile AND amount >= 400000) OR kind = 'limit_increase' OR transaction_risk >= 0.5 THEN 'high' WHEN amount > 0 THEN 'medium' ELSE 'low' END AS tier FROM (
@@ -199,9 +199,9 @@ def tx(spark, sf):
     return C.transaction_risk(t, HIGH_VALUE)
 
 
-@query("AGG39", sql("SELECT o_custkey AS customer_id, n, round(med, 4) AS med, round(mad, 4) AS mad, round(p95, 4) AS p95, big AS had_high_value FROM oprof2", "oprof2"))
+@query("AGG39", sql("SELECT o_custkey AS customer_id, n, round(med, 6) AS med, round(mad, 6) AS mad, round(p95, 6) AS p95, big AS had_high_value FROM oprof2", "oprof2"))
 def agg39(spark, sf):
-    return profile(spark, sf).select("customer_id", "n", *[r6(F.col(c), 4).alias(c) for c in ("med", "mad", "p95")], "had_high_value")
+    return profile(spark, sf).select("customer_id", "n", *[r6(F.col(c)).alias(c) for c in ("med", "mad", "p95")], "had_high_value")
 
 
 @query("JON05", sql("SELECT o_orderkey, bene IS NOT NULL AND added_us IS NULL AS first_use, coalesce(bene IS NOT NULL AND req_us - added_us < 86400000000, false) AS recent FROM otx", "otx"))
@@ -271,7 +271,7 @@ def context_report(spark, sf):
     "JOB13",
     sql(
         f"""SELECT s.session_id, coalesce(i.labels, '') AS labels, coalesce(i.risk, 0.0) AS intent_risk, coalesce(m.metadata_risk, 0.0) AS metadata_risk, coalesce(t.transaction_risk, 0.0) AS transaction_risk, coalesce(t.tier, 'low') AS tier, s.as_of_ms
-        FROM (SELECT session_id, max(end_ms) AS as_of_ms FROM segments GROUP BY 1) s LEFT JOIN (SELECT session_id, string_agg(label, ',' ORDER BY label) AS labels, CAST(round_even(1 - product(1 - CAST({WEIGHT_SQL} AS DOUBLE) * 0.8) * CASE WHEN count(*) >= 3 THEN 0.5 ELSE 1.0 END, 4) AS DOUBLE) AS risk
+        FROM (SELECT session_id, max(end_ms) AS as_of_ms FROM segments GROUP BY 1) s LEFT JOIN (SELECT session_id, string_agg(label, ',' ORDER BY label) AS labels, {re4(f'1 - product(1 - CAST({WEIGHT_SQL} AS DOUBLE) * 0.8) * CASE WHEN count(*) >= 3 THEN 0.5 ELSE 1.0 END')} AS risk
         FROM seg_hits WHERE evidence IS NOT NULL GROUP BY 1) i ON i.session_id = s.session_id LEFT JOIN mrisk m ON m.session_id = s.session_id LEFT JOIN trisk t ON t.o_orderkey = s.session_id""",
         "seg_hits", "mrisk", "trisk",
     ),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sonorisk.functions import identity as I, lexicon as L, text as X
 from sonorisk.functions.math import r6
 from sonorisk.operators import context as C
-from sonorisk.plans.fixtures import cte, sql, table
+from sonorisk.plans.fixtures import cte, re4, sql, table
 from sonorisk.plans.registry import query
 
 # Phrases appended to real rows so that every rule fires somewhere in the tables.
@@ -86,7 +86,7 @@ def fn21(spark, sf):
 @query(
     "AGG38",
     sql(
-        f"""SELECT d.doc_id, coalesce(risk, 0.0) AS intent_risk FROM docs d LEFT JOIN (SELECT doc_id, CAST(round_even(1 - product(1 - w * 0.8) * CASE WHEN count(*) >= 3 THEN 0.5 ELSE 1.0 END, 4) AS DOUBLE) AS risk
+        f"""SELECT d.doc_id, coalesce(risk, 0.0) AS intent_risk FROM docs d LEFT JOIN (SELECT doc_id, {re4('1 - product(1 - w * 0.8) * CASE WHEN count(*) >= 3 THEN 0.5 ELSE 1.0 END')} AS risk
         FROM (SELECT doc_id, label, CAST({WEIGHT_SQL} AS DOUBLE) AS w FROM intent_hits WHERE evidence IS NOT NULL) GROUP BY 1) r ON r.doc_id = d.doc_id""",
         "intent_hits",
     ),
