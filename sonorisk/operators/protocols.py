@@ -178,3 +178,19 @@ def operational(calls: DataFrame, threshold: Column) -> DataFrame:
     )
     q = exact_quantiles(c, ["label"], "ttfa", {"median_s": 0.5, "p90_s": 0.9}).drop("n")
     return base.join(q, "label", "left")
+
+
+def held_out_folds(df: DataFrame, family: str) -> DataFrame:
+    """(held_out, train_family) for every family against all others; families are a checked short list."""
+    fams = family_list(df, family)
+    rows = [(a, b) for a in fams for b in fams if a != b]
+    return df.sparkSession.createDataFrame(rows, "held_out string, train_family string")
+
+
+def stack_conditions(parts: dict[str, DataFrame]) -> DataFrame:
+    """One table of scored conditions, each tagged with its name."""
+    out = None
+    for name, df in parts.items():
+        tagged = df.withColumn("condition", F.lit(name))
+        out = tagged if out is None else out.unionByName(tagged)
+    return out
