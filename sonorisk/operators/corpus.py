@@ -249,7 +249,7 @@ def generation_plan(refs: DataFrame, generators: DataFrame, per_generator: int,
     """
     g = generators.select(F.struct("name", "family", "kind", F.col("license").alias("g_license"), F.col("commercial_use").alias("g_commercial")).alias("g"))
     all_g = g.agg(F.collect_list("g").alias("_g"))
-    r = refs.filter("label = 'bona_fide'")
+    r = refs.filter("label = 'bona_fide'").drop("source_speaker")
     x = r.join(F.broadcast(all_g)).withColumn("g", F.explode("_g")).drop("_g")
     x = x.withColumns({"generator": F.col("g.name"), "task_id": F.concat_ws("__", F.col("g.name"), F.col("utt_id"))})
     pick = ranked(x, ["generator"], seed, "task_id").filter(F.col("rank") <= per_generator).select("task_id", "rank")

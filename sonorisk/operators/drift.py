@@ -56,3 +56,10 @@ def drift_report(df: DataFrame, keys: list[str], p: str, is_ref: Column, **level
     for c in ("psi", "ks"):
         r = r.withColumn(c, F.when(F.col("level") != "insufficient_data", F.col(c)))
     return r
+
+
+def bona_fide_proxy(scores: DataFrame, states: DataFrame) -> DataFrame:
+    """Finite scores of sessions that stayed LOW throughout, the stand-in for genuine traffic."""
+    other = states.filter(F.col("state") != "LOW").select("session_id").distinct()
+    s = scores.filter(F.col("p_spoof").isNotNull() & ~F.isnan("p_spoof"))
+    return s.join(other, "session_id", "left_anti")
