@@ -388,11 +388,11 @@ def win15(spark, sf):
     return MO.voice_activity(f, hangover=3)
 
 
-@query("FLT14", sql("SELECT head_id, session_id, window_id FROM head_scores WHERE p_spoof IS NOT NULL AND session_id NOT IN (SELECT session_id FROM wstate WHERE value > 60)", "head_scores", "wstate"))
+@query("FLT14", sql("SELECT head_id, session_id, window_id FROM head_scores WHERE p_spoof IS NOT NULL AND session_id NOT IN (SELECT session_id FROM windows WHERE event_id % 97 = 3)", "head_scores"))
 def flt14(spark, sf):
     from sonorisk.operators.drift import bona_fide_proxy
 
-    states = windows(spark, sf).select("session_id", F.when(F.col("value") > 60, "HIGH").otherwise("LOW").alias("state"))
+    states = windows(spark, sf).select("session_id", F.when(F.col("event_id") % 97 == 3, "HIGH").otherwise("LOW").alias("state"))
     return bona_fide_proxy(head_scores(spark, sf), states).select("head_id", "session_id", "window_id")
 
 
