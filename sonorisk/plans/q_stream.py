@@ -14,10 +14,10 @@ from sonorisk.scale import shared_path
 from sonorisk.streaming import jobs as J, processors as PR
 
 
-def _topic(spark, df, order, files=3):
+def _topic(spark, df, order, parts=3):
     path = shared_path(spark, "topic")
-    J.publish(df, path, files, order)
-    return J.subscribe(spark, path, df.schema, files_per_trigger=1)
+    J.publish(df, path, order, parts)
+    return J.subscribe(spark, path, df.schema, files_per_trigger=8)
 
 
 
@@ -78,7 +78,7 @@ def str13(spark, sf):
 @query("STR14")
 def str14(spark, sf):
     e = events(spark, sf).select((F.col("user_id") % 20).alias("ref"), "ts_us", "event_id", F.when(F.col("event_id") % 3 == 0, "put").otherwise("get").alias("op"))
-    s = J.stateful(_topic(spark, e, "ts_us"), "ref", PR.ShortReferenceProcessor(), "ref long, event_id long, found boolean", "ProcessingTime")
+    s = J.stateful(_topic(spark, e, "ts_us"), "ref", PR.ShortReferenceProcessor(), "ref long, event_id long, found boolean")
     return J.run_available(s, "refs")
 
 
@@ -122,7 +122,7 @@ def str12(spark, sf):
 def src12(spark, sf):
     e = events(spark, sf).select("event_id", "event_type", "ts_us", (F.col("user_id") % 5).cast("string").alias("tenant_id"))
     path = shared_path(spark, "bus")
-    J.publish(e, path, 3, "ts_us")
+    J.publish(e, path, "ts_us")
     s = J.subscribe(spark, path, e.schema, 1, tenant="2")
     return J.run_available(s, "bus").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -202,6 +202,6 @@ def src11(spark, sf):
 
     path = shared_path(spark, "timeline")
     t = TP.session_timeline(fused(spark, sf)).withColumn("ts_us", F.col("window_id") * 86_400_000_000)
-    append_timeline(t, path)
+    append_timeline(t, path, buckets=1)
     r = read_session(spark, path, F.lit(True), ("1970-01-08", "1970-01-21"))
     return r.groupBy(F.floor(F.col("window_id") / 7).alias("week")).agg(F.count(F.lit(1)).alias("n"), r6(F.max("p_session")).alias("p_max"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BUCKETS = 64
+SALT_WINDOWS = 100_000  # about a day of windows of one session per writer
 
 
 def with_layout(timeline: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -16,8 +17,8 @@ def with_layout(timeline: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 def append_timeline(timeline: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Append windows; files inside a partition are sorted by session so row-group statistics prune."""
     t = timeline.withColumn("risk_score", F.bround(100 * F.col("p_session")).cast("long"))
-    # date, bucket and a salt: one hot session does not become one writer task
-    laid = with_layout(t, buckets).repartition("date", "bucket", (F.col("window_id") % 16))
+    # date, bucket and a salt by window range: one hot session does not become one writer task
+    laid = with_layout(t, buckets).repartition("date", "bucket", F.floor(F.col("window_id") / SALT_WINDOWS))
     laid.sortWithinPartitions("session_id", "window_id").write.mode("append").partitionBy("date", "bucket").parquet(path)
 
 

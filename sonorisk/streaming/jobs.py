@@ -16,10 +16,20 @@ def stateful(df: DataFrame, key: str | list[str], processor: StatefulProcessor,
     return df.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", mode)
 
 
-def publish(df: DataFrame, path: str, files: int = 4, order: str | None = None) -> None:
-    """Append messages to a topic folder (tenant is a column, not part of the key)."""
-    out = df.repartitionByRange(files, order) if order else df.repartition(files)
-    out.write.mode("append").parquet(path)
+def publish(df: DataFrame, path: str, order: str, parts: int = 3) -> None:
+    """Append messages to a topic folder in order (tenant is a column, not part of the key).
+
+    The file source reads by modification time, so later messages are written after earlier ones.
+    """
+    cuts = df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.01)
+    edges = [None, *cuts, None]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        part = df
+        if lo is not None:
+            part = part.filter(F.col(order) > lo)
+        if hi is not None:
+            part = part.filter(F.col(order) <= hi)
+        part.write.mode("append").parquet(path)
 
 
 def subscribe(spark: SparkSession, path: str, schema, files_per_trigger: int = 2, tenant: str | None = None) -> DataFrame:

@@ -158,10 +158,14 @@ class TokenBucketProcessor(JsonState):
 class ShortReferenceProcessor(JsonState):
     """References that live 30 s: a lookup finds the sample only while the reference is alive.
 
-    Liveness is judged by event time, so replays agree; the state's own TTL frees the store.
+    Liveness is judged by event time, so replays agree.  For an endless query give ``ttl_ms`` and run
+    in processing-time mode: the state's own TTL then frees the store.
     """
 
-    ttl_ms, live_us = 30_000, 30_000_000
+    live_us = 30_000_000
+
+    def __init__(self, ttl_ms: int | None = None) -> None:
+        self.ttl_ms = ttl_ms
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _gather(rows).sort_values(["ts_us", "event_id"])
