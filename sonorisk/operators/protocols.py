@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sonorisk.functions.math import histogram_bin, snr_bin
 from sonorisk.operators.curves import curve_metrics, detection_curve
-from sonorisk.scale import small_or_plain
+from sonorisk.scale import small_or_plain, spread
 
 MIN_TRIALS = 30  # fixed value
 KEYS = ["protocol", "slice"]
@@ -39,7 +39,7 @@ def snr_slice(col: str = "snr_db") -> Column:
 def explode_slices(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
     """One row per trial and slice key; NULL keys are left out."""
     arr = F.filter(F.array(*keys), lambda k: k.isNotNull())
-    return df.withColumn("_k", F.explode(arr)).select("*", "_k.protocol", "_k.slice").drop("_k")
+    return spread(df).withColumn("_k", F.explode(arr)).select("*", "_k.protocol", "_k.slice").drop("_k")
 
 
 def explode_shared_bona(df: DataFrame, col: str, protocol: str, families: Sequence[str], seen: Sequence[str] | None = None) -> DataFrame:
@@ -58,7 +58,7 @@ def explode_shared_bona(df: DataFrame, col: str, protocol: str, families: Sequen
         spoof_keys.append(slice_key(protocol, pool))
         bona_keys += [slice_key(protocol, F.lit(p)) for p in ("ALL_SEEN", "ALL_UNSEEN")]
     keys = F.when(spoof, F.filter(F.array(*spoof_keys), lambda k: k.isNotNull())).otherwise(F.array(*bona_keys))
-    out = df.withColumn("_k", F.explode(keys)).select("*", "_k.protocol", "_k.slice").drop("_k")
+    out = spread(df).withColumn("_k", F.explode(keys)).select("*", "_k.protocol", "_k.slice").drop("_k")
     return out
 
 

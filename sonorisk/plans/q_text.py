@@ -7,6 +7,7 @@ from sonorisk.functions.math import r6
 from sonorisk.operators import context as C
 from sonorisk.plans.fixtures import cte, re4, sql, table
 from sonorisk.plans.registry import query
+from sonorisk.scale import spread
 
 # Phrases appended to real rows so that every rule fires somewhere in the tables.
 PHRASES = [
@@ -33,7 +34,7 @@ def _sql_arr(i):
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "lang", "source", F.concat_ws(" ", "text", _arr(F.col("doc_id"))).alias("text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", "lang", "source", F.concat_ws(" ", "text", _arr(F.col("doc_id"))).alias("text"))
 
 
 cte("docs", f"SELECT doc_id, lang, source, text || ' ' || {_sql_arr('doc_id')} AS text FROM documents")

@@ -63,6 +63,18 @@ def small_or_plain(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a small input before per-row work that is heavy or fans out.
+
+    A file under one split would run in a single task.  An input with enough splits to keep every core
+    busy is returned as it is, so nothing large is shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if estimated_bytes(df) < cores * split else df
+
+
 def _num_partitions(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 

@@ -52,7 +52,7 @@ def render_markdown(rows: DataFrame, limit: int = 10_000) -> str:
 def read_loadtests(spark: SparkSession, path: str) -> DataFrame:
     """Result rows of markdown load-test files: (row_id, calls, p50, p95, p99, degraded, timeouts, keeps_up)."""
     lines = spark.read.text(path).select("value", F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1), r"\.[^.]*$", "").alias("stem"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\|+|\|+$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\|+|\|+$", ""), r"\|"), lambda x: F.trim(x))
     t = lines.withColumn("c", cells).filter((F.size("c") >= 10) & F.get("c", F.lit(0)).rlike("^[0-9]+$"))
     at = lambda i: F.get("c", F.lit(i))
     return t.select(
