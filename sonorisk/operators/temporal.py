@@ -2,7 +2,7 @@
 
 One pure-Python step serves the batch fold and the streaming operator.  In batch the rows of a
 session stream through a sorted partition with constant memory (``fold_sorted``), so a long call is
-never held whole.
+never held whole; beyond a checked input size sessions are split into parallel chunks (``chunked``).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sonorisk.scale import fold_sorted, prefix_sums
+from sonorisk.scale import fits_one_task, fold_sorted, prefix_sums
 
 RANK = {"LOW": 0, "ELEVATED": 1, "HIGH": 2}
 
@@ -163,9 +163,19 @@ def track_rows(tracker: SessionTracker, session_id: int, window_ids, ps) -> list
 COLUMNS = [f.strip().split(" ")[0] for f in TIMELINE_FIELDS.split(",")]
 
 
-def session_timeline(fused: DataFrame, cfg: SmoothingConfig | None = None, thr: RiskThresholds | None = None) -> DataFrame:
-    """Every window's smoothed risk and state, in one pass over sessions."""
+def session_timeline(
+    fused: DataFrame, cfg: SmoothingConfig | None = None, thr: RiskThresholds | None = None, limit: int | None = None
+) -> DataFrame:
+    """Every window's smoothed risk and state.
+
+    An input of checked size runs as one pass over sessions; a larger one is split into chunks of each
+    session (``chunked``), so that one session may hold any share of the rows.
+    """
     cfg, thr = cfg or SmoothingConfig(), thr or RiskThresholds()
+    if not fits_one_task(fused, limit):
+        from sonorisk.operators.chunked import CHUNK, chunked_timeline
+
+        return chunked_timeline(fused, cfg, thr, CHUNK)
 
     def step(pdf: pd.DataFrame, tracker):
         tracker = tracker or SessionTracker(cfg, thr)

@@ -320,7 +320,11 @@ def fn35(spark, sf):
 
 # ---- transcript joins -------------------------------------------------------------------------
 
-cte("sess_text", "SELECT session_id, string_agg(text, ' ' ORDER BY turn) AS text FROM segments GROUP BY 1", "segments")
+cte(
+    "sess_text",
+    "SELECT session_id, string_agg(text, ' ' ORDER BY turn) AS text FROM (SELECT *, max(end_ms) OVER (PARTITION BY session_id) AS last_ms FROM segments) WHERE end_ms >= last_ms - 120000 GROUP BY 1",
+    "segments",
+)
 cte(
     "seg_hits",
     " UNION ALL ".join(f"SELECT session_id, '{lab}' AS label, {_intent_sql(lab)} AS evidence FROM sess_text" for lab in L.INTENT_WEIGHT),
@@ -329,9 +333,12 @@ cte(
 
 
 def session_text(spark, sf):
-    """Transcript text per session; the rolling buffer bounds it to two minutes of speech."""
-    s = segments(spark, sf).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_s"))
-    return s.select("session_id", F.array_join("_s.text", " ").alias("text"))
+    """Transcript text of the last two minutes per session, so a session's array has a bounded length."""
+    seg = segments(spark, sf)
+    ends = seg.groupBy("session_id").agg(F.max("end_ms").alias("_last"))
+    s = seg.join(ends, "session_id").filter(F.col("end_ms") >= F.col("_last") - 120_000)
+    g = s.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_s"))
+    return g.select("session_id", F.array_join("_s.text", " ").alias("text"))
 
 
 @query(

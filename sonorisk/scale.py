@@ -161,7 +161,7 @@ def exact_quantiles(
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     cum = prefix_sums(counts, keys, [value], {"_cum": "_c"}, limit)
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    j = cum.join(totals, keys) if keys else cum.crossJoin(totals)
+    j = cum.join(totals, keys) if keys else cum.join(F.broadcast(totals))  # without keys: one row
     aggs = []
     for name, q in probs.items():
         pos = (F.col("_n") - 1) * F.lit(float(q))
