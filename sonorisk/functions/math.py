@@ -106,5 +106,5 @@ def snr_bin(snr: Column) -> Column:
 
 
 def histogram_bin(p: Column, bins: int) -> Column:
-    """Equal-width bin index with the last bin closed."""
-    return F.least(F.floor(p * bins), F.lit(bins - 1)).cast("long")
+    """Equal-width bin index with the last bin closed; NULL stays NULL (``least`` would skip it)."""
+    return F.when(p.isNotNull(), F.least(F.floor(p * bins), F.lit(bins - 1))).cast("long")

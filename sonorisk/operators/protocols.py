@@ -77,23 +77,27 @@ def summarize(trials: DataFrame, keys: Sequence[str] = KEYS, p_col: str | None =
     """
     keys = list(keys)
     scored = F.col("score").isNotNull() & ~F.isnan("score")
-    base = trials.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(scored & (F.col("label") == "bona_fide"), 1).otherwise(0)).alias("n_bona"),
-        F.sum(F.when(scored & (F.col("label") == "spoof"), 1).otherwise(0)).alias("n_spoof"),
-        F.avg(scored.cast("double")).alias("coverage"),
+    p = F.col(p_col) if p_col is not None else F.lit(None).cast("double")
+    p = F.when(~F.isnan(p), p)
+    # counts per calibration bin first: one pass over the trials gives counts, coverage and ECE
+    b = trials.groupBy(*keys, histogram_bin(p, bins).alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(scored.cast("long")).alias("_scored"),
+        F.sum((scored & (F.col("label") == "bona_fide")).cast("long")).alias("_b"),
+        F.sum((scored & (F.col("label") == "spoof")).cast("long")).alias("_s"),
+        F.sum(p).alias("_p"),
+        F.sum(F.when(p.isNotNull(), (F.col("label") == "spoof").cast("double"))).alias("_y"),
+    )
+    has_p = F.col("_bin").isNotNull()
+    base = b.groupBy(*keys).agg(
+        F.sum("_n").alias("n"),
+        F.sum("_b").alias("n_bona"),
+        F.sum("_s").alias("n_spoof"),
+        (F.sum("_scored") / F.sum("_n")).alias("coverage"),
+        (F.sum(F.when(has_p, F.abs(F.col("_p") - F.col("_y")))) / F.sum(F.when(has_p, F.col("_n")))).alias("ece"),
     )
     m = curve_metrics(detection_curve(trials, keys), keys).drop("n_bona", "n_spoof")
-    out = base.join(m, keys, "left")
-    if p_col is not None:
-        b = (
-            trials.filter(F.col(p_col).isNotNull() & ~F.isnan(p_col))
-            .withColumn("_bin", histogram_bin(F.col(p_col), bins))
-            .groupBy(*keys, "_bin")
-            .agg(F.count(F.lit(1)).alias("_n"), F.sum(p_col).alias("_p"), F.sum((F.col("label") == "spoof").cast("double")).alias("_y"))
-        )
-        e = b.groupBy(*keys).agg((F.sum(F.abs(F.col("_p") - F.col("_y"))) / F.sum("_n")).alias("ece"))
-        out = out.join(e, keys, "left").withColumn("ece", F.when(F.col("eer").isNotNull(), F.col("ece")))
+    out = base.join(m, keys, "left").withColumn("ece", F.when(F.col("eer").isNotNull(), F.col("ece")))
     return out.withColumns(
         {
             "low_n": F.least("n_bona", "n_spoof") < MIN_TRIALS,
