@@ -16,7 +16,7 @@ from sonorisk.operators.fusion import HEADS, FusionWeights
 from sonorisk.scale import materialize, small_or_plain
 
 
-def fit_platt(df: DataFrame, keys: Sequence[str], raw: str, is_spoof: Column, l2: float = 1e-4, steps: int = 12) -> DataFrame:
+def fit_platt(df: DataFrame, keys: Sequence[str], raw: str, is_spoof: Column, l2: float = 1e-4, steps: int = 8) -> DataFrame:
     """(keys, a, b, n_fit) of p = sigmoid(a * raw + b), by Newton steps on grouped sums.
 
     The data is reduced to counts per distinct raw value once; each step is one aggregate over those
@@ -45,7 +45,7 @@ def fit_platt(df: DataFrame, keys: Sequence[str], raw: str, is_spoof: Column, l2
     return par.select(*keys, (F.col("a") / F.col("_sd")).alias("a"), (F.col("b") - F.col("a") * F.col("_mu") / F.col("_sd")).alias("b"), "n_fit")
 
 
-def fit_temperature(df: DataFrame, keys: Sequence[str], raw: str, is_spoof: Column, steps: int = 12) -> DataFrame:
+def fit_temperature(df: DataFrame, keys: Sequence[str], raw: str, is_spoof: Column, steps: int = 8) -> DataFrame:
     """(keys, temperature, n_fit) of p = sigmoid(raw / T), by 1-D Newton on log(1/T)."""
     keys = list(keys)
     c = materialize(df.filter(F.col(raw).isNotNull()).groupBy(*keys, F.col(raw).alias("_x")).agg(F.count(F.lit(1)).alias("_n"), F.sum(is_spoof.cast("long")).alias("_y")))

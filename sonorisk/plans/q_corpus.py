@@ -253,7 +253,24 @@ def agg28(spark, sf):
     return r.withColumn("mean_duration_s", r6(F.col("mean_duration_s")))
 
 
-@query("JOB19")
+def _gain(s):
+    return f"((CASE WHEN tb > 0 THEN least(nb, greatest(0, 0.1 * tb - r.{s}b)) / greatest(tb, 1) ELSE 0 END) + (CASE WHEN ts > 0 THEN least(ns, greatest(0, 0.1 * ts - r.{s}s)) / greatest(ts, 1) ELSE 0 END))"
+
+
+def _full(s):
+    return f"((tb > 0 AND r.{s}b + nb > 1.5 * (0.1 * tb)) OR (ts > 0 AND r.{s}s + ns > 1.5 * (0.1 * ts)))"
+
+
+_PICK = f"CASE WHEN NOT {_full('e')} AND {_gain('e')} > CASE WHEN {_full('d')} THEN 0 ELSE {_gain('d')} END THEN 'eval' WHEN NOT {_full('d')} AND {_gain('d')} > 0 THEN 'dev' ELSE 'train' END"
+GREEDY_SQL = f""", sp AS (SELECT *, sum(nb) OVER (PARTITION BY language) AS tb, sum(ns) OVER (PARTITION BY language) AS ts, row_number() OVER (PARTITION BY language ORDER BY sha256('1337:' || speaker_id), speaker_id) AS rn FROM (
+  SELECT language, language || '_' || speaker_id AS speaker_id, count(*) FILTER (label = 'bona_fide') AS nb, count(*) FILTER (label = 'spoof') AS ns FROM mani GROUP BY 1, 2)),
+ r AS (SELECT language, CAST(0 AS BIGINT) AS rn, '' AS speaker_id, '' AS split, CAST(0 AS HUGEINT) AS db, CAST(0 AS HUGEINT) AS ds, CAST(0 AS HUGEINT) AS eb, CAST(0 AS HUGEINT) AS es FROM (SELECT DISTINCT language FROM sp)
+  UNION ALL SELECT language, rn, speaker_id, split, db + CASE WHEN split = 'dev' THEN nb ELSE 0 END, ds + CASE WHEN split = 'dev' THEN ns ELSE 0 END, eb + CASE WHEN split = 'eval' THEN nb ELSE 0 END, es + CASE WHEN split = 'eval' THEN ns ELSE 0 END FROM (
+    SELECT sp.language, sp.rn, sp.speaker_id, sp.nb, sp.ns, r.db, r.ds, r.eb, r.es, {_PICK} AS split FROM r JOIN sp ON sp.language = r.language AND sp.rn = r.rn + 1))
+ SELECT language, speaker_id, split FROM r WHERE rn > 0"""
+
+
+@query("JOB19", sql("@@", "mani").replace("WITH ", "WITH RECURSIVE ", 1).replace("@@", GREEDY_SQL))
 def job19(spark, sf):
     m = manifest(spark, sf).withColumn("speaker_id", F.concat_ws("_", "language", "speaker_id"))
     return C.greedy_speaker_splits(m, "language", {"train": 0.8, "dev": 0.1, "eval": 0.1}, 1337)

@@ -82,7 +82,7 @@ def udf01(spark, sf):
     return s.select("window_id", "head_id", "p_spoof", "abstain", "abstain_reason")
 
 
-@query("UDF02")
+@query("UDF02", "SELECT 'A' AS head_id, 'A@energy-base-v0.1.0' AS model_version, count(*) AS n FROM embeddings")
 def udf02(spark, sf):
     w = table(spark, sf, "embeddings").select(F.col("vec_id").alias("window_id"), "embedding")
     s = SC.score_windows(w, ["window_id"], "embedding", SC.build_scorers(["energy"]))
@@ -95,7 +95,7 @@ def udf03(spark, sf):
     return e.select("vec_id", "s.score", "s.p_spoof", F.size("s.window_scores").alias("n_windows"))
 
 
-@query("UDF04")
+@query("UDF04", "SELECT vec_id, len(embedding) // 2 + 1 AS dim, 1.0 AS length FROM embeddings")
 def udf04(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("v", SC.embed(F.col("embedding"), SC.spectrum_embedder))
     return e.select("vec_id", F.size("v").alias("dim"), F.round(A.norm(F.col("v")), 6).alias("length"))

@@ -308,7 +308,7 @@ def job06(spark, sf):
     return n(b, "n_before").join(F.broadcast(n(gone, "n_erased"))).join(F.broadcast(n(left, "n_left")))  # single rows
 
 
-@query("JOB08")
+@query("JOB08", sql("SELECT tenant, count(*) AS n_rows, 0 AS n_bad, 1 AS n_start, 0 AS n_forks, true AS valid FROM ev GROUP BY 1", "ev"))
 def job08(spark, sf):
     v1 = EV.append_chain(evidence_rows(spark, sf).drop("body_sha"), "tenant", ["seq"], content="body")
     m = EV.migrate_chain(v1, "tenant", ["seq"])

@@ -4,16 +4,20 @@ from pyspark.sql import functions as F
 
 from sonorisk.functions.math import r6
 from sonorisk.operators import temporal as TP
-from sonorisk.plans.fixtures import events, head_scores, sql, table, windows
+from sonorisk.plans.fixtures import cte, events, head_scores, sql, table, windows
 from sonorisk.plans.q_fusion import fused
 from sonorisk.plans.q_policy import _ROUTE_SQL, SUBS
 from sonorisk.plans.q_session import STATE, rec_sql
+from sonorisk.plans.q_signal import challenges, responses
 from sonorisk.plans.q_text import WIN11_SQL, _seg_sql, segments
 from sonorisk.plans.registry import query
 from sonorisk.scale import shared_path
 from sonorisk.streaming import jobs as J, processors as PR
 
 
+cte("chn", "SELECT *, lead(issued_us) OVER (PARTITION BY session_id ORDER BY issued_us, challenge_id) AS nxt FROM ch2", "ch2")
+
+
 def _topic(spark, df, order, parts=3):
     path = shared_path(spark, "topic")
     J.publish(df, path, order, parts)
@@ -61,31 +65,49 @@ def str07(spark, sf):
     return J.run_available(s, "transcript")
 
 
-@query("STR08")
+def _walk_sql(first: str, step: str, out: str) -> str:
+    """Recursive walk over each session's windows in order."""
+    return sql("@@", "windows").replace("WITH ", "WITH RECURSIVE ", 1).replace(
+        "@@", f", r AS (SELECT session_id, window_id, event_id, ts_us, {first} FROM windows WHERE window_id = 0 UNION ALL SELECT w.session_id, w.window_id, w.event_id, w.ts_us, {step} FROM r JOIN windows w ON w.session_id = r.session_id AND w.window_id = r.window_id + 1)\n{out}"
+    )
+
+
+@query(
+    "STR08",
+    _walk_sql("ts_us AS last_us, true AS go", "CASE WHEN w.ts_us - r.last_us >= 10000000 THEN w.ts_us ELSE r.last_us END, w.ts_us - r.last_us >= 10000000", "SELECT session_id, event_id FROM r WHERE go"),
+)
 def str08(spark, sf):
     e = events(spark, sf).select(F.col("user_id").alias("session_id"), "ts_us", "event_id")
     s = J.stateful(_topic(spark, e, "ts_us"), "session_id", PR.EnrichmentProcessor(), "session_id long, event_id long")
     return J.run_available(s, "enrich")
 
 
-@query("STR13")
+_REFILL = "least(CAST(5 AS DOUBLE), r.tokens - CASE WHEN r.tokens >= 1 THEN 1 ELSE 0 END + (w.ts_us - r.ts_us) / 1e6 / 3600)"
+
+
+@query("STR13", _walk_sql("CAST(5 AS DOUBLE) AS tokens", _REFILL, "SELECT session_id AS key_id, count(*) FILTER (tokens >= 1) AS allowed, count(*) FILTER (tokens < 1) AS refused FROM r GROUP BY 1"))
 def str13(spark, sf):
     e = events(spark, sf).select(F.col("user_id").alias("key_id"), "ts_us", "event_id")
     s = J.stateful(_topic(spark, e, "ts_us"), "key_id", PR.TokenBucketProcessor(), "key_id long, event_id long, allowed boolean")
     return J.run_available(s, "rate").groupBy("key_id").agg(F.sum(F.col("allowed").cast("long")).alias("allowed"), F.sum((~F.col("allowed")).cast("long")).alias("refused"))
 
 
-@query("STR14")
+@query("STR14", "SELECT ref, event_id, coalesce(t - put <= 30000000, false) AS found FROM (SELECT user_id % 20 AS ref, event_id, epoch_us(ts) AS t, max(CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) END) OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS put FROM events) WHERE event_id % 3 <> 0")
 def str14(spark, sf):
     e = events(spark, sf).select((F.col("user_id") % 20).alias("ref"), "ts_us", "event_id", F.when(F.col("event_id") % 3 == 0, "put").otherwise("get").alias("op"))
     s = J.stateful(_topic(spark, e, "ts_us"), "ref", PR.ShortReferenceProcessor(), "ref long, event_id long, found boolean")
     return J.run_available(s, "refs")
 
 
-@query("STR15")
+@query(
+    "STR15",
+    sql(
+        """SELECT c.session_id, c.challenge_id, CASE WHEN nxt <= answered_us THEN 'not_active' WHEN answered_us - issued_us <= 30000000 THEN 'answered' ELSE 'late' END AS outcome FROM chn c JOIN re2 r USING (session_id, challenge_id)
+        UNION ALL SELECT c.session_id, c.challenge_id, CASE WHEN nxt - issued_us <= 30000000 THEN 'replaced' ELSE 'expired' END FROM chn c LEFT JOIN re2 r USING (session_id, challenge_id) WHERE nxt IS NOT NULL AND NOT coalesce(answered_us < nxt, false)""",
+        "chn", "re2",
+    ),
+)
 def str15(spark, sf):
-    from sonorisk.plans.q_signal import challenges, responses
-
     c = challenges(spark, sf).select("session_id", F.col("issued_us").alias("ts_us"), F.lit("issue").alias("kind"), "challenge_id")
     r = responses(spark, sf).select("session_id", F.col("answered_us").alias("ts_us"), F.lit("answer").alias("kind"), "challenge_id")
     s = J.stateful(_topic(spark, c.unionByName(r), "ts_us"), "session_id", PR.ChallengeProcessor(), "session_id long, challenge_id long, outcome string")
