@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
 import os
 import shutil
 import tempfile
 from collections.abc import Callable
 from functools import wraps
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,13 +21,18 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable by Python workers, once per application (as --py-files would)."""
+    """Make this package usable by Python workers, once per application (as --py-files would).
+
+    Batch workers import the added zip.  The streaming runner starts its process without added files, so
+    the package's functions and classes are also pickled by value.
+    """
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     base = os.path.join(tempfile.mkdtemp(prefix="run-"), "sonorisk")
     sc.addPyFile(shutil.make_archive(base, "zip", root, "sonorisk"))
+    cloudpickle.register_pickle_by_value(importlib.import_module("sonorisk"))
     _shipped.add(sc.applicationId)
 
 
