@@ -33,3 +33,23 @@ def reliable(df: DataFrame) -> DataFrame:
     from sonorisk.scale import materialize
 
     return materialize(df)
+
+
+def beta_prior(level: DataFrame, low: float = 1.0, high: float = 1000.0) -> tuple[float, float]:
+    """Mean and strength of the beta prior of the groups' bad rates (``n, bad``), by the analysis-of-variance estimate.
+
+    One row of sums reaches the driver.  The strength lies in [low, high]; without counts the mean is one half.
+    """
+    n, b = F.col("n").cast("double"), F.col("bad").cast("double")
+    r = level.filter("n > 0").agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("N"), F.sum(b).alias("B"), F.sum(n * n).alias("n2"), F.sum(b * b / n).alias("b2n")).first()
+    if not r.k:
+        return 0.5, high
+    p = r.B / r.N
+    between = r.b2n - r.N * p * p
+    within = r.B - r.b2n
+    n0 = (r.N - r.n2 / r.N) / max(1, r.k - 1)
+    if r.k < 2 or r.N <= r.k or n0 <= 0:
+        return p, high
+    msb, msw = between / (r.k - 1), within / (r.N - r.k)
+    rho = (msb - msw) / (msb + (n0 - 1) * msw) if msb + (n0 - 1) * msw > 0 else 1.0
+    return p, (high if rho <= 0 else min(high, max(low, (1 - rho) / rho)))

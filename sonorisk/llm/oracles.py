@@ -1,6 +1,7 @@
 """DuckDB reference SQL of the queries in this subpackage."""
 
 from sonorisk.llm.common import LOWER, UPPER
+from sonorisk.llm.host_quality import BASE_FAILED, RULES
 from sonorisk.llm.secrets import ACCESS, ASSIGN, HEX, OPAQUE
 from sonorisk.llm.url_filter import LONG_SUFFIXES, Rule
 
@@ -67,3 +68,30 @@ g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER
   count(*) FILTER (k < 3 AND live) AS n_live, count(*) FILTER (k < 3 AND NOT live) AS n_example FROM j GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
   coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example FROM docs LEFT JOIN g USING (rid)"""
+
+_FAILS = ", ".join(f"count(*) FILTER ({c})::BIGINT AS {r}" for r, (c, _) in RULES.items())
+_HOSTS = ",\n".join(f"hb_{r} AS (SELECT n, {r} AS bad FROM hosts),\n{_level(f'hb_{r}', f'l_{r}')}" for r in RULES)
+_REJECT = " OR ".join(f"({r} + (SELECT kk * p FROM l_{r}_s)) / (n + (SELECT kk FROM l_{r}_s)) > {limit}" for r, (_, limit) in RULES.items())
+QUALITY = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('h' || source, 'none') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1) GROUP BY rid),
+ln AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT rid, sum(c - 1)::BIGINT AS n_dup_lines FROM (SELECT rid, line, count(*) AS c FROM ln WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY ALL) GROUP BY rid),
+f AS (SELECT doc_id, host, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid)),
+hosts AS (SELECT host, count(*)::BIGINT AS n, {_FAILS} FROM f GROUP BY host),
+{_HOSTS},
+v AS (SELECT host, {_REJECT} AS rejected FROM hosts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {BASE_FAILED} AS base_failed, NOT {BASE_FAILED} AND NOT rejected AS kept FROM f JOIN v USING (host)"""
+
+_W = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+DECONTAMINATION = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_W}') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_W}') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, l, array_to_string(w[i:i + l - 1], ' ') AS g FROM (SELECT item, w, least(10, len(w)) AS l, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT l FROM bw),
+dw AS (SELECT rid, l, i, array_to_string(w[i:i + l - 1], ' ') AS g FROM (SELECT rid, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, lens WHERE len(w) >= l)),
+hit AS (SELECT rid, i, dw.l AS l, item FROM dw JOIN bw USING (l, g)),
+pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + l)) AS p FROM hit) GROUP BY rid),
+it AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (rid) LEFT JOIN it USING (rid)"""

@@ -53,3 +53,18 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 
     outcomes = table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
     return judge_urls(table(spark, sf, "pages"), outcomes, oracles.URL_RULES).select("doc.page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad")
+
+
+@query("op1_host_quality", oracles.QUALITY)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    from sonorisk.llm.host_quality import COUNTS, judge_documents
+
+    return judge_documents(table(spark, sf, "documents")).select("doc.doc_id", *COUNTS, "base_failed", "kept")
+
+
+@query("op3_wu_manber", oracles.DECONTAMINATION)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    from sonorisk.llm.decontaminate import find_contamination
+
+    found = find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc.doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

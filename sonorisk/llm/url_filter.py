@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sonorisk.llm.common import ascii_lower, nested, reliable
+from sonorisk.llm.common import ascii_lower, beta_prior, nested, reliable
 
 # Public suffixes of more than one label, and the names that RFC 2606 sets aside for
 # documentation, under which sites register as under a suffix.
@@ -72,23 +72,6 @@ def domain_of(host: Column, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> Col
     return F.when(two.isin(*long_suffixes), three).otherwise(two)
 
 
-def _strength(level: DataFrame, low: float, high: float) -> tuple[float, float]:
-    """Mean bad rate and prior strength of one level by the analysis-of-variance estimate; one row to the driver."""
-    n, b = F.col("n").cast("double"), F.col("bad").cast("double")
-    r = level.filter("n > 0").agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("N"), F.sum(b).alias("B"), F.sum(n * n).alias("n2"), F.sum(b * b / n).alias("b2n")).first()
-    if not r.k:
-        return 0.5, high
-    p = r.B / r.N
-    between = r.b2n - r.N * p * p
-    within = r.B - r.b2n
-    n0 = (r.N - r.n2 / r.N) / max(1, r.k - 1)
-    if r.k < 2 or r.N <= r.k or n0 <= 0:
-        return p, high
-    msb, msw = between / (r.k - 1), within / (r.N - r.k)
-    rho = (msb - msw) / (msb + (n0 - 1) * msw) if msb + (n0 - 1) * msw > 0 else 1.0
-    return p, (high if rho <= 0 else min(high, max(low, (1 - rho) / rho)))
-
-
 def host_reputation(hosts: DataFrame, z: float = 1.645, low: float = 1.0, high: float = 1000.0, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> DataFrame:
     """``host, n, bad`` (one row per host) to ``host, n_labelled, n_bad, rep_mean, rep_bound``.
 
@@ -98,8 +81,8 @@ def host_reputation(hosts: DataFrame, z: float = 1.645, low: float = 1.0, high:
     hosts = reliable(hosts.select("host", "n", "bad", domain_of(F.col("host"), long_suffixes).alias("domain"), suffix_of(F.col("host"), long_suffixes).alias("suffix")))
     domains = reliable(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    top, k_suffix = _strength(suffixes, low, high)
-    (_, k_domain), (_, k_host) = _strength(domains, low, high), _strength(hosts, low, high)
+    top, k_suffix = beta_prior(suffixes, low, high)
+    (_, k_domain), (_, k_host) = beta_prior(domains, low, high), beta_prior(hosts, low, high)
 
     def post(prior: Column, k: float) -> Column:
         return (F.col("bad") + F.lit(k) * prior) / (F.col("n") + F.lit(k))
