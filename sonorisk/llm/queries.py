@@ -68,3 +68,13 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 
     found = find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select("doc.doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op9_bpe")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    from sonorisk.llm.bpe import encode_documents
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_documents(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN).select("doc.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
