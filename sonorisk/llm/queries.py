@@ -78,3 +78,10 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode_documents(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN).select("doc.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op4_toxicity_neighbours")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    from sonorisk.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")).select("doc.doc_id", "held_out", "score", "predicted", "evidence")
