@@ -85,3 +85,10 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     from sonorisk.llm.toxicity import score_toxicity
 
     return score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")).select("doc.doc_id", "held_out", "score", "predicted", "evidence")
+
+
+@query("op6_main_text")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    from sonorisk.llm.html_text import extract_main_text
+
+    return extract_main_text(table(spark, sf, "pages")).select("doc.page_id", "doc.url", "text", "n_chars")
