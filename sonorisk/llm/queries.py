@@ -92,3 +92,10 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     from sonorisk.llm.html_text import extract_main_text
 
     return extract_main_text(table(spark, sf, "pages")).select("doc.page_id", "doc.url", "text", "n_chars")
+
+
+@query("op5_count_min_repeats", oracles.REPEATS)
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    from sonorisk.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf, "documents")).select("doc.doc_id", "n_words", "n_removed", "kept_sha256")
