@@ -99,3 +99,10 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     from sonorisk.llm.substrings import remove_repeats
 
     return remove_repeats(table(spark, sf, "documents")).select("doc.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op7_prob_minhash")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    from sonorisk.llm.near_dups import near_duplicates
+
+    return near_duplicates(table(spark, sf, "documents")).select("doc.doc_id", "class_id", "is_first")
