@@ -100,49 +100,46 @@ def _components(edges: DataFrame) -> DataFrame:
         p = nxt.select("node", "root")
 
 
-def near_duplicates(docs: DataFrame, keep: Sequence[str] | None = ("doc_id",), text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8, star_rounds: int = 2) -> DataFrame:
-    """``doc`` (kept columns), ``class_id`` and ``is_first`` for every row.
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("id"), pa.array([_seq(t) for t in b.column("t").to_pylist()], pa.binary())], names=["doc", "id", "seq"])
 
-    Words are runs of ASCII letters and digits and of other characters, A-Z lower-cased.  Documents are linked when the
-    probability Jaccard of their shingle counts reaches ``similarity``, or when their words, split at white space, are
-    equal; a class is a component of links.  ``class_id`` is its least id, ``is_first`` marks one row of it, of least id.
-    A text without words (NULL, empty) is a class alone, and so is a row with a NULL id, whose ``class_id`` is NULL.
-    Repeated rows are copies; no rows give none.
-    """
-    rows = nested(docs, keep, t=text, id=doc_id).withColumn("id", F.col("id").cast("long"))
 
-    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            joined = [b" ".join((t or "").encode().split()) for t in b.column("t").to_pylist()]
-            seq = [hashlib.blake2b(j, digest_size=16).digest() if j and i is not None else None for j, i in zip(joined, b.column("id").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("id"), pa.array(seq, pa.binary())], names=["doc", "id", "seq"])
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column("t").to_pylist()
+        seq, body = [_seq(t) for t in texts], [zlib.compress((t or "").encode(), 4) for t in texts]
+        yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("id"), pa.array(seq, pa.binary()), pa.array(body, pa.binary())], names=["doc", "id", "seq", "body"])
 
-    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            joined = [b" ".join((t or "").encode().split()) for t in b.column("t").to_pylist()]
-            kept = [(hashlib.blake2b(j, digest_size=16).digest(), zlib.compress(j, 4)) for j in joined if j]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.binary()), pa.array([k[1] for k in kept], pa.binary())], names=["seq", "body"])
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, rns, sets, size = Shingler(), [], [], 0
+def _seq(text: str | None) -> bytes | None:
+    """Digest of the words between white space; none without words."""
+    joined = b" ".join((text or "").encode().split())
+    return hashlib.blake2b(joined, digest_size=16).digest() if joined else None
 
-        def flush():
-            keys = band_keys(signatures(sets))
-            return pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), pa.array(np.repeat(rns, BANDS), pa.int64())], names=["key", "rn"])
 
-        for b in batches:
-            for rn, body in zip(b.column("rn").to_pylist(), b.column("body").to_pylist(), strict=True):
-                s = shingler.of(zlib.decompress(body).decode())
-                if len(s[0]):
-                    rns.append(rn)
-                    sets.append(s)
-                    size += len(s[0]) + BANDS * ROWS
-                if size >= BATCH_SHINGLES:
-                    yield flush()
-                    rns, sets, size = [], [], 0
-        if size:
-            yield flush()
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingler, rns, sets, size = Shingler(), [], [], 0
+
+    def flush():
+        keys = band_keys(signatures(sets))
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), pa.array(np.repeat(rns, BANDS), pa.int64())], names=["key", "rn"])
+
+    for b in batches:
+        for rn, body in zip(b.column("rn").to_pylist(), b.column("body").to_pylist(), strict=True):
+            s = shingler.of(zlib.decompress(body).decode())
+            if len(s[0]):
+                rns.append(rn)
+                sets.append(s)
+                size += len(s[0]) + BANDS * ROWS
+            if size >= BATCH_SHINGLES:
+                yield flush()
+                rns, sets, size = [], [], 0
+    if size:
+        yield flush()
+
 
+def _verifier(similarity: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, known = Shingler(), {}
         for b in batches:
@@ -155,13 +152,12 @@ def near_duplicates(docs: DataFrame, keep: Sequence[str] | None = ("doc_id",), t
                     good.append(probability_jaccard(*known[x], *shingler.of(zlib.decompress(by).decode())) >= similarity - 1e-12)
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    base_type = T.StructType([rows.schema["doc"], rows.schema["id"], T.StructField("seq", T.BinaryType())])
-    base = reliable(rows.mapInArrow(summaries, base_type).withColumn("rid", F.monotonically_increasing_id()))
-    firsts = base.filter("seq is not null").groupBy("seq").agg(F.min(F.struct("id", "rid")).alias("first"))
-    one = rows.filter("id is not null").select("t").mapInArrow(bodies, "seq binary, body binary").groupBy("seq").agg(F.first("body").alias("body"))
-    reps = reliable(one.withColumn("rn", F.monotonically_increasing_id()))
+    return verify
 
-    keys = reliable(reps.select("rn", "body").mapInArrow(sign, "key long, rn long"))
+
+def _labelled(reps: DataFrame, similarity: float, star_rounds: int) -> DataFrame:
+    """``rn, label`` of the distinct texts ``rn, body`` that share a bucket; equal labels are one class."""
+    keys = reliable(reps.select("rn", "body").mapInArrow(_sign, "key long, rn long"))
     shared = reliable(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
     members = reliable(keys.join(shared, "key"))
     labels = reliable(members.select("rn").distinct().withColumn("label", F.col("rn")))
@@ -186,13 +182,58 @@ def near_duplicates(docs: DataFrame, keep: Sequence[str] | None = ("doc_id",), t
         tried = pairs if tried is None else tried.unionByName(pairs)
         with_b = pairs.join(reps.select(F.col("rn").alias("b"), F.col("body").alias("body_b")), "b")
         full = with_b.join(reps.select(F.col("rn").alias("a"), F.col("body").alias("body_a")), "a")
-        links = reliable(full.select("a", "b", "body_a", "body_b").mapInArrow(verify, "a long, b long"))
+        links = reliable(full.select("a", "b", "body_a", "body_b").mapInArrow(_verifier(similarity), "a long, b long"))
         edges = links.join(labels.select(F.col("rn").alias("a"), F.col("label").alias("u")), "a").join(labels.select(F.col("rn").alias("b"), F.col("label").alias("v")), "b").filter("u <> v")
         roots = _components(edges.select("u", "v").distinct())
         labels = reliable(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("rn", F.coalesce("root", "label").alias("label")))
+    return labels
+
 
+def near_duplicates(docs: DataFrame, keep: Sequence[str] | None = ("doc_id",), text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8, star_rounds: int = 2) -> DataFrame:
+    """``doc`` (kept columns), ``class_id`` and ``is_first`` for every row.
+
+    Words are runs of ASCII letters and digits and of other characters, A-Z lower-cased.  Documents are linked when the
+    probability Jaccard of their shingle counts reaches ``similarity``, or when their words, split at white space, are
+    equal; a class is a component of links.  ``class_id`` is its least id, ``is_first`` marks one row of it, of least id.
+    A text without words (NULL, empty) is a class alone, and so is a row with a NULL id, whose ``class_id`` is NULL.
+    Repeated rows are copies; no rows give none.
+    """
+    rows = nested(docs, keep, t=text, id=doc_id).withColumn("id", F.col("id").cast("long"))
+
+    base_type = T.StructType([rows.schema["doc"], rows.schema["id"], T.StructField("seq", T.BinaryType())])
+    base = reliable(rows.mapInArrow(_summaries, base_type).withColumn("seq", F.when(F.col("id").isNotNull(), F.col("seq"))).withColumn("rid", F.monotonically_increasing_id()))
+    firsts = base.filter("seq is not null").groupBy("seq").agg(F.min(F.struct("id", "rid")).alias("first"))
+    bodies = rows.filter("id is not null").select(F.struct().alias("doc"), "id", "t").mapInArrow(_bodies, "doc struct<>, id long, seq binary, body binary")
+    reps = reliable(bodies.filter("seq is not null").groupBy("seq").agg(F.first("body").alias("body")).withColumn("rn", F.monotonically_increasing_id()))
+    labels = _labelled(reps, similarity, star_rounds)
     classed = reliable(firsts.join(reps.select("seq", "rn"), "seq").join(labels, "rn", "left").select("seq", "first", F.coalesce("label", "rn").alias("label")))
     heads = reliable(classed.groupBy("label").agg(F.min("first").alias("head")))
     verdict = reliable(classed.join(heads, "label").select("seq", "head"))
     own = F.struct("id", "rid")
     return base.join(verdict, "seq", "left").select("doc", F.coalesce(F.col("head.id"), F.col("id")).alias("class_id"), F.coalesce(own == F.col("head"), F.lit(True)).alias("is_first"))
+
+
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8, star_rounds: int = 2) -> DataFrame:
+    """The rows of ``docs`` with one row, of least id, for each class of ``near_duplicates``; rows that are a class alone stay.
+
+    The kept texts come from the table of distinct texts, so texts are not joined again with the input.
+    """
+    others = [c for c in docs.columns if c != text]
+    rows = nested(docs, others, t=text, id=doc_id).withColumn("id", F.col("id").cast("long"))
+    alone = F.col("id").isNull() | ~F.coalesce(F.col("t").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    out_type = T.StructType([rows.schema["doc"], T.StructField("t", T.StringType())])
+    in_type = T.StructType([rows.schema["doc"], rows.schema["id"], T.StructField("seq", T.BinaryType()), T.StructField("body", T.BinaryType())])
+    bodies = rows.filter(~alone).mapInArrow(_bodies, in_type)
+    one = bodies.groupBy("seq").agg(F.min_by(F.struct("doc", "body"), "id").alias("x"), F.min("id").alias("id"))
+    reps = reliable(one.select("id", "x.doc", "x.body").withColumn("rn", F.monotonically_increasing_id()))
+    labels = _labelled(reps, similarity, star_rounds)
+    heads = labels.join(reps.select("rn", "id"), "rn").groupBy("label").agg(F.min_by("rn", F.struct("id", "rn")).alias("head"))
+    losers = reliable(labels.join(reliable(heads), "label").filter("rn <> head").select("rn"))
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([zlib.decompress(x).decode() for x in b.column("body").to_pylist()], pa.string())], names=["doc", "t"])
+
+    kept = reps.join(losers, "rn", "left_anti").select("doc", "body").mapInArrow(texts, out_type)
+    whole = rows.filter(alone).select("doc", "t").unionByName(kept)
+    return whole.select(*[F.col("t").alias(text) if c == text else F.col(f"doc.`{c}`") for c in docs.columns])

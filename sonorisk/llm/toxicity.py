@@ -5,8 +5,8 @@ over all documents.  Labelled examples are indexed in blocks of postings with th
 block; a query visits blocks by falling upper bound and stops when no block can beat its k-th neighbour, so the
 neighbours are exact.  Their votes, weighted by cosine, are calibrated on the labelled rows, each judged without itself.
 
-Scale: one pass turns every text into a short vector over at most ``max_terms`` terms, checkpointed; frequencies and
-scores come from that table.  The index is a broadcast: at most ``max_examples`` labelled rows of ``max_terms`` terms.
+Scale: one pass counts the selected terms over all documents, one scores them where they lie; no text is shuffled.  The index
+is a broadcast: at most ``max_examples`` labelled rows over ``max_terms`` terms.
 """
 
 from __future__ import annotations
@@ -30,6 +30,12 @@ def terms_of(text: str | None) -> list[str]:
     return TERM.findall(text.lower()) if text else []
 
 
+def vector_of(text: str | None, number: dict[str, int]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Numbers of the selected terms of a text, ascending, and their counts."""
+    found = sorted(Counter(number[x] for x in terms_of(text) if x in number).items())
+    return tuple(t for t, _ in found), tuple(c for _, c in found)
+
+
 def select_terms(term_counts: Sequence[tuple[str, int, int]], n_toxic: int, n_clean: int, max_terms: int, min_docs: int) -> list[str]:
     """Terms whose log odds towards toxic rows exceed twice their standard error, by that ratio."""
     scored = []
@@ -133,7 +139,7 @@ def score_toxicity(
     if hold_out:
         known = known.filter(~held)
     first = known.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(max_examples)
-    learn = reliable(rows.filter("t is not null").select("id", "t").join(F.broadcast(first), "id"))  # max_examples rows
+    learn = reliable(rows.select("id", "t").join(F.broadcast(first), "id"))  # max_examples rows
 
     def distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,25 +157,30 @@ def score_toxicity(
     terms = select_terms([(r.term, r.a, r.b) for r in strongest.collect()], n_toxic, n_clean, max_terms, min_docs)
     shared_terms = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
+    def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, seen, n = shared_terms.value, Counter(), 0
+        for b in batches:
+            n += b.num_rows
+            for t in b.column("t").to_pylist():
+                seen.update({number[x] for x in terms_of(t) if x in number})
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *seen], pa.int32()), pa.array([n, *seen.values()], pa.int64())], names=["t", "n"])
+
+    freq = {r.t: r.n for r in rows.select("t").mapInArrow(document_counts, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}  # max_terms rows
+    n_docs = freq.pop(-1, 0)
+    idf = np.full(len(terms), math.log(1 + n_docs) + 1)
+    for t, n in freq.items():
+        idf[t] = math.log((1 + n_docs) / (1 + n)) + 1
+
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = shared_terms.value
         for b in batches:
-            found = [sorted(Counter(number[x] for x in terms_of(t) if x in number).items()) for t in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc"), b.column("id"), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.int32()))],
-                names=["doc", "id", "terms", "counts"],
-            )
-
-    vec_type = T.StructType([rows.schema["doc"], rows.schema["id"], T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
-    vecs = reliable(rows.mapInArrow(vectors, vec_type))
-    n_docs = vecs.count()
-    freq = vecs.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()  # max_terms rows
-    idf = np.full(len(terms), math.log(1 + n_docs))
-    for r in freq:
-        idf[r.t] = math.log((1 + n_docs) / (1 + r.n)) + 1
+            found = [vector_of(t, number) for t in b.column("t").to_pylist()]
+            lists = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), *lists], names=["id", "y", "terms", "counts"])
 
+    vec_type = T.StructType([learn.schema["id"], T.StructField("y", T.IntegerType()), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
     examples: dict[tuple, list] = {}
-    for r in vecs.select("id", "terms", "counts").join(F.broadcast(first), "id").select("terms", "counts", "y", "id").collect():  # max_examples rows
+    for r in learn.select("id", "y", "t").mapInArrow(vectors, vec_type).collect():  # max_examples rows
         e = examples.setdefault((tuple(r.terms), tuple(r.counts)), [0, 0, []])
         e[0 if r.y else 1] += 1
         e[2].append(r.id)
@@ -197,20 +208,19 @@ def score_toxicity(
     model = spark.sparkContext.broadcast((index, idf, prior, rest, a, b))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, idf, prior, rest, a, b = model.value
+        number, (index, idf, prior, rest, a, b) = shared_terms.value, model.value
         cache: dict[tuple, tuple[float, list[int]]] = {}
         for batch in batches:
             out = []
-            for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                key = (tuple(t), tuple(c))
+            for key in (vector_of(t, number) for t in batch.column("t").to_pylist()):
                 if key not in cache:
                     if len(cache) > 50_000:
                         cache.clear()
-                    near = index.nearest(t, weigh(t, c, idf), k) if t else []
+                    near = index.nearest(key[0], weigh(*key, idf), k) if key[0] else []
                     s = 1 / (1 + math.exp(-max(-30.0, min(30.0, a * _logit(vote(near, index.votes, prior)) + b)))) if near else rest
                     cache[key] = s, [i for _, e in near[:3] for i in index.ids[e]][:3]
                 out.append(cache[key])
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("id"), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.list_(batch.column("id").type))], names=["doc", "id", "score", "evidence"])
 
     out_type = T.StructType([rows.schema["doc"], rows.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(rows.schema["id"].dataType))])
-    return vecs.mapInArrow(scores, out_type).select("doc", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+    return rows.select("doc", "id", "t").mapInArrow(scores, out_type).select("doc", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
