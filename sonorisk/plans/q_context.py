@@ -8,6 +8,7 @@ from sonorisk.operators import context as C
 from sonorisk.plans.fixtures import cte, events, micros, re4, sql, table
 from sonorisk.plans.q_text import WEIGHT_SQL, segments, session_text
 from sonorisk.plans.registry import query
+from sonorisk.scale import literal_table
 
 REPUTATION = [("t1", 0.7), ("as3", 0.55), ("t4", 0.3)]
 ROUTES = [("t2",), ("as4",)]
@@ -80,7 +81,7 @@ def registered(spark, sf):
 
 def meta(spark, sf):
     return C.metadata_risk(
-        mcalls(spark, sf), registered(spark, sf), spark.createDataFrame(REPUTATION, "route string, score double"), spark.createDataFrame(ROUTES, "route string")
+        mcalls(spark, sf), registered(spark, sf), literal_table(spark, REPUTATION, "route string, score double"), literal_table(spark, ROUTES, "route string")
     )
 
 
@@ -100,12 +101,12 @@ def jon02(spark, sf):
 
 @query("JON03", sql("SELECT session_id, CAST(rep AS DOUBLE) AS route_reputation FROM mflags", "mflags"))
 def jon03(spark, sf):
-    return C.route_reputation(mcalls(spark, sf), spark.createDataFrame(REPUTATION, "route string, score double")).select("session_id", "route_reputation")
+    return C.route_reputation(mcalls(spark, sf), literal_table(spark, REPUTATION, "route string, score double")).select("session_id", "route_reputation")
 
 
 @query("JON04", sql("SELECT session_id, intl AS via_international FROM mflags", "mflags"))
 def jon04(spark, sf):
-    return C.international_route(mcalls(spark, sf), spark.createDataFrame(ROUTES, "route string")).select("session_id", "via_international")
+    return C.international_route(mcalls(spark, sf), literal_table(spark, ROUTES, "route string")).select("session_id", "via_international")
 
 
 @query("FN28", sql("SELECT session_id, off_hours FROM mflags", "mflags"))

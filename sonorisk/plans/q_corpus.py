@@ -7,6 +7,7 @@ from sonorisk.operators import corpus as C
 from sonorisk.plans.fixtures import cte, sql, table
 from sonorisk.plans.registry import query
 from sonorisk.sources import manifest as M
+from sonorisk.scale import literal_table
 
 CHAINS = [["codec:g711u", "noise:10"], ["codec:opus"], ["noise:5"], []]
 _CH_SQL = "[" + ", ".join("[" + ", ".join(f"'{c}'" for c in ch) + "]" for ch in CHAINS) + "]"
@@ -366,7 +367,7 @@ GENS = [("xtts", "tts_xtts", "tts", "CPML", False), ("openvc", "vc_open", "vc",
 
 
 def plan(spark, sf):
-    g = spark.createDataFrame(GENS, "name string, family string, kind string, license string, commercial_use boolean")
+    g = literal_table(spark, GENS, "name string, family string, kind string, license string, commercial_use boolean")
     return C.generation_plan(manifest(spark, sf), g, 150, 21)
 
 

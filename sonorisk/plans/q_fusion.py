@@ -6,6 +6,7 @@ from sonorisk.functions.math import logit, r6
 from sonorisk.operators import fusion
 from sonorisk.plans.fixtures import cte, head_scores, logit_sql, sigmoid_sql, sql
 from sonorisk.plans.registry import query
+from sonorisk.scale import literal_table
 
 cte(
     "fused",
@@ -105,7 +106,7 @@ cte(
 
 
 def calibrated(spark, sf):
-    cal = spark.createDataFrame(CAL_ROWS, "head_id string, model_version string, method string, a double, b double, temperature double, version string")
+    cal = literal_table(spark, CAL_ROWS, "head_id string, model_version string, method string, a double, b double, temperature double, version string")
     h = head_scores(spark, sf).withColumns({"raw_score": logit("p_spoof"), "calibration_version": F.lit("native")})
     return fusion.apply_calibration(h, cal)
 

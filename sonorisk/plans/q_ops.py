@@ -7,6 +7,7 @@ from sonorisk.functions.math import r6
 from sonorisk.operators import governance as G, monitoring as MO
 from sonorisk.plans.fixtures import cte, events, head_scores, micros, sql, table, windows
 from sonorisk.plans.registry import query
+from sonorisk.scale import literal_table
 
 NOW = 1_000_000_000_000_000  # 2001-09-09
 cte(
@@ -28,7 +29,7 @@ def evidence(spark, sf):
 
 
 def policies(spark):
-    return spark.createDataFrame([(t, d, 90, 365, 700) for t, d in DAYS.items()], "tenant_id string, evidence_days int, timeline_days int, feedback_days int, voiceprint_inactive_days int")
+    return literal_table(spark, [(t, d, 90, 365, 700) for t, d in DAYS.items()], "tenant_id string, evidence_days int, timeline_days int, feedback_days int, voiceprint_inactive_days int")
 
 
 def holds(spark, sf):
@@ -109,7 +110,7 @@ MATRIX = [("fraud_detection", ["contract", "legal_obligation"], False, False, Tr
     WHEN p = 1 AND event_id % 7 = 0 THEN 'consent reference missing' WHEN p = 1 AND event_id % 11 = 0 THEN 'cannot be bundled' ELSE 'ok' END END AS why FROM (SELECT event_id, event_id % 5 AS p, user_id % 3 AS b FROM events))""",
 )
 def flt08(spark, sf):
-    m = spark.createDataFrame(MATRIX, "purpose string, allowed_bases array<string>, disabled boolean, requires_consent_record boolean, bundling_allowed boolean")
+    m = literal_table(spark, MATRIX, "purpose string, allowed_bases array<string>, disabled boolean, requires_consent_record boolean, bundling_allowed boolean")
     i = F.col("event_id")
     pick = lambda xs, k: F.element_at(F.array(*[F.lit(x) for x in xs]), (k + 1).cast("int"))
     r = table(spark, sf, "events").select(

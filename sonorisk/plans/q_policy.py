@@ -7,6 +7,7 @@ from sonorisk.operators import evidence as EV, policy as PO
 from sonorisk.plans.fixtures import cte, micros, re4, sql, table
 from sonorisk.plans.q_context import FINAL_SQL
 from sonorisk.plans.registry import query
+from sonorisk.scale import literal_table
 
 LABELS = [[], ["credential_request"], ["authority_pressure", "secrecy_demand"], ["payment_request"]]
 _LAB_SQL = "[" + ", ".join("[" + ", ".join(f"'{x}'" for x in lab) + "]" for lab in LABELS) + "]"
@@ -161,7 +162,7 @@ _ROUTE_SQL = """SELECT o_orderkey AS event_id, s.sid AS subscription_id FROM ord
 def routed(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("tenant_id"))
     e = table(spark, sf, "orders").join(c, "o_custkey").select("tenant_id", F.col("o_orderkey").alias("event_id"), F.col("o_orderstatus").alias("event_type"))
-    return PO.route_events(e, spark.createDataFrame(SUBS, "subscription_id string, tenant_id string, event_types array<string>"))
+    return PO.route_events(e, literal_table(spark, SUBS, "subscription_id string, tenant_id string, event_types array<string>"))
 
 
 @query("JON24", _ROUTE_SQL)

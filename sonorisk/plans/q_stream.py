@@ -11,7 +11,7 @@ from sonorisk.plans.q_session import STATE, rec_sql
 from sonorisk.plans.q_signal import challenges, responses
 from sonorisk.plans.q_text import WIN11_SQL, _seg_sql, segments
 from sonorisk.plans.registry import query
-from sonorisk.scale import shared_path
+from sonorisk.scale import literal_table, shared_path
 from sonorisk.streaming import jobs as J, processors as PR
 
 
@@ -155,7 +155,7 @@ def src16(spark, sf):
 
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("tenant_id"))
     e = table(spark, sf, "orders").join(c, "o_custkey").select("tenant_id", F.col("o_orderkey").alias("event_id"), F.col("o_orderstatus").alias("event_type"))
-    subs = spark.createDataFrame(SUBS, "subscription_id string, tenant_id string, event_types array<string>")
+    subs = literal_table(spark, SUBS, "subscription_id string, tenant_id string, event_types array<string>")
     s = route_events(_topic(spark, e, "event_id"), subs).select("event_id", "subscription_id")
     return J.run_available(s, "routed")
 

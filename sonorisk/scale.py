@@ -6,9 +6,9 @@ third of a 100 TB table.  The helpers here pick by the planner's own size estima
 
 * at or under ``SINGLE_TASK_BYTES`` a native window is used, so the group is bounded by a
   checked size;
-* above it the rows are range partitioned on (key, order), which spreads one hot key over
-  many tasks, each task runs a streaming cumulative sum over its sorted rows, and the
-  per-partition totals (one row per key and partition) give the offsets.
+* above it the rows are range partitioned on (key, order), which cuts one hot key into many
+  parts; a window runs inside (key, part), and the totals of the parts (one row per key and
+  part) give the offsets.  Both plans return the same rows, NULLs included.
 
 Range boundaries come from sampling, so the partitioned rows are checkpointed before they
 are read twice; a lost executor or a pruned second read can then not move a boundary.
@@ -58,9 +58,41 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def literal_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A table of the program's own rows as one literal array, with a true size estimate.
+
+    ``createDataFrame`` reports the largest size there is, so its tables are never broadcast.
+    """
+    kind = T._parse_datatype_string(schema)
+    names = [f.name for f in kind.fields]
+
+    def lit(v, t):
+        if v is None:
+            return F.lit(None).cast(t)
+        if isinstance(t, T.ArrayType):
+            return F.array(*[lit(x, t.elementType) for x in v]).cast(t)
+        if isinstance(t, T.MapType):
+            return F.create_map(*[lit(x, u) for k in v.items() for x, u in zip(k, (t.keyType, t.valueType), strict=True)]).cast(t)
+        return F.lit(v).cast(t)
+
+    structs = [F.struct(*[lit(v, f.dataType).alias(f.name) for v, f in zip(r, kind.fields, strict=True)]) for r in rows]
+    one = spark.range(1, numPartitions=1)
+    if not structs:
+        return one.filter("false").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields])
+    return one.select(F.inline(F.array(*structs))).toDF(*names)
+
+
 def small_or_plain(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
-    """Broadcast hint only when the size estimate is under ``limit``; otherwise a shuffle join."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    """Broadcast hint only when the size estimate is under ``limit``; otherwise a shuffle join.
+
+    Estimates count files compressed and know nothing of exploded rows, so files count eightfold and a plan that
+    generates rows from a table gets no hint.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    stored = "Relation [" in plan or "LogicalRDD" in plan
+    if stored and "Generate " in plan:
+        return df
+    return F.broadcast(df) if estimated_bytes(df) * (8 if stored else 1) <= limit else df
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -79,6 +111,20 @@ def _num_partitions(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi join in which NULL keys match; the right side's keys are dropped.  Without keys, ``right`` is one row."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    if not keys:
+        return left.join(F.broadcast(renamed))
+    on = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def _ranged(df: DataFrame, by: Sequence[Column | str]) -> DataFrame:
+    """Rows range partitioned by ``by``, with the number of their part; checkpointed, so that boundaries stay."""
+    return materialize(df.repartitionByRange(_num_partitions(df), *by).withColumn("_part", F.spark_partition_id()))
+
+
 def prefix_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -88,56 +134,25 @@ def prefix_sums(
 ) -> DataFrame:
     """Add inclusive running sums ``sums[out] = column`` per key in the given order.
 
-    ``order`` must be a total order inside a key, and keys must not be NULL.
+    ``order`` must be a total order inside a key.  A NULL key is a key, and NULL values are passed over, in both plans.
     """
     keys = list(keys)
-    if fits_one_task(df, limit):
-        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.select("*", *[F.sum(c).over(w).alias(o) for o, c in sums.items()])
-    n = _num_partitions(df)
-    cols = [*keys, *order]
-    ranged = materialize(
-        df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumn("_part", F.spark_partition_id())
-    )
-    outs, ins = list(sums), list(sums.values())
-    types = {f.name: f.dataType for f in ranged.schema}
-    schema = T.StructType(
-        [*ranged.schema.fields]
-        + [T.StructField(o, T.DoubleType() if isinstance(types[c], (T.DoubleType, T.FloatType)) else T.LongType()) for o, c in sums.items()]
-    )
 
-    def running(batches):
-        last, carry = None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if keys:
-                k = pdf[keys]
-                new = (k != k.shift()).any(axis=1)
-                run = new.cumsum()
-                first = tuple(k.iloc[0])
-                tail = tuple(k.iloc[-1])
-            else:
-                run = pd.Series(0, index=pdf.index)
-                first = tail = ()
-            cum = pdf[ins].groupby(run.values).cumsum()
-            if last == first and carry is not None:
-                same = (run == run.iloc[0]).values
-                for c in set(ins):
-                    col = cum[c].iloc[:, 0] if isinstance(cum[c], pd.DataFrame) else cum[c]
-                    cum[c] = col.where(~same, col + carry[c])
-            last, carry = tail, {c: cum[c].iloc[-1] for c in ins}
-            yield pdf.assign(**{o: cum[c].values for o, c in sums.items()})
-
-    local = ranged.mapInPandas(running, schema)
-    part_totals = ranged.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
-    w = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = part_totals.select(
-        *keys, "_part", *[F.coalesce(F.sum(f"_t_{o}").over(w), F.lit(0)).alias(f"_o_{o}") for o in outs]
-    )
-    joined = local.join(offsets, [*keys, "_part"])
-    keep = [c for c in df.columns]
-    return joined.select(*keep, *[(F.col(o) + F.col(f"_o_{o}")).alias(o) for o in outs])
+    def running(by: Sequence[str]) -> list[Column]:
+        w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return [F.sum(c).over(w).alias(o) for o, c in sums.items()]
+
+    if fits_one_task(df, limit):
+        return df.select("*", *running(keys))
+    ranged = _ranged(df, [*keys, *order])
+    within = [*keys, "_part"]  # one key's rows of one part: a hot key is as many groups as it has parts
+    totals = ranged.groupBy(*within).agg(*[F.sum(c).alias(f"_o_{o}") for o, c in sums.items()])
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*within, *[F.sum(f"_o_{o}").over(before).alias(f"_o_{o}") for o in sums])
+    joined = null_safe_join(ranged.select("*", *running(within)), offsets, within)
+    total = lambda o: F.coalesce(F.col(o) + F.col(f"_o_{o}"), F.col(o), F.col(f"_o_{o}"))
+    kinds = df.select(*running(keys)).schema
+    return joined.select(*df.columns, *[total(o).cast(kinds[o].dataType).alias(o) for o in sums])
 
 
 def ordered_index(
@@ -161,7 +176,7 @@ def exact_quantiles(
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     cum = prefix_sums(counts, keys, [value], {"_cum": "_c"}, limit)
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    j = cum.join(totals, keys) if keys else cum.join(F.broadcast(totals))  # without keys: one row
+    j = null_safe_join(cum, totals, keys)
     aggs = []
     for name, q in probs.items():
         pos = (F.col("_n") - 1) * F.lit(float(q))
@@ -187,33 +202,14 @@ def running_last(
     if fits_one_task(df, limit):
         w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
-    n = _num_partitions(df)
-    by = [*keys, *order]
-    ranged = materialize(
-        df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id())
-    )
-
-    def fill(batches):
-        last, carry = None, {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            k = pdf[keys]
-            run = (k != k.shift()).any(axis=1).cumsum() if keys else pd.Series(0, index=pdf.index)
-            filled = pdf.groupby(run.values)[cols].ffill()
-            if (tuple(k.iloc[0]) if keys else ()) == last:
-                first = (run == run.iloc[0]).values
-                for c in cols:
-                    if not pd.isna(carry[c]):
-                        filled[c] = filled[c].where(~(first & filled[c].isna().values), carry[c])
-            last, carry = (tuple(k.iloc[-1]) if keys else ()), {c: filled[c].iloc[-1] for c in cols}
-            yield pdf.assign(**{c: filled[c] for c in cols})
-
-    local = ranged.mapInPandas(fill, ranged.schema)
-    tails = ranged.groupBy(*keys, "_part").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_pos"))).alias(f"_t_{c}") for c in cols])
-    w = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    before = tails.select(*keys, "_part", *[F.last(f"_t_{c}", ignorenulls=True).over(w).alias(f"_b_{c}") for c in cols])
-    j = local.join(before, [*keys, "_part"])
+    ranged = _ranged(df, [*keys, *order])
+    within = [*keys, "_part"]
+    w = W.partitionBy(*within).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    filled = materialize(ranged.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols}).withColumn("_pos", F.row_number().over(w)))
+    tails = filled.groupBy(*within).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_pos"))).alias(f"_b_{c}") for c in cols])
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    heads = tails.select(*within, *[F.last(f"_b_{c}", ignorenulls=True).over(before).alias(f"_b_{c}") for c in cols])
+    j = null_safe_join(filled, heads, within)
     return j.select(*[F.coalesce(F.col(c), F.col(f"_b_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 

@@ -23,3 +23,18 @@ def test_query_agrees_with_sql(spark, sf, key):
     names = [d[0] for d in cur.description]
     want = sorted(str([r[names.index(c)] for c in df.columns]) for r in cur.fetchall())
     assert sorted(str(list(r)) for r in df.collect()) == want
+
+
+@pytest.mark.parametrize("key", ["WIN01", "WIN02", "AGG04", "AGG34", "AGG39", "JON11", "TOP05", "TOP11", "WIN03", "WIN10", "WIN13"])
+def test_spread_plan_agrees_with_sql(spark, sf, key, monkeypatch):
+    """Every size switch forced to the plan for large inputs."""
+    from sonorisk import scale
+
+    monkeypatch.setattr(scale, "SINGLE_TASK_BYTES", -1)
+    test_query_agrees_with_sql(spark, sf, key)
+
+
+@pytest.mark.parametrize("key", ["JON01", "JON17", "JON18", "JON24", "FLT08", "JON03"])
+def test_literal_tables_do_not_shuffle_the_facts(spark, sf, key):
+    plan = REG.QUERIES[key](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -74,3 +74,43 @@ def test_broadcast_only_below_the_limit(spark):
     df = spark.range(10)
     assert "broadcast" in scale.small_or_plain(df)._jdf.queryExecution().toString().lower()
     assert "broadcast" not in scale.small_or_plain(df, limit=-1)._jdf.queryExecution().toString().lower()
+
+
+def odd(spark):
+    """NULL keys, NULL values, longs past 2**53, decimals; one key holds most rows."""
+    big = F.lit(9007199254740993).cast("long")
+    i = F.col("id")
+    return spark.range(400).select(
+        F.when(i % 5 == 0, F.lit(None)).when(i % 5 < 4, F.lit("hot")).otherwise(F.concat(F.lit("k"), i % 3)).alias("k"), i.alias("i"),
+        F.when(i % 3 == 0, big + i).alias("v"), F.when(i % 4 > 0, (i / 4).cast("decimal(10,2)")).alias("d"), F.when(i > 390, F.lit(1)).alias("late"),
+    )
+
+
+def both(spark, fn):
+    a, b = fn(odd(spark), 1 << 70), fn(odd(spark), -1)
+    assert a.schema.simpleString() == b.schema.simpleString() or [f.dataType for f in a.schema] == [f.dataType for f in b.schema]
+    x, y = (sorted(map(repr, d.collect())) for d in (a, b))
+    assert x == y and x
+    return x
+
+
+def test_running_sums_agree_with_nulls_and_big_values(spark):
+    assert len(both(spark, lambda d, n: scale.prefix_sums(d, ["k"], ["i"], {"cv": "late", "cd": "d", "ci": "i"}, n))) == 400
+    both(spark, lambda d, n: scale.prefix_sums(d.withColumn("v", F.col("v") % 1000), ["k"], ["i"], {"cv": "v"}, n))
+    both(spark, lambda d, n: scale.ordered_index(d, ["k"], ["i"], "rn", n))
+
+
+def test_carries_agree_with_nulls_and_big_values(spark):
+    rows = both(spark, lambda d, n: scale.running_last(d, ["k"], ["i"], ["v", "d", "late"], n))
+    assert any("9007199254740993" in r for r in rows)
+
+
+def test_quantiles_agree_with_null_keys(spark):
+    assert any("k=None" in r for r in both(spark, lambda d, n: scale.exact_quantiles(d, ["k"], "i", {"m": 0.5}, n)))
+
+
+def test_literal_tables_are_broadcast(spark):
+    t = scale.literal_table(spark, [("a", 1, ["x"]), ("b", None, [])], "k string, n int, l array<string>")
+    assert sorted(map(tuple, t.collect())) == [("a", 1, ["x"]), ("b", None, [])]
+    assert scale.literal_table(spark, [], "k string").count() == 0
+    assert scale.estimated_bytes(t) < 32 << 20
