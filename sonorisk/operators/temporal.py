@@ -1,22 +1,23 @@
 """Session smoothing: two-state filter, short-segment trigger, and the risk state machine.
 
-One pure-Python step serves the batch fold and the streaming operator.  In batch the rows of a
-session stream through a sorted partition with constant memory (``fold_sorted``), so a long call is
-never held whole; beyond a checked input size sessions are split into parallel chunks (``chunked``).
+One fold serves batch and stream.  In batch every session is cut into chunks of a fixed number of windows, whatever
+the size of the input, and the chunks of a long session run in parallel (``chunked``).
 """
 
 from __future__ import annotations
 
 import math
-from collections import deque
+from bisect import bisect_right
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sonorisk.scale import fits_one_task, fold_sorted, prefix_sums
+from sonorisk.scale import prefix_sums
 
-RANK = {"LOW": 0, "ELEVATED": 1, "HIGH": 2}
+STATES = ("ABSTAIN", "LOW", "ELEVATED", "HIGH")
 
 
 @dataclass(frozen=True)
@@ -49,143 +50,139 @@ def _sigmoid(z: float) -> float:
     return 1.0 / (1.0 + math.exp(-min(max(z, -35.0), 35.0)))
 
 
+class RiskAutomaton:
+    """The risk state machine as a table from (position, zone) to position.
+
+    Only the zone of p between the cut points matters, so a zone's lower end decides for all of it; a last zone stands for
+    windows at which the session cannot be judged.  A position is a state and, above LOW, the windows spent below its exit.
+    Rows of the table compose, so any run of windows is again a map of positions.
+    """
+
+    def __init__(self, thr: RiskThresholds) -> None:
+        enter = (thr.elevated, thr.high)
+        leave = tuple(x - thr.exit_margin for x in enter)
+        self.cuts = sorted({*enter, *leave})
+        waits = range(max(1, thr.min_dwell_windows))
+        self.positions = [(0, 0), (1, 0), *[(level, k) for level in (2, 3) for k in waits]]
+        at = {pos: i for i, pos in enumerate(self.positions)}
+        self.table = []
+        for level, waited in self.positions:
+            row = []
+            for p in (-math.inf, *self.cuts):
+                target = 1 + sum(p >= x for x in enter)
+                if target >= level:
+                    row.append(at[target, 0])
+                elif p >= leave[level - 2]:
+                    row.append(at[level, 0])
+                elif waited + 1 < len(waits):
+                    row.append(at[level, waited + 1])
+                else:
+                    row.append(at[1 + sum(p >= x for x in leave), 0])
+            self.table.append([*row, at[0, 0]])
+        self.unusable = len(self.cuts) + 1
+
+    def zone(self, p: float, usable: bool) -> int:
+        return bisect_right(self.cuts, p) if usable else self.unusable
+
+
 @dataclass
-class SessionTracker:
-    """Everything one session carries from window to window."""
+class SessionFold:
+    """What a session carries from window to window: odds, counts, the last scored windows, the peak, the position."""
 
     cfg: SmoothingConfig = field(default_factory=SmoothingConfig)
     thr: RiskThresholds = field(default_factory=RiskThresholds)
-    log_odds: float | None = None
-    n_windows: int = 0
-    n_scored: int = 0
+    odds: float | None = None
+    n: int = 0
+    scored: int = 0
     p_sum: float = 0.0
-    llrs: deque = field(default_factory=deque)
-    ps: deque = field(default_factory=deque)
-    segment_max: float = 0.0
-    segment_window: int | None = None
-    segment_mean_max: float = 0.0
-    state: str = "ABSTAIN"
-    below: int = 0
-
-    @property
-    def p_hmm(self) -> float:
-        return _sigmoid(self.log_odds if self.log_odds is not None else _logit(self.cfg.session_prior))
-
-    @property
-    def p_session(self) -> float:
-        return max(self.p_hmm, self.segment_max)
-
-    @property
-    def p_mean(self) -> float:
-        return self.p_sum / self.n_scored if self.n_scored else 0.0
-
-    @property
-    def abstain_ratio(self) -> float:
-        return (self.n_windows - self.n_scored) / self.n_windows if self.n_windows else 1.0
-
-    def push(self, window_id: int, p: float | None) -> str:
-        """Take one window (None = every head abstained); returns the risk state after it."""
-        c = self.cfg
-        prior, e = self.p_hmm, c.switch_prob
-        self.log_odds = _logit(prior * (1 - e) + (1 - prior) * e)
-        self.n_windows += 1
-        if p is not None and p == p:
-            llr = min(max(_logit(p) - _logit(c.window_prior), -c.llr_clip), c.llr_clip)
-            self.log_odds = min(max(self.log_odds + c.evidence_scale * llr, -30.0), 30.0)
-            self.n_scored += 1
-            self.p_sum += p
-            self.llrs.append(llr)
-            self.ps.append(p)
-            if len(self.llrs) > c.segment_windows:
-                self.llrs.popleft()
-                self.ps.popleft()
-            self.segment_mean_max = max(self.segment_mean_max, sum(self.ps) / len(self.ps))
-            if len(self.llrs) == c.segment_windows:
-                seg = _sigmoid(_logit(c.segment_prior) + c.evidence_scale * sum(self.llrs))
-                if seg > self.segment_max:
-                    self.segment_max, self.segment_window = seg, window_id
-        self._transition(self.p_session)
-        return self.state
-
-    def _level(self, p: float) -> str:
-        return "HIGH" if p >= self.thr.high else "ELEVATED" if p >= self.thr.elevated else "LOW"
-
-    def _transition(self, p: float) -> None:
-        t = self.thr
-        if self.n_scored < t.min_scored_windows or self.abstain_ratio > t.max_abstain_ratio:
-            self.state, self.below = "ABSTAIN", 0
-            return
-        target = self._level(p)
-        if self.state == "ABSTAIN" or RANK[target] > RANK[self.state]:
-            self.state, self.below = target, 0
-        elif target == self.state:
-            self.below = 0
-        elif p < (t.high if self.state == "HIGH" else t.elevated) - t.exit_margin:
-            self.below += 1
-            if self.below >= t.min_dwell_windows:
-                self.state, self.below = self._level(p + t.exit_margin), 0
-        else:
-            self.below = 0
-
-    # plain-tuple form for a streaming state store
-    def dump(self) -> tuple:
-        return (
-            self.log_odds, self.n_windows, self.n_scored, self.p_sum, list(self.llrs), list(self.ps), self.segment_max,
-            self.segment_window, self.segment_mean_max, self.state, self.below,
-        )
+    tail: list = field(default_factory=list)  # (evidence, p) of the last scored windows, one fewer than a segment has
+    peak: float = 0.0
+    peak_window: int | None = None
+    mean_peak: float = 0.0
+    position: int = 0
+
+    def run(self, window_ids: Iterable[int], ps: Iterable[float | None]) -> list[tuple]:
+        """Take windows in order (None: every head abstained); one timeline row each, without the session id."""
+        c, t = self.cfg, self.thr
+        auto = automaton(t)
+        table, names = auto.table, [STATES[level] for level, _ in auto.positions]
+        stay, switch, size = 1 - c.switch_prob, c.switch_prob, c.segment_windows
+        base, seg_base = _logit(c.window_prior), _logit(c.segment_prior)
+        odds = math.exp(_logit(c.session_prior)) if self.odds is None else self.odds
+        out = []
+        for w, p in zip(window_ids, ps, strict=True):
+            odds = min(max((stay * odds + switch) / (switch * odds + stay), LEAST_ODDS), 1 / LEAST_ODDS)
+            self.n += 1
+            if p is not None:
+                llr = min(max(_logit(p) - base, -c.llr_clip), c.llr_clip)
+                odds = min(max(odds * math.exp(c.evidence_scale * llr), FLOOR), 1 / FLOOR)
+                self.scored += 1
+                self.p_sum += p
+                last = [*self.tail, (llr, p)]
+                self.mean_peak = max(self.mean_peak, sum(x for _, x in last) / len(last))
+                if len(last) == size:
+                    seg = _sigmoid(seg_base + c.evidence_scale * sum(x for x, _ in last))
+                    if seg > self.peak:
+                        self.peak, self.peak_window = seg, w
+                    last = last[1:]
+                self.tail = last
+            p_hmm = odds / (1 + odds)
+            p_session, abstained = max(p_hmm, self.peak), (self.n - self.scored) / self.n
+            usable = self.scored >= t.min_scored_windows and abstained <= t.max_abstain_ratio
+            self.position = table[self.position][auto.zone(p_session, usable)]
+            mean = self.p_sum / self.scored if self.scored else 0.0
+            out.append((w, p, p_hmm, self.peak, self.peak_window, p_session, mean, max(self.mean_peak, mean), self.scored, abstained, names[self.position]))
+        self.odds = odds
+        return out
+
+    def dump(self) -> list:
+        """Plain values for a state store."""
+        return [self.odds, self.n, self.scored, self.p_sum, [list(x) for x in self.tail], self.peak, self.peak_window, self.mean_peak, self.position]
 
     @classmethod
-    def restore(cls, v: tuple, cfg: SmoothingConfig | None = None, thr: RiskThresholds | None = None) -> SessionTracker:
-        t = cls(cfg or SmoothingConfig(), thr or RiskThresholds())
-        (t.log_odds, t.n_windows, t.n_scored, t.p_sum, a, b, t.segment_max, t.segment_window, t.segment_mean_max, t.state, t.below) = v
-        t.llrs, t.ps = deque(a), deque(b)
-        return t
+    def restore(cls, v: list, cfg: SmoothingConfig | None = None, thr: RiskThresholds | None = None) -> SessionFold:
+        f = cls(cfg or SmoothingConfig(), thr or RiskThresholds())
+        f.odds, f.n, f.scored, f.p_sum, tail, f.peak, f.peak_window, f.mean_peak, f.position = v
+        f.tail = [tuple(x) for x in tail]
+        return f
+
 
+LEAST_ODDS = 1e-6 / (1 - 1e-6)
+FLOOR = math.exp(-30.0)
 
-TIMELINE_FIELDS = (
-    "session_id long, window_id long, p_window double, p_hmm double, p_segment_max double, segment_window long, p_session double, "
+
+@lru_cache(maxsize=64)
+def automaton(thr: RiskThresholds) -> RiskAutomaton:
+    return RiskAutomaton(thr)
+
+
+TIMELINE = (
+    "window_id long, p_window double, p_hmm double, p_segment_max double, segment_window long, p_session double, "
     "p_mean double, p_mean_max double, n_scored long, abstain_ratio double, state string"
 )
+COLUMNS = ["session_id", *[f.strip().split(" ")[0] for f in TIMELINE.split(",")]]
 
 
-def track_rows(tracker: SessionTracker, session_id: int, window_ids, ps) -> list[tuple]:
-    rows = []
-    for w, p in zip(window_ids, ps, strict=True):
-        w, p = int(w), (None if p is None or p != p else float(p))
-        state = tracker.push(w, p)
-        rows.append(
-            (session_id, w, p, tracker.p_hmm, tracker.segment_max, tracker.segment_window, tracker.p_session, tracker.p_mean,
-             max(tracker.segment_mean_max, tracker.p_mean), tracker.n_scored, tracker.abstain_ratio, state)
-        )
-    return rows
+def timeline_fields(session_type: str = "long") -> str:
+    """Schema of timeline rows; session ids keep their type."""
+    return f"session_id {session_type}, {TIMELINE}"
 
 
-COLUMNS = [f.strip().split(" ")[0] for f in TIMELINE_FIELDS.split(",")]
+TIMELINE_FIELDS = timeline_fields()
 
 
-def session_timeline(
-    fused: DataFrame, cfg: SmoothingConfig | None = None, thr: RiskThresholds | None = None, limit: int | None = None
-) -> DataFrame:
-    """Every window's smoothed risk and state.
-
-    An input of checked size runs as one pass over sessions; a larger one is split into chunks of each
-    session (``chunked``), so that one session may hold any share of the rows.
-    """
-    cfg, thr = cfg or SmoothingConfig(), thr or RiskThresholds()
-    if not fits_one_task(fused, limit):
-        from sonorisk.operators.chunked import CHUNK, chunked_timeline
+def timeline_frame(session_id, rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=COLUMNS[1:])
+    out.insert(0, "session_id", session_id)
+    out["segment_window"] = out["segment_window"].astype("Int64")
+    return out
 
-        return chunked_timeline(fused, cfg, thr, CHUNK)
 
-    def step(pdf: pd.DataFrame, tracker):
-        tracker = tracker or SessionTracker(cfg, thr)
-        rows = track_rows(tracker, int(pdf["session_id"].iloc[0]), pdf["window_id"].to_numpy(), pdf["p_fused"].to_numpy())
-        out = pd.DataFrame(rows, columns=COLUMNS)
-        out["segment_window"] = out["segment_window"].astype("Int64")
-        return out, tracker
+def session_timeline(fused: DataFrame, cfg: SmoothingConfig | None = None, thr: RiskThresholds | None = None, chunk: int | None = None) -> DataFrame:
+    """Every window's smoothed risk and state; a session longer than ``chunk`` windows runs as parallel chunks."""
+    from sonorisk.operators.chunked import CHUNK, chunked_timeline
 
-    src = fused.select(F.col("session_id").cast("long").alias("session_id"), F.col("window_id").cast("long").alias("window_id"), "p_fused")
-    return fold_sorted(src, ["session_id"], ["window_id"], step, TIMELINE_FIELDS)
+    return chunked_timeline(fused, cfg or SmoothingConfig(), thr or RiskThresholds(), chunk or CHUNK)
 
 
 def segment_evidence(fused: DataFrame, cfg: SmoothingConfig | None = None, limit: int | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ cte(
 )
 cte(
     "pre",
-    """SELECT fw.session_id, fw.window_id, fw.p, coalesce(max(seg.p_segment) OVER w, 0.0) AS smax, count(fw.p) OVER w AS n_scored, (count(*) OVER w - count(fw.p) OVER w) / count(*) OVER w AS ratio
+    """SELECT fw.session_id, fw.window_id, fw.p, coalesce(max(seg.p_segment) OVER w, 0.0) AS smax, greatest(coalesce(max(seg.mean_p) OVER w, 0.0), coalesce(avg(fw.p) OVER w, 0.0)) AS mmax, count(fw.p) OVER w AS n_scored, (count(*) OVER w - count(fw.p) OVER w) / count(*) OVER w AS ratio
     FROM fw LEFT JOIN seg USING (session_id, window_id) WINDOW w AS (PARTITION BY fw.session_id ORDER BY fw.window_id)""",
     "seg",
 )
@@ -60,9 +60,9 @@ def win03(spark, sf):
     return s.select("session_id", r6(F.col("segment_max")).alias("segment_max"), "segment_window", r6(F.col("segment_mean_max")).alias("segment_mean_max"))
 
 
-@query("WIN04", rec_sql("SELECT session_id, window_id, round(p_hmm, 6) AS p_hmm, round(ps, 6) AS p_session FROM r"))
+@query("WIN04", rec_sql("SELECT r.session_id, r.window_id, round(p_hmm, 6) AS p_hmm, round(ps, 6) AS p_session, round(mmax, 6) AS p_mean_max FROM r JOIN pre USING (session_id, window_id)"))
 def win04(spark, sf):
-    return timeline(spark, sf).select("session_id", "window_id", r6(F.col("p_hmm")).alias("p_hmm"), r6(F.col("p_session")).alias("p_session"))
+    return timeline(spark, sf).select("session_id", "window_id", r6(F.col("p_hmm")).alias("p_hmm"), r6(F.col("p_session")).alias("p_session"), r6(F.col("p_mean_max")).alias("p_mean_max"))
 
 
 @query("WIN05", rec_sql(f"SELECT session_id, window_id, {STATE} AS state FROM r"))

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from sonorisk.operators.context import RollingTranscript
-from sonorisk.operators.temporal import COLUMNS, SessionTracker, track_rows
+from sonorisk.operators.temporal import SessionFold, timeline_frame
 
 BLOB = StructType([StructField("v", StringType())])
 
@@ -44,17 +44,15 @@ def _gather(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class SessionRiskProcessor(JsonState):
-    """Fused windows in, timeline rows out; the same step as the batch fold."""
+    """Fused windows in, timeline rows out; the same fold as in batch."""
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _gather(rows).sort_values("window_id")
         s = self.load()
-        t = SessionTracker.restore(tuple(s["t"])) if s else SessionTracker()
-        out = track_rows(t, int(key[0]), pdf["window_id"], pdf["p_fused"])
-        self.save({"t": list(t.dump())})
-        df = pd.DataFrame(out, columns=COLUMNS)
-        df["segment_window"] = df["segment_window"].astype("Int64")
-        yield df
+        f = SessionFold.restore(s["f"]) if s else SessionFold()
+        rows = f.run(pdf["window_id"].astype("int64").tolist(), [None if p != p else float(p) for p in pdf["p_fused"].astype("float64")])
+        self.save({"f": f.dump()})
+        yield timeline_frame(key[0], rows)
 
 
 class DecisionProcessor(JsonState):

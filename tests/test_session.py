@@ -3,44 +3,42 @@
 import math
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from sonorisk.operators import fusion, temporal as TP
 
 
+def walk(ps, thr=None):
+    """States of the automaton alone, over session scores."""
+    auto, pos, seen = TP.automaton(thr or TP.RiskThresholds()), 0, []
+    for p in ps:
+        pos = auto.table[pos][auto.zone(p, p is not None) if p is not None else auto.unusable]
+        seen.append(TP.STATES[auto.positions[pos][0]])
+    return seen
+
+
 def test_hysteresis_leaves_a_state_only_after_the_dwell():
-    t = TP.SessionTracker()
-    t.n_scored = t.n_windows = 10
-    seen = []
-    for p in (0.75, 0.66, 0.64, 0.64, 0.64, 0.50):
-        t._transition(p)
-        seen.append(t.state)
-    assert seen == ["HIGH", "HIGH", "HIGH", "HIGH", "ELEVATED", "ELEVATED"]
+    assert walk((0.75, 0.66, 0.64, 0.64, 0.64, 0.50)) == ["HIGH", "HIGH", "HIGH", "HIGH", "ELEVATED", "ELEVATED"]
+    assert walk((0.75, *[0.1] * 5), TP.RiskThresholds(min_dwell_windows=5)) == ["HIGH"] * 5 + ["LOW"]
+    assert walk((0.5, None, 0.3, 0.34, 0.4)) == ["ELEVATED", "ABSTAIN", "LOW", "LOW", "ELEVATED"]
 
 
 def test_abstained_windows_never_raise_the_score():
-    t = TP.SessionTracker()
-    for w in range(5):
-        t.push(w, 0.9)
-    before = t.p_hmm
-    for w in range(5, 15):
-        t.push(w, None)
-    assert t.p_hmm <= before and t.abstain_ratio == 10 / 15 and t.n_scored == 5
+    rows = TP.SessionFold().run(range(15), [0.9] * 5 + [None] * 10)
+    assert rows[-1][2] <= rows[4][2] and rows[-1][9] == 10 / 15 and rows[-1][8] == 5
 
 
 def test_short_segment_is_found_in_a_long_genuine_call():
-    t = TP.SessionTracker()
-    for w in range(60):
-        t.push(w, 0.97 if 30 <= w < 33 else 0.1)
-    assert t.segment_window == 32 and t.segment_max > 0.7 > t.p_hmm
+    last = TP.SessionFold().run(range(60), [0.97 if 30 <= w < 33 else 0.1 for w in range(60)])[-1]
+    assert last[4] == 32 and last[3] > 0.7 > last[2]
 
 
 def test_state_survives_a_round_trip():
-    a = TP.SessionTracker()
-    for w in range(7):
-        a.push(w, 0.6)
-    b = TP.SessionTracker.restore(a.dump())
-    assert a.push(7, 0.9) == b.push(7, 0.9) and math.isclose(a.p_session, b.p_session)
+    a = TP.SessionFold()
+    a.run(range(7), [0.6] * 7)
+    b = TP.SessionFold.restore(a.dump())
+    assert a.run([7], [0.9]) == b.run([7], [0.9])
 
 
 def scores(spark, rows):
@@ -72,21 +70,33 @@ def test_timeline_and_native_segments_agree(spark):
             assert r.segment_window == last[r.session_id].segment_window
 
 
-def test_chunked_sessions_equal_the_single_pass(spark, monkeypatch):
+def drifting(seed=5):
+    """Sessions (text ids) with wandering scores, abstained runs and one gap of whole chunks."""
     import numpy as np
 
-    from sonorisk.operators import chunked
-
-    monkeypatch.setattr(chunked, "CHUNK", 7)
-    r = np.random.default_rng(5)
-    rows = []
-    for s, n in ((1, 200), (2, 6), (3, 50)):
+    r, rows = np.random.default_rng(seed), []
+    for s, n in (("call-a", 200), ("b", 6), ("c", 50), ("d", 90)):
         level = 0.3
         for w in range(n):
+            if s == "d" and 20 <= w < 60:
+                continue
             level = min(max(level + r.normal(0, 0.15), 0.02), 0.98) if w % 40 else r.uniform(0.05, 0.95)
             p = None if r.random() < (0.9 if 60 < w < 90 else 0.2) else float(np.clip(level + r.normal(0, 0.2), 1e-9, 1 - 1e-9))
             rows.append((s, w, p))
-    f = spark.createDataFrame(rows, "session_id long, window_id long, p_fused double")
-    key = lambda df: sorted((x.session_id, x.window_id, round(x.p_hmm, 9), round(x.p_segment_max, 9), x.segment_window, round(x.p_mean, 9), round(x.p_mean_max, 9), x.n_scored, x.state) for x in df.collect())
-    a, b = key(TP.session_timeline(f)), key(TP.session_timeline(f, limit=-1))
-    assert {x[-1] for x in a} >= {"LOW", "HIGH", "ABSTAIN"} and a == b
+    return rows
+
+
+@pytest.mark.parametrize("dwell", [1, 3, 5])
+@pytest.mark.parametrize("chunk", [3, 7])
+def test_chunked_sessions_equal_the_single_pass(spark, chunk, dwell):
+    rows, thr = drifting(), TP.RiskThresholds(min_dwell_windows=dwell)
+    f = spark.createDataFrame(rows, "session_id string, window_id long, p_fused double")
+    want = []
+    for s in sorted({r[0] for r in rows}):
+        mine = [r for r in rows if r[0] == s]
+        want += [(s, *r) for r in TP.SessionFold(thr=thr).run([r[1] for r in mine], [r[2] for r in mine])]
+    near = lambda t: tuple(round(x, 9) if isinstance(x, float) else x for x in t)
+    for size in (chunk, 1_000):
+        got = sorted((near(r) for r in TP.session_timeline(f, thr=thr, chunk=size).collect()), key=lambda t: t[:2])
+        assert got == sorted(map(near, want), key=lambda t: t[:2])
+    assert {x[-1] for x in want} >= {"LOW", "HIGH", "ABSTAIN"}
