@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window as W
 
 from sonorisk.functions.identity import order_hash, unit_hash
-from sonorisk.scale import fold_sorted, ordered_index, prefix_sums, small_or_plain
+from sonorisk.scale import fold_sorted, materialize, ordered_index, prefix_sums, small_or_plain
 
 SPLITS = ("train", "dev", "eval")
 
@@ -183,25 +183,29 @@ def capped_sample(rows: DataFrame, keys: Sequence[str], cap: Column | int, seed:
 def replay_quotas(family_sizes: DataFrame, n_spoof: int) -> DataFrame:
     """Equal share per family with shortfall passed on to later families (families in name order).
 
-    family_sizes: (family, size), one row per generator family: registry-sized and checked.
+    family_sizes: (family, size).  The remainder is carried through the families in one sorted stream of one row a
+    family; ``leftover`` is what no family could take.
     """
-    rows = family_sizes.orderBy("family").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 families; this is not a generator registry")
-    left, out = n_spoof, []
-    for k, r in enumerate(rows):
-        take = min(left // (len(rows) - k), r["size"])
-        out.append((r["family"], take))
-        left -= take
-    spark = family_sizes.sparkSession
-    return spark.createDataFrame([(f, int(q), int(left)) for f, q in out], "family string, quota long, leftover long")
+    families = family_sizes.agg(F.count(F.lit(1))).first()[0]
+
+    def step(pdf: pd.DataFrame, carried):
+        left, waiting = carried or (n_spoof, families)
+        quota = []
+        for size in pdf["size"]:
+            quota.append(min(left // waiting, int(size)))
+            left, waiting = left - quota[-1], waiting - 1
+        return pdf[["family"]].assign(quota=quota), (left, waiting)
+
+    stream = family_sizes.select(F.lit(1).alias("all"), "family", "size")
+    q = materialize(fold_sorted(stream, ["all"], ["family"], step, "family string, quota long"))
+    return q.withColumn("leftover", F.lit(n_spoof - (q.agg(F.sum("quota")).first()[0] or 0)).cast("long"))
 
 
 def replay_selection(rows: DataFrame, n_bona: int, n_spoof: int, seed: int, id_col: str = "utt_id") -> DataFrame:
     """Bona fide up to n_bona, spoof by family quota, then the leftover from the rest."""
     fam = rows.filter("label = 'spoof'").withColumn("family", F.coalesce("generator_family", F.lit("-")))
     q = replay_quotas(fam.groupBy("family").agg(F.count(F.lit(1)).alias("size")), n_spoof)
-    r = ranked(fam, ["family"], seed, id_col).join(F.broadcast(q), "family")
+    r = ranked(fam, ["family"], seed, id_col).join(small_or_plain(q), "family")
     first = r.filter(F.col("rank") <= F.col("quota")).select(id_col, F.lit("quota").alias("reason"))
     rest = r.filter(F.col("rank") > F.col("quota")).select(id_col, "leftover", F.lit("rest").alias("_all"))
     fill = ranked(rest, ["_all", "leftover"], seed + 1, id_col).filter(F.col("rank") <= F.col("leftover")).select(id_col, F.lit("fill").alias("reason"))
@@ -218,14 +222,14 @@ def balanced_epoch(rows: DataFrame, num_samples: int, seed: int, id_col: str = "
     r = rows.withColumn("grp", group_key())
     sizes = r.groupBy("grp").agg(F.count(F.lit(1)).alias("_size"))
     fams = sizes.filter("grp <> 'bona_fide'")
-    # group names are registry-sized: the order of families sets who gets the odd rows
-    names = [x[0] for x in fams.select("grp").orderBy("grp").limit(10_001).collect()]
-    has_bona = sizes.filter("grp = 'bona_fide'").limit(1).count() > 0
-    n_bona = (num_samples // 2 if names else num_samples) if has_bona else 0
-    n_spoof = num_samples - n_bona
-    quota = [("bona_fide", n_bona)] + [(f, n_spoof // len(names) + (1 if k < n_spoof % len(names) else 0)) for k, f in enumerate(names)]
-    q = rows.sparkSession.createDataFrame(quota, "grp string, quota long").join(sizes, "grp")
-    j = ranked(r, ["grp"], seed, id_col).join(F.broadcast(q), "grp")
+    # the place of a family in name order says who gets the odd rows
+    count = sizes.agg(F.count(F.when(F.col("grp") == "bona_fide", 1)).alias("bona"), F.count(F.when(F.col("grp") != "bona_fide", 1)).alias("fams")).first()
+    n_bona = (num_samples // 2 if count.fams else num_samples) if count.bona else 0
+    each, odd = divmod(num_samples - n_bona, max(1, count.fams))
+    place = ordered_index(fams, [], ["grp"], "place")
+    share = place.select("grp", "_size", (F.lit(each) + (F.col("place") <= odd).cast("long")).alias("quota"))
+    q = share.unionByName(sizes.filter("grp = 'bona_fide'").select("grp", "_size", F.lit(n_bona).cast("long").alias("quota")))
+    j = ranked(r, ["grp"], seed, id_col).join(small_or_plain(q), "grp")
     times = F.floor(F.col("quota") / F.col("_size")) + F.when(F.col("rank") <= F.col("quota") % F.col("_size"), 1).otherwise(0)
     return j.withColumn("_t", times).filter("_t > 0").select("grp", id_col, F.explode(F.sequence(F.lit(1), F.col("_t").cast("int"))).alias("draw"))
 

@@ -67,8 +67,8 @@ def ml04(spark, sf):
 
 @query("ML05")
 def ml05(spark, sf):
-    v = vectors(spark, sf).select("id", "speaker", *[F.when(F.col("id") % 11 != i, F.col("vec")[i]).alias(f"f{i}") for i in range(6)])
-    _, imp = fits.fit_trees(v, [f"f{i}" for i in range(6)], F.col("speaker") < 5, trees=5)
+    v = vectors(spark, sf).select("id", "speaker", *[F.when(F.col("id") % 11 != i, F.col("vec")[i]).alias(f"f{i}") for i in range(64)])
+    _, imp = fits.fit_trees(v, [f"f{i}" for i in range(64)], F.col("speaker") < 5, trees=5)
     return imp
 
 

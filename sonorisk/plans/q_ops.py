@@ -204,50 +204,57 @@ def flt02(spark, sf):
     return table(spark, sf, "events").select("event_id", F.array_join(fl, ",").alias("flags"))
 
 
-cte("fv", "SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN NULL ELSE embedding[1] END AS f1, embedding[2] * 10 AS f2, CASE WHEN label = 9 AND vec_id % 2 = 0 THEN NULL WHEN vec_id < 20 THEN 'rare' ELSE 'l' || (label % 3) END AS lang, label FROM embeddings")
+DIMS = range(1, 65)
+FEATURES = [f"f{k}" for k in DIMS]
+_each = lambda form: ", ".join(form.replace("#", str(k)) for k in DIMS)
+_FEATS = ", ".join({1: "CASE WHEN vec_id % 11 = 0 THEN NULL ELSE CAST(embedding[1] AS DOUBLE) END AS f1", 2: "CAST(embedding[2] AS DOUBLE) * 10 AS f2"}.get(k, f"CAST(embedding[{k}] AS DOUBLE) AS f{k}") for k in DIMS)
+cte("fv", f"SELECT vec_id, {_FEATS}, CASE WHEN label = 9 AND vec_id % 2 = 0 THEN NULL WHEN vec_id < 20 THEN 'rare' ELSE 'l' || (label % 3) END AS lang, label FROM embeddings")
 
 
 def features(spark, sf):
     i = F.col("vec_id")
     e = lambda k: F.element_at("embedding", k).cast("double")
     lang = F.when((F.col("label") == 9) & (i % 2 == 0), None).when(i < 20, "rare").otherwise(F.concat(F.lit("l"), (F.col("label") % 3).cast("string")))
-    return table(spark, sf, "embeddings").select(i, F.when(i % 11 != 0, e(1)).alias("f1"), (e(2) * 10).alias("f2"), lang.alias("lang"), "label")
+    return table(spark, sf, "embeddings").select(i, F.when(i % 11 != 0, e(1)).alias("f1"), (e(2) * 10).alias("f2"), *[e(k).alias(f"f{k}") for k in DIMS[2:]], lang.alias("lang"), "label")
 
 
-cte("lnorm", "SELECT lang, avg(CAST(f1 AS DOUBLE)) AS m1, greatest(stddev_pop(CAST(f1 AS DOUBLE)), 1e-6) AS d1, avg(CAST(f2 AS DOUBLE)) AS m2, greatest(stddev_pop(CAST(f2 AS DOUBLE)), 1e-6) AS d2 FROM fv WHERE lang IS NOT NULL GROUP BY 1 HAVING count(*) >= 30", "fv")
-cte("gnorm", "SELECT avg(CAST(f1 AS DOUBLE)) AS g1, stddev_pop(CAST(f1 AS DOUBLE)) AS h1, avg(CAST(f2 AS DOUBLE)) AS g2, stddev_pop(CAST(f2 AS DOUBLE)) AS h2 FROM fv", "fv")
-cte("znorm", "SELECT vec_id, (CAST(f1 AS DOUBLE) - coalesce(m1, g1)) / coalesce(d1, h1) AS z1, (CAST(f2 AS DOUBLE) - coalesce(m2, g2)) / coalesce(d2, h2) AS z2, CASE WHEN n.lang IS NOT NULL THEN f.lang ELSE 'global' END AS norm_source FROM fv f LEFT JOIN lnorm n ON n.lang = f.lang, gnorm", "lnorm", "gnorm")
+cte("lnorm", f"SELECT lang, {_each('avg(f#) AS m#, greatest(stddev_pop(f#), 1e-6) AS d#')} FROM fv WHERE lang IS NOT NULL GROUP BY 1 HAVING count(*) >= 30", "fv")
+cte("gnorm", f"SELECT {_each('avg(f#) AS g#, stddev_pop(f#) AS h#')} FROM fv", "fv")
+cte("znorm", f"SELECT vec_id, {_each('(f# - coalesce(m#, g#)) / coalesce(d#, h#) AS z#')}, CASE WHEN n.lang IS NOT NULL THEN f.lang ELSE 'global' END AS norm_source FROM fv f LEFT JOIN lnorm n ON n.lang = f.lang, gnorm", "lnorm", "gnorm")
 
 
 def normalised(spark, sf):
     f = features(spark, sf)
-    per, overall = MO.language_norms(f, "lang", ["f1", "f2"])
-    return MO.normalise_by_language(f, "lang", ["f1", "f2"], per, overall)
+    per, overall = MO.language_norms(f, "lang", FEATURES)
+    return MO.normalise_by_language(f, "lang", FEATURES, per, overall)
 
 
-@query("AGG40", sql("SELECT vec_id, norm_source, round(z1, 4) + 0.0 AS z_f1, round(z2, 4) + 0.0 AS z_f2 FROM znorm", "znorm"))
+@query("AGG40", sql(f"SELECT vec_id, norm_source, {_each('round(z#, 4) + 0.0 AS z_f#')} FROM znorm", "znorm"))
 def agg40(spark, sf):
-    return normalised(spark, sf).select("vec_id", "norm_source", r6(F.col("z_f1"), 4).alias("z_f1"), r6(F.col("z_f2"), 4).alias("z_f2"))
+    return normalised(spark, sf).select("vec_id", "norm_source", *[r6(F.col(f"z_{f}"), 4).alias(f"z_{f}") for f in FEATURES])
 
 
-@query("FN39", sql("SELECT vec_id, round(greatest(-1.5, least(1.5, coalesce(z1, 0))), 4) + 0.0 AS v1, round(greatest(-1.5, least(1.5, coalesce(z2, 0))), 4) + 0.0 AS v2 FROM znorm", "znorm"))
+@query("FN39", sql(f"SELECT vec_id, {_each('round(greatest(-1.5, least(1.5, coalesce(z#, 0))), 4) + 0.0 AS v#')} FROM znorm", "znorm"))
 def fn39(spark, sf):
-    v = normalised(spark, sf).withColumn("v", MO.model_vector(["z_f1", "z_f2"], clip=1.5))
-    return v.select("vec_id", r6(F.col("v")[0], 4).alias("v1"), r6(F.col("v")[1], 4).alias("v2"))
+    v = normalised(spark, sf).withColumn("v", MO.model_vector([f"z_{f}" for f in FEATURES], clip=1.5))
+    return v.select("vec_id", *[r6(F.col("v")[k - 1], 4).alias(f"v{k}") for k in DIMS])
+
+
+cte("flong", f"SELECT vec_id, label, feature, x FROM fv UNPIVOT (x FOR feature IN ({', '.join(FEATURES)}))", "fv")
 
 
 @query(
     "AGG48",
     sql(
-        """SELECT vec_id, feature, round(z, 4) AS z FROM (SELECT vec_id, feature, abs(x - mu) / (sd + 1e-9) AS z FROM (SELECT vec_id, label, 'f1' AS feature, CAST(f1 AS DOUBLE) AS x FROM fv UNION ALL SELECT vec_id, label, 'f2', CAST(f2 AS DOUBLE) FROM fv) a
-        JOIN (SELECT feature AS ft, avg(x) AS mu, stddev_pop(x) AS sd FROM (SELECT 'f1' AS feature, CAST(f1 AS DOUBLE) AS x, label FROM fv UNION ALL SELECT 'f2', CAST(f2 AS DOUBLE), label FROM fv) WHERE label < 5 AND x IS NOT NULL GROUP BY 1) b ON ft = feature WHERE x IS NOT NULL) WHERE z > 2.0""",
-        "fv",
+        """SELECT vec_id, feature, round(z, 4) AS z FROM (SELECT vec_id, a.feature, abs(x - mu) / (sd + 1e-9) AS z FROM flong a
+        JOIN (SELECT feature, avg(x) AS mu, stddev_pop(x) AS sd FROM flong WHERE label < 5 GROUP BY 1) b ON a.feature = b.feature) WHERE z > 2.0""",
+        "flong",
     ),
 )
 def agg48(spark, sf):
     f = features(spark, sf)
-    ref = MO.feature_reference(f.filter("label < 5"), ["f1", "f2"])
-    return MO.feature_deviations(f, "vec_id", ["f1", "f2"], ref, 2.0).select("vec_id", "feature", r6(F.col("z"), 4).alias("z"))
+    ref = MO.feature_reference(f.filter("label < 5"), FEATURES)
+    return MO.feature_deviations(f, "vec_id", FEATURES, ref, 2.0).select("vec_id", "feature", r6(F.col("z"), 4).alias("z"))
 
 
 @query(

@@ -122,7 +122,8 @@ def str09(spark, sf):
     st = _topic(spark, shuffled, "o").withWatermark("at", "1 hour")
     kept = J.run_available(J.windowed_counts(st, "at", ["event_type"], "1 hour"), "late")
     got = kept.groupBy("event_type").agg(F.sum("n").alias("n_kept"))
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_all")).join(got, "event_type")
+    every = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_all")).join(got, "event_type", "left").withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))
+    return every.withColumn("n_late", F.col("n_all") - F.col("n_kept"))
 
 
 @query("STR12")

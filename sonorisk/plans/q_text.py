@@ -452,10 +452,10 @@ def fn30(spark, sf):
     return table(spark, sf, "documents").select("doc_id", I.codec_key(F.element_at(arr, (F.col("doc_id") % 4 + 1).cast("int"))).alias("codec"))
 
 
-@query("FN32", "SELECT doc_id, 'r' || substr(sha256(lang || ':' || source), 1, 8) AS run_id, 'r' || substr(sha256(lang || ':' || source), 1, 8) || '.overall.' || coalesce(nullif(regexp_replace(regexp_replace(left(text, 40), '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'x') AS row_id FROM documents")
+@query("FN32", "SELECT doc_id, 'r' || substr(sha256(lang || ':' || source), 1, 8) AS run_id, 'r' || substr(sha256(lang || ':' || source), 1, 8) || '.overall.' || coalesce(nullif(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'x') AS row_id FROM documents")
 def fn32(spark, sf):
     d = table(spark, sf, "documents").withColumn("run_id", I.run_id(F.concat_ws(":", "lang", "source")))
-    return d.select("doc_id", "run_id", I.row_id(F.col("run_id"), F.lit("overall"), F.left("text", F.lit(40))).alias("row_id"))
+    return d.select("doc_id", "run_id", I.row_id(F.col("run_id"), F.lit("overall"), F.col("text")).alias("row_id"))
 
 
 _VER = "['A@wav-net-v1.2.' || (event_id % 9), 'B@dsp-gbdt-v2.0.0', 'bad version', 'A@wav-net-v2.0.1'][event_id % 4 + 1]"

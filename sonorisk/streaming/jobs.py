@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -17,20 +19,15 @@ def stateful(df: DataFrame, key: str | list[str], processor: StatefulProcessor,
 
 
 def publish(df: DataFrame, path: str, order: str, parts: int = 3) -> None:
-    """Append messages to a topic folder in order (tenant is a column, not part of the key).
+    """Append messages to a topic folder in order, rows without one first (tenant is a column, not part of the key).
 
     The file source reads by modification time, so later messages are written after earlier ones.
     """
     df = materialize(df)  # read once per part below
-    cuts = df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.01)
-    edges = [None, *cuts, None]
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        part = df
-        if lo is not None:
-            part = part.filter(F.col(order) > lo)
-        if hi is not None:
-            part = part.filter(F.col(order) <= hi)
-        part.write.mode("append").parquet(path)
+    cuts = sorted(set(df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.01)))
+    place = F.coalesce(sum(((F.col(order) > c).cast("int") for c in cuts), F.lit(0)), F.lit(0))
+    for k in range(len(cuts) + 1):
+        df.filter(place == k).write.mode("append").parquet(path)
 
 
 def subscribe(spark: SparkSession, path: str, schema, files_per_trigger: int = 2, tenant: str | None = None) -> DataFrame:
@@ -39,14 +36,24 @@ def subscribe(spark: SparkSession, path: str, schema, files_per_trigger: int = 2
     return s.filter(F.col("tenant_id") == tenant) if tenant is not None else s
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """A query started inside keeps its state in RocksDB; the session's own setting comes back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def run_available(stream: DataFrame, name: str, out: str | None = None) -> DataFrame:
     """Drain what is there into a parquet table and return it (exactly once by checkpoint)."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     path = out or shared_path(spark, name)
-    q = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", path + "-checkpoint").trigger(availableNow=True).start()
-    )
+    with rocksdb_state(spark):
+        q = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", path + "-checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
@@ -56,9 +63,9 @@ def run_available(stream: DataFrame, name: str, out: str | None = None) -> DataF
 def for_each_table(stream: DataFrame, name: str, handle) -> None:
     """Run ``handle(batch_df, epoch)`` per micro-batch; handlers must be idempotent per epoch."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     cp = shared_path(spark, name + "-checkpoint")
-    q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", cp).trigger(availableNow=True).start()
+    with rocksdb_state(spark):
+        q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", cp).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
