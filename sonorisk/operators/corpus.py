@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window as W
@@ -87,33 +88,32 @@ def leaking_speakers(split_rows: DataFrame) -> DataFrame:
 def greedy_speaker_splits(rows: DataFrame, group: str, fracs: dict[str, float], seed: int) -> DataFrame:
     """(group, speaker_id, split): each speaker goes where it fills the per-label quota best.
 
-    Works on per-speaker label counts.  Speakers are visited in hash order within a group (a language);
-    the only state carried is how full each split is.
+    Works on per-speaker label counts, in hash order within a group (a language).  The state is one table of running
+    fills, splits by labels.  A split is closed to a speaker who would lift one of its labels over one and a half
+    quotas; among the open ones the largest share of still unfilled quota wins, and without any the speaker trains.
     """
     per = rows.groupBy(group, "speaker_id").agg(
         F.sum((F.col("label") == "bona_fide").cast("long")).alias("nb"), F.sum((F.col("label") == "spoof").cast("long")).alias("ns")
     )
     tot = per.groupBy(group).agg(F.sum("nb").alias("tb"), F.sum("ns").alias("ts"))
     src = per.join(small_or_plain(tot), group).withColumn("_h", order_hash(F.col("speaker_id"), seed))
-    targets = [s for s in fracs if s != "train"]
-
-    def step(pdf: pd.DataFrame, have):
-        have = have or {s: [0, 0] for s in targets}
-        out = []
-        for nb, ns, tb, ts in zip(pdf["nb"], pdf["ns"], pdf["tb"], pdf["ts"], strict=True):
-            count, total = (nb, ns), (tb, ts)
-            labels = [i for i in (0, 1) if total[i]]
-            best, gain = "train", 0.0
-            for s in targets:
-                quota = [fracs[s] * t for t in total]
-                g = sum(min(count[i], max(0.0, quota[i] - have[s][i])) / max(total[i], 1) for i in labels)
-                full = any(have[s][i] + count[i] > 1.5 * quota[i] for i in labels)
-                if not full and g > gain:
-                    best, gain = s, g
-            if best != "train":
-                have[best] = [have[best][0] + nb, have[best][1] + ns]
-            out.append(best)
-        return pdf[[group, "speaker_id"]].assign(split=out), have
+    names = np.array(["train", *[s for s in fracs if s != "train"]])
+    share = np.array([[fracs[s]] for s in names[1:]])
+
+    def step(pdf: pd.DataFrame, fill):
+        fill = np.zeros((len(share), 2)) if fill is None else fill
+        totals = pdf[["tb", "ts"]].to_numpy(float)[0]
+        quota, there = share * totals, totals > 0
+        chosen = []
+        for counts in pdf[["nb", "ns"]].to_numpy(float):
+            after = fill + counts
+            closed = (after > 1.5 * quota)[:, there].any(axis=1)
+            gain = np.where(closed, 0.0, (np.clip(quota - fill, 0, counts) / np.maximum(totals, 1))[:, there].sum(axis=1))
+            best = int(gain.argmax()) if len(gain) and gain.max() > 0 else -1
+            if best >= 0:
+                fill[best] = after[best]
+            chosen.append(best + 1)
+        return pdf[[group, "speaker_id"]].assign(split=names[chosen]), fill
 
     schema = T.StructType([src.schema[group], src.schema["speaker_id"], T.StructField("split", T.StringType())])
     return fold_sorted(src, [group], ["_h", "speaker_id"], step, schema)

@@ -28,24 +28,22 @@ def _topic(spark, df, order, parts=3):
 @query("STR04", rec_sql(f"SELECT session_id, window_id, round(ps, 6) AS p_session, {STATE} AS state FROM r"))
 def str04(spark, sf):
     f = fused(spark, sf).select(F.col("session_id").cast("long").alias("session_id"), F.col("window_id").cast("long").alias("window_id"), "p_fused", "ts_us")
-    s = J.stateful(_topic(spark, f, "ts_us"), "session_id", PR.SessionRiskProcessor(), TP.TIMELINE_FIELDS)
-    t = J.run_available(s, "risk")
+    t = J.drain_in_order(f, F.timestamp_micros("ts_us"), "session_id", PR.SessionRiskProcessor(), TP.TIMELINE_FIELDS, "risk")
     return t.select("session_id", "window_id", r6(F.col("p_session")).alias("p_session"), "state")
 
 
 @query(
     "STR06",
     rec_sql(
-        f"""SELECT session_id, window_id, {STATE} AS state, reason FROM (SELECT session_id, window_id, st, CASE WHEN (pst IS NULL OR pst <> st) AND st IN (1, 2) THEN 'state' WHEN window_id // 20 <> coalesce(plab, 0) THEN 'labels' END AS reason
-        FROM (SELECT *, lag(st) OVER (PARTITION BY session_id ORDER BY window_id) AS pst, lag(window_id // 20) OVER (PARTITION BY session_id ORDER BY window_id) AS plab FROM r)) WHERE reason IS NOT NULL"""
+        f"""SELECT session_id, window_id, {STATE} AS state, reason FROM (SELECT session_id, window_id, st, CASE WHEN (pst IS NULL OR pst <> st) AND st IN (1, 2) THEN 'state' WHEN window_id // 20 <> coalesce(plab, 0) THEN 'labels'
+        WHEN window_id = max(window_id) OVER (PARTITION BY session_id) THEN 'close' END AS reason FROM (SELECT *, lag(st) OVER (PARTITION BY session_id ORDER BY window_id) AS pst, lag(window_id // 20) OVER (PARTITION BY session_id ORDER BY window_id) AS plab FROM r)) WHERE reason IS NOT NULL"""
     ),
 )
 def str06(spark, sf):
     t = TP.session_timeline(fused(spark, sf)).select("session_id", "window_id", "state")
     lab = F.floor(F.col("window_id") / 20)
     t = t.withColumn("labels", F.when(lab > 0, lab.cast("string")).otherwise(""))
-    s = J.stateful(_topic(spark, t, "window_id"), "session_id", PR.DecisionProcessor(), "session_id long, window_id long, state string, reason string")
-    return J.run_available(s, "decisions")
+    return J.drain_in_order(t, F.timestamp_seconds(F.col("window_id") + 86_400), "session_id", PR.DecisionProcessor(), "session_id long, window_id long, state string, reason string", "decisions")
 
 
 @query("STR01")
@@ -54,15 +52,13 @@ def str01(spark, sf):
     # packets swap places, some are missing and some arrive twice
     seq = F.col("window_id") + F.when(F.col("window_id") % 5 == 3, -2).otherwise(0)
     p = w.select("session_id", seq.alias("seq"), F.col("window_id").alias("arrival")).filter("arrival % 11 <> 4")
-    s = J.stateful(_topic(spark, p, "arrival"), "session_id", PR.ReorderProcessor(), "session_id long, seq long, kind string")
-    return J.run_available(s, "frames")
+    return J.drain_in_order(p, F.timestamp_seconds(F.col("arrival") + 86_400), "session_id", PR.ReorderProcessor(), "session_id long, seq long, kind string", "frames")
 
 
 @query("STR07", WIN11_SQL.replace("{segments}", _seg_sql()).replace("last_end - 12000", "last_end - 120000").replace("SELECT a.session_id, a.start_ms, a.end_ms,", "SELECT a.session_id, a.start_ms,"))
 def str07(spark, sf):
     g = segments(spark, sf).filter("final").select("session_id", "start_ms", "end_ms", "text")
-    s = J.stateful(_topic(spark, g, "start_ms"), "session_id", PR.TranscriptProcessor(), "session_id long, start_ms long, accepted boolean, n_held long")
-    return J.run_available(s, "transcript")
+    return J.drain_in_order(g, F.timestamp_millis(F.col("start_ms") + 86_400_000), "session_id", PR.TranscriptProcessor(), "session_id long, start_ms long, accepted boolean, n_held long", "transcript")
 
 
 def _walk_sql(first: str, step: str, out: str) -> str:
@@ -78,8 +74,7 @@ def _walk_sql(first: str, step: str, out: str) -> str:
 )
 def str08(spark, sf):
     e = events(spark, sf).select(F.col("user_id").alias("session_id"), "ts_us", "event_id")
-    s = J.stateful(_topic(spark, e, "ts_us"), "session_id", PR.EnrichmentProcessor(), "session_id long, event_id long")
-    return J.run_available(s, "enrich")
+    return J.drain_in_order(e, F.timestamp_micros("ts_us"), "session_id", PR.EnrichmentProcessor(), "session_id long, event_id long", "enrich")
 
 
 _REFILL = "least(CAST(5 AS DOUBLE), r.tokens - CASE WHEN r.tokens >= 1 THEN 1 ELSE 0 END + (w.ts_us - r.ts_us) / 1e6 / 3600)"
@@ -88,15 +83,14 @@ _REFILL = "least(CAST(5 AS DOUBLE), r.tokens - CASE WHEN r.tokens >= 1 THEN 1 EL
 @query("STR13", _walk_sql("CAST(5 AS DOUBLE) AS tokens", _REFILL, "SELECT session_id AS key_id, count(*) FILTER (tokens >= 1) AS allowed, count(*) FILTER (tokens < 1) AS refused FROM r GROUP BY 1"))
 def str13(spark, sf):
     e = events(spark, sf).select(F.col("user_id").alias("key_id"), "ts_us", "event_id")
-    s = J.stateful(_topic(spark, e, "ts_us"), "key_id", PR.TokenBucketProcessor(), "key_id long, event_id long, allowed boolean")
-    return J.run_available(s, "rate").groupBy("key_id").agg(F.sum(F.col("allowed").cast("long")).alias("allowed"), F.sum((~F.col("allowed")).cast("long")).alias("refused"))
+    r = J.drain_in_order(e, F.timestamp_micros("ts_us"), "key_id", PR.TokenBucketProcessor(), "key_id long, event_id long, allowed boolean", "rate")
+    return r.groupBy("key_id").agg(F.sum(F.col("allowed").cast("long")).alias("allowed"), F.sum((~F.col("allowed")).cast("long")).alias("refused"))
 
 
 @query("STR14", "SELECT ref, event_id, coalesce(t - put <= 30000000, false) AS found FROM (SELECT user_id % 20 AS ref, event_id, epoch_us(ts) AS t, max(CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) END) OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS put FROM events) WHERE event_id % 3 <> 0")
 def str14(spark, sf):
     e = events(spark, sf).select((F.col("user_id") % 20).alias("ref"), "ts_us", "event_id", F.when(F.col("event_id") % 3 == 0, "put").otherwise("get").alias("op"))
-    s = J.stateful(_topic(spark, e, "ts_us"), "ref", PR.ShortReferenceProcessor(), "ref long, event_id long, found boolean")
-    return J.run_available(s, "refs")
+    return J.drain_in_order(e, F.timestamp_micros("ts_us"), "ref", PR.ShortReferenceProcessor(), "ref long, event_id long, found boolean", "refs")
 
 
 @query(
@@ -110,8 +104,7 @@ def str14(spark, sf):
 def str15(spark, sf):
     c = challenges(spark, sf).select("session_id", F.col("issued_us").alias("ts_us"), F.lit("issue").alias("kind"), "challenge_id")
     r = responses(spark, sf).select("session_id", F.col("answered_us").alias("ts_us"), F.lit("answer").alias("kind"), "challenge_id")
-    s = J.stateful(_topic(spark, c.unionByName(r), "ts_us"), "session_id", PR.ChallengeProcessor(), "session_id long, challenge_id long, outcome string")
-    return J.run_available(s, "challenges")
+    return J.drain_in_order(c.unionByName(r), F.timestamp_micros("ts_us"), "session_id", PR.ChallengeProcessor(), "session_id long, challenge_id long, outcome string", "challenges")
 
 
 @query("STR09")

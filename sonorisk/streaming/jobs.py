@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from sonorisk.scale import materialize, shared_path
@@ -30,6 +30,33 @@ def publish(df: DataFrame, path: str, order: str, parts: int = 3) -> None:
         df.filter(place == k).write.mode("append").parquet(path)
 
 
+def end_topic(spark: SparkSession, path: str, schema, key: str, delay_ms: int) -> None:
+    """Append one row of a key of its own (the least long, or an empty text) whose event time ends all sessions of a finite topic.
+
+    The processors hold that row for good; it only moves the watermark.
+    """
+    last = spark.read.schema(schema).parquet(path).agg(F.max("at")).first()[0]
+    if last is not None:
+        own = F.lit("") if isinstance(schema[key].dataType, T.StringType) else F.lit(-(1 << 62))
+        far = F.lit(last) + F.make_dt_interval(secs=F.lit((3 * delay_ms + 10 * 86_400_000) / 1000.0))
+        row = [own.cast(f.dataType).alias(f.name) if f.name == key else far.cast(f.dataType).alias("at") if f.name == "at" else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+        spark.range(1, numPartitions=1).select(*row).write.mode("append").parquet(path)
+
+
+def drain_in_order(df: DataFrame, at: Column, key: str, processor: StatefulProcessor, schema: str, name: str, parts: int = 3, files: int = 8, delay_ms: int = 3_600_000) -> DataFrame:
+    """Publish a finite table as a topic, run an ordered processor over it to the end, and return what came out.
+
+    ``delay_ms`` bounds how far files may be out of order; ``parts`` and ``files`` (per trigger) only cut the batches.
+    """
+    spark = df.sparkSession
+    df = df.withColumn("at", at.cast("timestamp"))
+    path = shared_path(spark, "topic")
+    publish(df.withColumn("_order", F.unix_micros("at")), path, "_order", parts)
+    end_topic(spark, path, df.schema, key, delay_ms)
+    stream = subscribe(spark, path, df.schema, files).withWatermark("at", f"{delay_ms} milliseconds")
+    return run_available(stateful(stream, key, processor, schema, "EventTime"), name)
+
+
 def subscribe(spark: SparkSession, path: str, schema, files_per_trigger: int = 2, tenant: str | None = None) -> DataFrame:
     """Read a topic folder as a stream; offsets live in the query's checkpoint.  Use ``kafka`` in production."""
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)

@@ -1,7 +1,8 @@
 """Stateful processors for ``transformWithStateInPandas``, one key per session.
 
-Rows of a micro-batch arrive in any order inside a key, so each processor sorts what it receives; the
-size of a micro-batch is set by the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
+Micro-batches cut a stream anywhere, and files or partitions arrive in any order.  An ``OrderedProcessor`` therefore holds
+rows until the watermark has passed them and then takes them in event order, so its output does not depend on the cuts.
+Run it in event-time mode on a stream with a watermark on ``at``; what it holds is bounded by the watermark's delay.
 """
 
 from __future__ import annotations
@@ -11,245 +12,253 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from sonorisk.operators.context import RollingTranscript
+from sonorisk.operators.context import transcript_rows
 from sonorisk.operators.temporal import SessionFold, timeline_frame
 
 BLOB = StructType([StructField("v", StringType())])
 
 
-class JsonState(StatefulProcessor):
-    """A processor whose whole per-key state is one small JSON value."""
+def _plain(v):
+    return v.item() if hasattr(v, "item") else str(v)
 
-    ttl_ms: int | None = None
+
+class OrderedProcessor(StatefulProcessor):
+    """Rows of a key in event order, with one JSON value as state.
+
+    ``take`` gets rows the watermark has passed, sorted by ``at`` and ``order``; Spark drops rows that arrive behind it.  With ``idle_ms``, ``closed`` is called once no row has come for that long, and the state is dropped.
+    """
+
+    order: tuple[str, ...] = ()
+    idle_ms: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", BLOB, self.ttl_ms) if self.ttl_ms else handle.getValueState("state", BLOB)
+        self.state = handle.getValueState("state", BLOB)
+        self.held = handle.getListState("held", BLOB)
+
+    def take(self, key, pdf: pd.DataFrame, state: dict) -> tuple[pd.DataFrame | None, dict]:
+        raise NotImplementedError
 
-    def load(self) -> dict:
+    def closed(self, key, state: dict) -> pd.DataFrame | None:
+        return None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            if len(pdf):
+                pdf = pdf.assign(at_ms=pd.to_datetime(pdf["at"]).astype("datetime64[ms]").astype("int64")).drop(columns="at")
+                self.held.appendList([(json.dumps(r, default=_plain),) for r in pdf.to_dict("records")])
+                self.handle.registerTimer(int(pdf["at_ms"].min()) + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, state = timerValues.getCurrentWatermarkInMs(), self._load()
+        held = [json.loads(x[0]) for x in self.held.get()] if self.held.exists() else []
+        ready = [r for r in held if r["at_ms"] < now]
+        rest = [r for r in held if r["at_ms"] >= now]
+        if ready:
+            pdf = pd.DataFrame(ready).sort_values(["at_ms", *self.order], kind="stable")
+            out, state["v"] = self.take(key, pdf, state.get("v") or {})
+            state["last_ms"] = int(pdf["at_ms"].max())
+            if out is not None and len(out):
+                yield out
+            if rest:
+                self.held.put([(json.dumps(r),) for r in rest])
+                self.handle.registerTimer(min(r["at_ms"] for r in rest) + 1)
+            else:
+                self.held.clear()
+        if self.idle_ms is not None and not rest and "last_ms" in state:
+            if state["last_ms"] + self.idle_ms < now:
+                out = self.closed(key, state.get("v") or {})
+                self.state.clear()
+                if out is not None and len(out):
+                    yield out
+                return
+            self.handle.registerTimer(state["last_ms"] + self.idle_ms + 1)
+        self._save(state)
+
+    def _load(self) -> dict:
         return json.loads(self.state.get()[0]) if self.state.exists() else {}
 
-    def save(self, v: dict) -> None:
-        self.state.update((json.dumps(v),))
+    def _save(self, state: dict) -> None:
+        if state:
+            self.state.update((json.dumps(state, default=_plain),))
 
     def close(self) -> None:
         pass
 
 
-def _gather(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    parts = [p for p in rows if len(p)]
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
-
-
-class SessionRiskProcessor(JsonState):
+class SessionRiskProcessor(OrderedProcessor):
     """Fused windows in, timeline rows out; the same fold as in batch."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _gather(rows).sort_values("window_id")
-        s = self.load()
-        f = SessionFold.restore(s["f"]) if s else SessionFold()
+    order = ("window_id",)
+
+    def take(self, key, pdf, state):
+        f = SessionFold.restore(state["f"]) if state else SessionFold()
         rows = f.run(pdf["window_id"].astype("int64").tolist(), [None if p != p else float(p) for p in pdf["p_fused"].astype("float64")])
-        self.save({"f": f.dump()})
-        yield timeline_frame(key[0], rows)
+        return timeline_frame(key[0], rows), {"f": f.dump()}
 
 
-class DecisionProcessor(JsonState):
-    """Emit a decision row when the state enters ELEVATED or HIGH or the label set changes."""
+class DecisionProcessor(OrderedProcessor):
+    """A decision row when the state enters ELEVATED or HIGH, when the label set changes, and at the close."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _gather(rows).sort_values("window_id")
-        s = self.load() or {"state": None, "labels": ""}
-        out = []
-        for w, st, lab in zip(pdf["window_id"], pdf["state"], pdf["labels"], strict=True):
-            if st != s["state"] and st in ("ELEVATED", "HIGH"):
-                out.append((int(key[0]), int(w), st, "state"))
-            elif lab != s["labels"]:
-                out.append((int(key[0]), int(w), st, "labels"))
-            s = {"state": st, "labels": lab}
-        self.save(s)
-        yield pd.DataFrame(out, columns=["session_id", "window_id", "state", "reason"])
-
-
-class ReorderProcessor(JsonState):
-    """Put packets back in sequence: hold up to ``depth``, drop late ones, conceal short gaps."""
+    order, idle_ms = ("window_id",), 60_000
+    columns = ["session_id", "window_id", "state", "reason"]
 
-    depth, conceal = 20, 5
+    def take(self, key, pdf, state):
+        before, labels, out, last = state.get("state"), state.get("labels", ""), [], None
+        for w, st, lab in zip(pdf["window_id"].tolist(), pdf["state"], pdf["labels"], strict=True):
+            reason = "state" if st != before and st in ("ELEVATED", "HIGH") else "labels" if lab != labels else None
+            if reason:
+                out.append((key[0], w, st, reason))
+            before, labels, last = st, lab, [w, st, reason]
+        return pd.DataFrame(out, columns=self.columns), {"state": before, "labels": labels, "last": last}
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _gather(rows).sort_values("arrival")
-        s = self.load() or {"next": None, "held": [], "late": 0, "concealed": 0}
-        out = []
-        for seq in pdf["seq"]:
-            seq = int(seq)
-            if s["next"] is None:
-                s["next"] = seq
-            if seq < s["next"]:
-                s["late"] += 1
-                out.append((int(key[0]), seq, "late"))
-                continue
-            s["held"] = sorted([*s["held"], seq])
-            out += [(int(key[0]), n, kind) for n, kind in self._ready(s)]
-        self.save(s)
-        yield pd.DataFrame(out, columns=["session_id", "seq", "kind"])
-
-    def _ready(self, s: dict) -> list[tuple[int, str]]:
-        out = []
-        while s["held"]:
-            head, want = s["held"][0], s["next"]
-            if head < want:  # a repeated packet that was already played
-                s["held"].pop(0)
-            elif head == want:
-                s["held"].pop(0)
-                out.append((head, "frame"))
-                s["next"] = want + 1
-            else:
-                gap = head - want
-                if len(s["held"]) < self.depth and gap <= self.depth:
-                    break
-                n = min(gap, self.conceal)
-                out += [(want + i, "concealed") for i in range(n)]
-                s["concealed"] += n
-                s["next"] = head if gap > self.conceal else want + n
-        return out
+    def closed(self, key, state):
+        w, st, reason = state["last"]
+        return None if reason else pd.DataFrame([(key[0], w, st, "close")], columns=self.columns)
 
 
-class TranscriptProcessor(JsonState):
+def play_out(pending: list[int], due: int, depth: int, conceal: int, drain: bool = False) -> tuple[list[tuple[int, str]], list[int], int]:
+    """Frames that can be played from the pending packets (ascending, distinct, none before ``due``).
+
+    The packets split into runs of neighbours.  The run that begins at ``due`` plays; a run behind a gap waits until
+    ``depth`` packets are pending, the gap is wider than ``depth``, or the stream drains.  Up to ``conceal`` frames of a
+    gap are concealed, the rest skipped.  Returns (frames, still pending, next due).
+    """
+    frames: list[tuple[int, str]] = []
+    k = 0
+    while k < len(pending):
+        gap = pending[k] - due
+        if gap and not drain and len(pending) - k < depth and gap <= depth:
+            break
+        frames += [(due + j, "concealed") for j in range(min(gap, conceal))]
+        end = k + 1
+        while end < len(pending) and pending[end] == pending[end - 1] + 1:
+            end += 1
+        frames += [(n, "frame") for n in pending[k:end]]
+        due, k = pending[end - 1] + 1, end
+    return frames, pending[k:], due
+
+
+class ReorderProcessor(OrderedProcessor):
+    """Put packets back in sequence: hold up to ``depth``, mark late ones, conceal short gaps, drain at the close."""
+
+    order, idle_ms = ("seq",), 60_000
+    depth, conceal = 20, 5
+    columns = ["session_id", "seq", "kind"]
+
+    def take(self, key, pdf, state):
+        due, pending, late, hidden, out = state.get("due"), state.get("pending", []), state.get("late", 0), state.get("hidden", 0), []
+        for seq in pdf["seq"].astype("int64").tolist():
+            due = seq if due is None else due
+            if seq < due:
+                late += 1
+                out.append((seq, "late"))
+            elif seq not in pending:
+                frames, pending, due = play_out(sorted([*pending, seq]), due, self.depth, self.conceal)
+                hidden += sum(kind == "concealed" for _, kind in frames)
+                out += frames
+        return pd.DataFrame([(key[0], *x) for x in out], columns=self.columns), {"due": due, "pending": pending, "late": late, "hidden": hidden}
+
+    def closed(self, key, state):
+        frames, _, _ = play_out(state["pending"], state["due"], self.depth, self.conceal, drain=True)
+        hidden = state["hidden"] + sum(kind == "concealed" for _, kind in frames)
+        return pd.DataFrame([(key[0], *x) for x in [*frames, (state["late"], "late_total"), (hidden, "concealed_total")]], columns=self.columns)
+
+
+class TranscriptProcessor(OrderedProcessor):
     """Rolling transcript: accepted final segments of the last two minutes."""
 
-    keep_ms = 120_000
+    order, keep_ms = ("start_ms", "end_ms"), 120_000
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _gather(rows).sort_values(["start_ms", "end_ms"])
-        t = RollingTranscript(self.keep_ms)
-        t.kept = [tuple(x) for x in self.load().get("kept", [])]
-        out = []
-        for s, e, text in zip(pdf["start_ms"], pdf["end_ms"], pdf["text"], strict=True):
-            out.append((int(key[0]), int(s), t.add(int(s), int(e), text), len(t.kept)))
-        self.save({"kept": t.kept})
-        yield pd.DataFrame(out, columns=["session_id", "start_ms", "accepted", "n_held"])
+    def take(self, key, pdf, state):
+        rows, held = transcript_rows(state.get("held", []), pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), pdf["text"].fillna("").str.len().tolist(), self.keep_ms)
+        return pd.DataFrame([(key[0], s, taken, n) for s, (taken, n, _) in zip(pdf["start_ms"], rows, strict=True)], columns=["session_id", "start_ms", "accepted", "n_held"]), {"held": held}
 
 
-class TokenBucketProcessor(JsonState):
+class TokenBucketProcessor(OrderedProcessor):
     """Requests per key against a refilling token bucket."""
 
+    order = ("ts_us", "event_id")
     rate_per_s, burst = 1 / 3600, 5.0
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _gather(rows).sort_values(["ts_us", "event_id"])
-        s = self.load() or {"tokens": self.burst, "at": None}
-        out = []
-        for t, e in zip(pdf["ts_us"], pdf["event_id"], strict=True):
-            t = int(t)
-            if s["at"] is not None:
-                s["tokens"] = min(self.burst, s["tokens"] + (t - s["at"]) / 1e6 * self.rate_per_s)
-            s["at"] = t
-            ok = s["tokens"] >= 1
-            s["tokens"] -= 1 if ok else 0
-            out.append((int(key[0]), int(e), bool(ok)))
-        self.save(s)
-        yield pd.DataFrame(out, columns=["key_id", "event_id", "allowed"])
-
-
-class ShortReferenceProcessor(JsonState):
-    """References that live 30 s: a lookup finds the sample only while the reference is alive.
-
-    Liveness is judged by event time, so replays agree.  For an endless query give ``ttl_ms`` and run
-    in processing-time mode: the state's own TTL then frees the store.
-    """
+    def take(self, key, pdf, state):
+        tokens, at, out = state.get("tokens", self.burst), state.get("at"), []
+        for t, e in zip(pdf["ts_us"].tolist(), pdf["event_id"].tolist(), strict=True):
+            if at is not None:
+                tokens = min(self.burst, tokens + (t - at) / 1e6 * self.rate_per_s)
+            at, ok = t, tokens >= 1
+            tokens -= ok
+            out.append((key[0], e, ok))
+        return pd.DataFrame(out, columns=["key_id", "event_id", "allowed"]), {"tokens": tokens, "at": at}
 
-    live_us = 30_000_000
 
-    def __init__(self, ttl_ms: int | None = None) -> None:
-        self.ttl_ms = ttl_ms
+class ShortReferenceProcessor(OrderedProcessor):
+    """References that live 30 s of event time: a lookup finds the sample only while the reference is alive."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _gather(rows).sort_values(["ts_us", "event_id"])
-        s = self.load()
-        out = []
-        for t, e, op in zip(pdf["ts_us"], pdf["event_id"], pdf["op"], strict=True):
+    order, idle_ms, live_us = ("ts_us", "event_id"), 30_000, 30_000_000
+
+    def take(self, key, pdf, state):
+        at, out = state.get("at"), []
+        for t, e, op in zip(pdf["ts_us"].tolist(), pdf["event_id"].tolist(), pdf["op"], strict=True):
             if op == "put":
-                s = {"at": int(t)}
+                at = t
             else:
-                out.append((int(key[0]), int(e), bool(s) and int(t) - s["at"] <= self.live_us))
-        if s:
-            self.save(s)
-        yield pd.DataFrame(out, columns=["ref", "event_id", "found"])
+                out.append((key[0], e, at is not None and t - at <= self.live_us))
+        return pd.DataFrame(out, columns=["ref", "event_id", "found"]), {"at": at}
 
 
-class ChallengeProcessor(JsonState):
+class ChallengeProcessor(OrderedProcessor):
     """One active challenge per session; an answer counts only for the active one, in time."""
 
     ttl_us = 30_000_000
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _gather(rows).sort_values(["ts_us", "kind", "challenge_id"], ascending=[True, False, True])
-        s = self.load()
-        out = []
-        for t, kind, c in zip(pdf["ts_us"], pdf["kind"], pdf["challenge_id"], strict=True):
-            t, c = int(t), int(c)
+    def take(self, key, pdf, state):
+        active, out = state.get("active"), []
+        pdf = pdf.sort_values(["ts_us", "kind", "challenge_id"], ascending=[True, False, True])
+        for t, kind, c in zip(pdf["ts_us"].tolist(), pdf["kind"], pdf["challenge_id"].tolist(), strict=True):
             if kind == "issue":
-                if s and not s["done"]:
-                    out.append((int(key[0]), s["id"], "replaced" if t - s["at"] <= self.ttl_us else "expired"))
-                s = {"id": c, "at": t, "done": False}
-            elif not s or s["id"] != c:
-                out.append((int(key[0]), c, "not_active"))
+                if active and not active["done"]:
+                    out.append((key[0], active["id"], "replaced" if t - active["at"] <= self.ttl_us else "expired"))
+                active = {"id": c, "at": t, "done": False}
+            elif not active or active["id"] != c:
+                out.append((key[0], c, "not_active"))
             else:
-                out.append((int(key[0]), c, "answered" if t - s["at"] <= self.ttl_us else "late"))
-                s["done"] = True
-        self.save(s)
-        yield pd.DataFrame(out, columns=["session_id", "challenge_id", "outcome"])
+                out.append((key[0], c, "answered" if t - active["at"] <= self.ttl_us else "late"))
+                active["done"] = True
+        return pd.DataFrame(out, columns=["session_id", "challenge_id", "outcome"]), {"active": active}
 
 
-class EnrichmentProcessor(JsonState):
+class EnrichmentProcessor(OrderedProcessor):
     """Slow enrichment, at most every ten seconds per session: rows that should start a run."""
 
-    every_us = 10_000_000
+    order, every_us = ("ts_us", "event_id"), 10_000_000
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _gather(rows).sort_values(["ts_us", "event_id"])
-        last = self.load().get("last")
-        out = []
-        for t, e in zip(pdf["ts_us"], pdf["event_id"], strict=True):
-            if last is None or int(t) - last >= self.every_us:
-                last = int(t)
-                out.append((int(key[0]), int(e)))
-        self.save({"last": last})
-        yield pd.DataFrame(out, columns=["session_id", "event_id"])
-
-
-class IdleSessionProcessor(StatefulProcessor):
-    """Session lifecycle by event time: a session idle for the TTL ends with one terminal row."""
+    def take(self, key, pdf, state):
+        last, out = state.get("last"), []
+        for t, e in zip(pdf["ts_us"].tolist(), pdf["event_id"].tolist(), strict=True):
+            if last is None or t - last >= self.every_us:
+                last = t
+                out.append((key[0], e))
+        return pd.DataFrame(out, columns=["session_id", "event_id"]), {"last": last}
 
-    idle_ms = 60_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        schema = StructType([StructField("first_ms", LongType()), StructField("last_ms", LongType()), StructField("n", LongType())])
-        self.state = handle.getValueState("session", schema)
+class IdleSessionProcessor(OrderedProcessor):
+    """Session lifecycle by event time: a session idle for the TTL ends with one terminal row."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _gather(rows).sort_values("ts_us")
-        out = []
-        cur = tuple(self.state.get()) if self.state.exists() else None
-        for t in (pdf["ts_us"] // 1000).astype("int64"):
-            t = int(t)
-            if cur is not None and t - cur[1] >= self.idle_ms:
-                out.append((int(key[0]), cur[0], cur[1], cur[2]))
-                cur = None
-            cur = (t, t, 1) if cur is None else (cur[0], max(t, cur[1]), cur[2] + 1)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.state.update(cur)
-        self.handle.registerTimer(cur[1] + self.idle_ms)
-        yield pd.DataFrame(out, columns=["session_id", "first_ms", "last_ms", "n"])
+    order, idle_ms = ("ts_us",), 60_000
+    columns = ["session_id", "first_ms", "last_ms", "n"]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            a, b, n = self.state.get()
-            self.state.clear()
-            yield pd.DataFrame([(int(key[0]), a, b, n)], columns=["session_id", "first_ms", "last_ms", "n"])
+    def take(self, key, pdf, state):
+        first, last, n, out = state.get("first"), state.get("last"), state.get("n", 0), []
+        for t in pdf["at_ms"].tolist():
+            if first is not None and t - last >= self.idle_ms:
+                out.append((key[0], first, last, n))
+                first, n = None, 0
+            first, last, n = t if first is None else first, t, n + 1
+        return pd.DataFrame(out, columns=self.columns), {"first": first, "last": last, "n": n}
 
-    def close(self) -> None:
-        pass
+    def closed(self, key, state):
+        return pd.DataFrame([(key[0], state["first"], state["last"], state["n"])], columns=self.columns)

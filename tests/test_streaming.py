@@ -1,32 +1,77 @@
 """Stateful steps outside Spark, and stream equals batch."""
 
-from sonorisk.streaming.processors import ReorderProcessor
+import pytest
+from pyspark.sql import functions as F
 
+from sonorisk.operators import temporal as TP
+from sonorisk.streaming import jobs as J, processors as PR
+from sonorisk.streaming.processors import play_out
 
-def play(seqs):
-    p, s, out = ReorderProcessor(), {"next": seqs[0], "held": [], "late": 0, "concealed": 0}, []
+
+def play(seqs, drain=False):
+    due, pending, out, late = seqs[0], [], [], 0
     for q in seqs:
-        if q < s["next"]:
-            s["late"] += 1
-            continue
-        s["held"] = sorted([*s["held"], q])
-        out += p._ready(s)
-    return out, s
+        if q < due:
+            late += 1
+        elif q not in pending:
+            frames, pending, due = play_out(sorted([*pending, q]), due, 20, 5)
+            out += frames
+    if drain:
+        frames, pending, due = play_out(pending, due, 20, 5, drain=True)
+        out += frames
+    return out, pending, due, late
 
 
 def test_reordering_and_late_packets():
-    out, s = play([0, 2, 1, 3, 1])
-    assert [n for n, _ in out] == [0, 1, 2, 3] and s["late"] == 1
+    out, _, _, late = play([0, 2, 1, 3, 1])
+    assert [n for n, _ in out] == [0, 1, 2, 3] and late == 1
 
 
 def test_long_gaps_are_concealed_then_skipped():
-    out, s = play([0, 40])
-    assert [k for _, k in out] == ["frame"] + ["concealed"] * 5 + ["frame"] and s["next"] == 41
-
-
-def test_a_waiting_gap_keeps_packets():
-    out, s = play([0, 3, 4])
-    assert out == [(0, "frame")] and s["held"] == [3, 4]
+    out, _, due, _ = play([0, 40])
+    assert [k for _, k in out] == ["frame"] + ["concealed"] * 5 + ["frame"] and due == 41
+
+
+def test_a_waiting_gap_keeps_packets_until_the_drain():
+    out, pending, _, _ = play([0, 3, 4])
+    assert out == [(0, "frame")] and pending == [3, 4]
+    assert play([0, 3, 4], drain=True)[0] == [(0, "frame"), (1, "concealed"), (2, "concealed"), (3, "frame"), (4, "frame")]
+
+
+YEAR = 365 * 86_400_000
+CASES = {
+    "risk": (PR.SessionRiskProcessor, TP.TIMELINE_FIELDS),
+    "decisions": (PR.DecisionProcessor, "session_id long, window_id long, state string, reason string"),
+    "frames": (PR.ReorderProcessor, "session_id long, seq long, kind string"),
+    "transcript": (PR.TranscriptProcessor, "session_id long, start_ms long, accepted boolean, n_held long"),
+    "idle": (PR.IdleSessionProcessor, "session_id long, first_ms long, last_ms long, n long"),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_results_do_not_depend_on_files(spark, name):
+    """One ordered file, and fifty shuffled ones of which a trigger takes seven, give the same rows."""
+    i = F.col("id")
+    df = spark.range(600).select(
+        (i % 4).alias("session_id"), F.floor(i / 4).alias("window_id"), F.when(i % 11 != 0, (i * 37 % 97 + 1) / 98.0).alias("p_fused"),
+        F.element_at(F.array(F.lit("LOW"), F.lit("HIGH"), F.lit("ELEVATED")), (i % 3 + 1).cast("int")).alias("state"), F.floor(i / 80).cast("string").alias("labels"),
+        (F.floor(i / 4) + F.when(F.floor(i / 4) % 5 == 3, -2).otherwise(0)).alias("seq"), (F.floor(i / 4) * 900).alias("start_ms"), (F.floor(i / 4) * 900 + 1000).alias("end_ms"),
+        F.lit("some words").alias("text"), (F.floor(i / 4) * 1_000_000).alias("ts_us"),
+    )
+    df = df.withColumn("at", F.timestamp_seconds(F.col("window_id") + F.floor(F.col("window_id") / 50) * 90 + 86_400))
+    proc, schema = CASES[name]
+    got = []
+    for files, per in ((1, 1), (50, 7)):
+        path = J.shared_path(spark, "topic")
+        (df.coalesce(1) if files == 1 else df.repartition(files, F.xxhash64("ts_us", "session_id"))).write.parquet(path)
+        J.end_topic(spark, path, df.schema, "session_id", YEAR)
+        stream = J.subscribe(spark, path, df.schema, per).withWatermark("at", f"{YEAR} milliseconds")
+        got.append(sorted(map(str, J.run_available(J.stateful(stream, "session_id", proc(), schema, "EventTime"), name).collect())))
+    assert got[0] == got[1] and got[0]
+    if name == "frames":
+        assert sum("late_total" in r for r in got[0]) == 4  # every session drains
+    if name == "idle":
+        assert len(got[0]) == 12
 
 
 def test_stream_equals_batch(spark, sf):
@@ -36,22 +81,3 @@ def test_stream_equals_batch(spark, sf):
     a = sorted(map(tuple, q["STR04"](spark, sf).collect()))
     b = sorted((r.session_id, r.window_id, r.state) for r in q["WIN05"](spark, sf).collect())
     assert [(x[0], x[1], x[3]) for x in a] == b
-
-
-def test_idle_sessions_end_once(spark, sf):
-    from pyspark.sql import functions as F
-
-    from sonorisk.plans.fixtures import events
-    from sonorisk.streaming import jobs as J, processors as PR
-
-    class Idle(PR.IdleSessionProcessor):
-        idle_ms = 6 * 3600 * 1000
-
-    e = events(spark, sf).select(F.col("user_id").alias("session_id"), "ts_us", F.timestamp_micros("ts_us").alias("at"))
-    path = J.shared_path(spark, "idle")
-    J.publish(e, path, "ts_us")
-    st = J.subscribe(spark, path, e.schema, 8).withWatermark("at", "1 second")
-    out = J.run_available(J.stateful(st, "session_id", Idle(), "session_id long, first_ms long, last_ms long, n long", "EventTime"), "ended")
-    # whatever has ended holds each event at most once; sessions still open stay in state
-    assert 0 < out.agg(F.sum("n")).collect()[0][0] <= e.count()
-    assert out.groupBy("session_id", "first_ms").count().filter("count > 1").count() == 0
