@@ -16,7 +16,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sonorisk.llm.common import nested, reliable
+from sonorisk.llm.common import nested, reliable, small
 
 WINDOW = 10
 #: A-Z to a-z; bytes outside the word pattern to a space.
@@ -90,7 +90,7 @@ def hit_runs(words: Sequence[bytes], searchers: Sequence[WuManber], runs: Sequen
 def _block_search(shared, keep_text: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searchers = build(shared.value)
-        for b in batches:
+        for b in small(batches):
             n, runs, items = [], [], []
             for text, r, i in zip(b.column("t").to_pylist(), b.column("runs").to_pylist(), b.column("items").to_pylist(), strict=True):
                 words = words_of(text)

@@ -22,7 +22,7 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
 class WordHashes(dict):
     """Hash of each word, kept for ``limit`` words."""
 
-    limit = 500_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -37,8 +37,8 @@ class WordHashes(dict):
 class Powers:
     """Powers of an odd multiplier and of its inverse, grown on demand."""
 
-    def __init__(self, odd: int = _ODD[0]):
-        self.odd, self.up, self.down = odd, np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
+    def __init__(self, which: int = 0):
+        self.odd, self.up, self.down = _ODD[which], np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
 
     def runs(self, values: np.ndarray, length: int) -> np.ndarray:
         """Polynomial hash, modulo 2**64, of every run of ``length`` values."""
@@ -48,3 +48,11 @@ class Powers:
             self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, pow(self.odd, -1, 1 << 64), dtype=np.uint64)]))
         total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values * self.up[:n])])
         return (total[length:] - total[:-length]) * self.down[: n - length + 1]
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Least of each ``width`` neighbours, by minima over doubling widths."""
+    least, k, n = values, 1, len(values) - width + 1
+    while 2 * k <= width:
+        least, k = np.minimum(least[:-k], least[k:]), 2 * k
+    return np.minimum(least[:n], least[width - k : width - k + n])

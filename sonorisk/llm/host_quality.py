@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sonorisk.llm.common import beta_prior, nested, reliable
+from sonorisk.llm.common import beta_prior, nested, reliable, small
 
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: Rule: (SQL condition of a failing document, limit of a host's shrunk failure rate).
@@ -61,7 +61,7 @@ def text_counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         rows = [text_counts(t) for t in b.column("t").to_pylist()]
         cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(COUNTS))]
         yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("host"), *cols], names=["doc", "host", *COUNTS])

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sonorisk.llm.common import nested
+from sonorisk.llm.common import nested, small
 
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -159,10 +159,8 @@ def extract_main_text(pages: DataFrame, keep: Sequence[str] | None = ("page_id",
     rows = nested(pages, keep, t=html)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([main_text(x) for x in part.column("t").to_pylist()], pa.string())], names=["doc", "text"])
+        for b in small(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([main_text(x) for x in b.column("t").to_pylist()], pa.string())], names=["doc", "text"])
 
     out = rows.mapInArrow(extract, T.StructType([rows.schema["doc"], T.StructField("text", T.StringType())]))
     return out.select("doc", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sonorisk.llm.common import nested, reliable
+from sonorisk.llm.common import nested, reliable, small
 from sonorisk.llm.decontaminate import words_of as folded_words
 from sonorisk.llm.hashing import Powers, WordHashes, mixed
 
@@ -101,12 +101,12 @@ def _components(edges: DataFrame) -> DataFrame:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("id"), pa.array([_seq(t) for t in b.column("t").to_pylist()], pa.binary())], names=["doc", "id", "seq"])
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         texts = b.column("t").to_pylist()
         seq, body = [_seq(t) for t in texts], [zlib.compress((t or "").encode(), 4) for t in texts]
         yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("id"), pa.array(seq, pa.binary()), pa.array(body, pa.binary())], names=["doc", "id", "seq", "body"])
@@ -125,7 +125,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = band_keys(signatures(sets))
         return pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), pa.array(np.repeat(rns, BANDS), pa.int64())], names=["key", "rn"])
 
-    for b in batches:
+    for b in small(batches):
         for rn, body in zip(b.column("rn").to_pylist(), b.column("body").to_pylist(), strict=True):
             s = shingler.of(zlib.decompress(body).decode())
             if len(s[0]):
@@ -142,14 +142,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verifier(similarity: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, known = Shingler(), {}
-        for b in batches:
+        for b in small(batches):
             good = []
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                for x, y, bx, by in zip(*(part.column(c).to_pylist() for c in ("a", "b", "body_a", "body_b")), strict=True):
-                    if x not in known:
-                        known = {x: shingler.of(zlib.decompress(bx).decode())}  # leaders come in runs
-                    good.append(probability_jaccard(*known[x], *shingler.of(zlib.decompress(by).decode())) >= similarity - 1e-12)
+            for x, bx, by in zip(*(b.column(c).to_pylist() for c in ("a", "body_a", "body_b")), strict=True):
+                if x not in known:
+                    known = {x: shingler.of(zlib.decompress(bx).decode())}  # leaders come in runs
+                good.append(probability_jaccard(*known[x], *shingler.of(zlib.decompress(by).decode())) >= similarity - 1e-12)
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return verify
@@ -231,7 +229,7 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sim
     losers = reliable(labels.join(reliable(heads), "label").filter("rn <> head").select("rn"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([zlib.decompress(x).decode() for x in b.column("body").to_pylist()], pa.string())], names=["doc", "t"])
 
     kept = reps.join(losers, "rn", "left_anti").select("doc", "body").mapInArrow(texts, out_type)

@@ -19,66 +19,25 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sonorisk.llm.common import nested, reliable
+from sonorisk.llm.common import nested, reliable, small
+from sonorisk.llm.hashing import Powers, WordHashes, mixed, sliding_min
 
 WINDOW, GRAM = 50, 10
 DEPTH = 3
-RANGE_ANCHORS = 500_000
-TASK_ANCHORS = 1_000_000
-_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
-_U = np.uint64
-
-
-def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A 64-bit mixing of xor-shifts and odd products."""
-    x = x ^ _U(salt)
-    x = (x ^ (x >> _U(32))) * _U(_ODD[1])
-    x = (x ^ (x >> _U(29))) * _U(_ODD[2])
-    return x ^ (x >> _U(32))
-
-
-class WordHashes(dict):
-    """Hash of each word, kept for ``limit`` words."""
-
-    limit = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: Sequence[bytes]) -> np.ndarray:
-        return np.fromiter((self[w] for w in words), dtype=np.uint64, count=len(words))
-
-
-class Powers:
-    """Powers of an odd multiplier and of its inverse, grown on demand."""
-
-    def __init__(self, odd: int):
-        self.odd, self.up, self.down = odd, np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
-
-    def runs(self, values: np.ndarray, length: int) -> np.ndarray:
-        """Polynomial hash, modulo 2**64, of every run of ``length`` values."""
-        n = len(values)
-        if len(self.up) < n:
-            self.up = np.cumprod(np.concatenate([[_U(1)], np.full(2 * n, self.odd, dtype=np.uint64)]))
-            self.down = np.cumprod(np.concatenate([[_U(1)], np.full(2 * n, pow(self.odd, -1, 1 << 64), dtype=np.uint64)]))
-        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values * self.up[:n])])
-        return (total[length:] - total[:-length]) * self.down[: n - length + 1]
+RANGE_ANCHORS = 250_000
+TASK_ANCHORS = 300_000
 
 
 class Hasher:
     def __init__(self) -> None:
-        self.words, self.first, self.second = WordHashes(), Powers(_ODD[0]), Powers(_ODD[2])
+        self.words, self.first, self.second = WordHashes(), Powers(0), Powers(2)
 
     def anchors(self, h: np.ndarray) -> np.ndarray:
         """For each window its anchor."""
         grams = mixed(self.first.runs(h, GRAM))
-        return np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1).min(axis=1)
+        return sliding_min(grams, WINDOW - GRAM + 1)
 
     def windows(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return mixed(self.first.runs(h, WINDOW)), mixed(self.second.runs(mixed(h, 0xA5A5A5A5), WINDOW), 1)
@@ -93,15 +52,15 @@ class CountMin:
 
     def __init__(self, anchors: int):
         self.bits = max(10, (8 * max(1, anchors)).bit_length())
-        self.rows = np.zeros((DEPTH, 1 << self.bits), dtype=np.uint16)
+        self.rows = np.zeros((DEPTH, 1 << self.bits), dtype=np.uint8)
 
     def _cells(self, h: np.ndarray) -> list[np.ndarray]:
-        return [(mixed(h, r + 1) >> _U(64 - self.bits)).astype(np.int64) for r in range(DEPTH)]
+        return [(mixed(h, r + 1) >> np.uint64(64 - self.bits)).astype(np.int64) for r in range(DEPTH)]
 
     def merge(self, h: np.ndarray, n: np.ndarray) -> None:
         for row, cells in zip(self.rows, self._cells(h), strict=True):
             sums = np.bincount(cells, weights=n, minlength=0)
-            np.minimum(row[: len(sums)] + np.minimum(sums, 2).astype(np.uint16), 2, out=row[: len(sums)])
+            np.minimum(row[: len(sums)] + np.minimum(sums, 2).astype(np.uint8), 2, out=row[: len(sums)])
 
     def estimate(self, h: np.ndarray) -> np.ndarray:
         return np.min([row[cells] for row, cells in zip(self.rows, self._cells(h), strict=True)], axis=0)
@@ -112,7 +71,7 @@ def _body_words(body: bytes) -> list[bytes]:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         rows = []
         for t in b.column("t").to_pylist():
             joined = b" ".join(words_of(t))
@@ -121,7 +80,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         rows = []
         for i, t in zip(b.column("id").to_pylist(), b.column("t").to_pylist(), strict=True):
             joined = b" ".join(words_of(t))
@@ -151,14 +110,14 @@ def _sketches(ranges: int):
                 yield _flags(rn[many], h[back[many]])
             owner = np.full(len(h), -1, dtype=np.int64)
             owner[back[~many]] = rn[~many]
-            where = (h % _U(ranges)).astype(np.int64)
+            where = (h % np.uint64(ranges)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             cuts = np.searchsorted(where[order], np.arange(ranges + 1))
             used = [r for r in range(ranges) if cuts[r] < cuts[r + 1]]
             body = [np.concatenate([h[x].view(np.int64), owner[x]]).tobytes() for x in (order[cuts[r] : cuts[r + 1]] for r in used)]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(body, pa.binary())], names=["rn", "h", "range", "body"])
 
-        for b in batches:
+        for b in small(batches):
             for rn, body in zip(b.column("rn").to_pylist(), b.column("body").to_pylist(), strict=True):
                 found = np.unique(hasher.anchors(hasher.words.of(_body_words(body))))
                 rns.append(np.full(len(found), rn, dtype=np.int64))
@@ -189,7 +148,7 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _flags(np.concatenate(rn), np.concatenate(h).view(np.uint64)).select(["rn", "h"])
 
     current, bodies = None, []
-    for b in batches:
+    for b in small(batches):
         for r, body in zip(b.column("range").to_pylist(), b.column("body").to_pylist(), strict=True):
             if r != current and bodies:
                 yield answer(bodies)
@@ -203,20 +162,19 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hash, id, number and position of every window whose anchor is flagged."""
     hasher = Hasher()
-    for b in batches:
-        for at in range(0, b.num_rows, 200):
-            part, cols = b.slice(at, 200), [[], [], [], [], []]
-            for rn, i, body, flags in zip(*(part.column(c).to_pylist() for c in ("rn", "id", "body", "flags")), strict=True):
-                h = hasher.words.of(_body_words(body))
-                pos = np.flatnonzero(np.isin(hasher.anchors(h), np.array(flags, dtype=np.int64).view(np.uint64)))
-                one, two = hasher.windows(h)
-                for c, v in zip(cols, (one[pos].view(np.int64), two[pos].view(np.int64), np.full(len(pos), i), np.full(len(pos), rn), pos), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols[:4]] + [pa.array(np.concatenate(cols[4]), pa.int32())], names=["h1", "h2", "id", "rn", "pos"])
+    for b in small(batches):
+        cols = [[], [], [], [], []]
+        for rn, i, body, flags in zip(*(b.column(c).to_pylist() for c in ("rn", "id", "body", "flags")), strict=True):
+            h = hasher.words.of(_body_words(body))
+            pos = np.flatnonzero(np.isin(hasher.anchors(h), np.array(flags, dtype=np.int64).view(np.uint64)))
+            one, two = hasher.windows(h)
+            for c, v in zip(cols, (one[pos].view(np.int64), two[pos].view(np.int64), np.full(len(pos), i), np.full(len(pos), rn), pos), strict=True):
+                c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols[:4]] + [pa.array(np.concatenate(cols[4]), pa.int32())], names=["h1", "h2", "id", "rn", "pos"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         n, sha = [], []
         for body, starts in zip(b.column("body").to_pylist(), b.column("starts").to_pylist(), strict=True):
             words = _body_words(body)

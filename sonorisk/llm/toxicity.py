@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sonorisk.llm.common import nested, reliable
+from sonorisk.llm.common import nested, reliable, small
 
 TERM = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 BLOCK = 64
@@ -142,7 +142,7 @@ def score_toxicity(
     learn = reliable(rows.select("id", "t").join(F.broadcast(first), "id"))  # max_examples rows
 
     def distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             pos, neg = Counter(), Counter()
             for t, y in zip(b.column("t").to_pylist(), b.column("y").to_pylist(), strict=True):
                 (pos if y else neg).update(set(terms_of(t)))
@@ -159,7 +159,7 @@ def score_toxicity(
 
     def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, seen, n = shared_terms.value, Counter(), 0
-        for b in batches:
+        for b in small(batches):
             n += b.num_rows
             for t in b.column("t").to_pylist():
                 seen.update({number[x] for x in terms_of(t) if x in number})
@@ -173,7 +173,7 @@ def score_toxicity(
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = shared_terms.value
-        for b in batches:
+        for b in small(batches):
             found = [vector_of(t, number) for t in b.column("t").to_pylist()]
             lists = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), *lists], names=["id", "y", "terms", "counts"])
@@ -210,7 +210,7 @@ def score_toxicity(
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, (index, idf, prior, rest, a, b) = shared_terms.value, model.value
         cache: dict[tuple, tuple[float, list[int]]] = {}
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for key in (vector_of(t, number) for t in batch.column("t").to_pylist()):
                 if key not in cache:
