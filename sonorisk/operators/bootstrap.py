@@ -1,8 +1,9 @@
 """Bootstrap intervals on count tables.
 
 Resampling n trials with replacement is a multinomial draw over counts, so the replicates are drawn on
-counts instead of trials.  Counts sit on a bounded grid of score cells per slice: a task holds at
-most ``GRID`` count rows of a slice, never its trials.
+counts instead of trials.  The point estimate comes from all distinct scores.  For the replicates, neighbouring
+scores share a cell once a slice has more than ``GRID`` trials: cells hold equal shares of the slice's trials, so
+the grid follows the ranks and an outlier moves nothing, and a task holds at most ``GRID`` count rows of a slice.
 """
 
 from __future__ import annotations
@@ -13,26 +14,32 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-GRID = 2048  # score cells per slice used by the replicates
+from sonorisk.operators.curves import BINARY, cumulative, curve_metrics, with_rates
+from sonorisk.scale import null_safe_join, prefix_sums
 
+GRID = 2048  # cells of equal share per slice used by the replicates
 
-def grid_counts(df: DataFrame, slices: Sequence[str], score: str, label: str, cells: int = GRID) -> DataFrame:
-    """Class counts per slice on a bounded grid of score cells (one small group per slice)."""
+
+def score_counts(df: DataFrame, slices: Sequence[str], score: str, label: str) -> DataFrame:
+    """Class counts per slice and distinct score; one task-sized row per distinct score."""
     s = df.filter(F.col(score).isNotNull() & ~F.isnan(score) & F.col(label).isin("bona_fide", "spoof"))
-    span = s.groupBy(*slices).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    j = s.join(span, list(slices)) if slices else s.join(F.broadcast(span))
-    cell = F.when(
-        F.col("_hi") > F.col("_lo"),
-        F.least(F.floor((F.col(score) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * cells), F.lit(cells - 1)),
-    ).otherwise(F.lit(0))
-    return j.groupBy(*slices, cell.cast("long").alias("cell")).agg(
-        F.sum((F.col(label) == "bona_fide").cast("long")).alias("n_bona"),
-        F.sum((F.col(label) == "spoof").cast("long")).alias("n_spoof"),
-        F.avg(F.when(F.col(label) == "bona_fide", F.col(score))).alias("m_bona"),
-        F.avg(F.when(F.col(label) == "spoof", F.col(score))).alias("m_spoof"),
+    return s.groupBy(*slices, F.col(score).alias("score")).agg(
+        F.sum((F.col(label) == "bona_fide").cast("long")).alias("n_bona"), F.sum((F.col(label) == "spoof").cast("long")).alias("n_spoof")
     )
 
 
+def grid_counts(counts: DataFrame, slices: Sequence[str], cells: int = GRID) -> DataFrame:
+    """The counts on cells of equal share; every distinct score has its own cell in a slice of up to ``cells`` trials."""
+    slices = list(slices)
+    n = counts.withColumn("_n", F.col("n_bona") + F.col("n_spoof"))
+    totals = n.groupBy(*slices).agg(F.sum("_n").alias("_total"))
+    ranked = null_safe_join(prefix_sums(n, slices, ["score"], {"_upto": "_n"}), totals, slices)
+    last = F.col("_upto") - 1
+    cell = F.when(F.col("_total") > cells, F.floor(last * cells / F.col("_total"))).otherwise(last).cast("long")
+    mean = lambda c: F.sum(F.col("score") * F.col(c)) / F.nullif(F.sum(c), F.lit(0))
+    return ranked.groupBy(*slices, cell.alias("cell")).agg(F.sum("n_bona").alias("n_bona"), F.sum("n_spoof").alias("n_spoof"), mean("n_bona").alias("m_bona"), mean("n_spoof").alias("m_spoof"))
+
+
 def _eer(b: np.ndarray, s: np.ndarray) -> np.ndarray:
     frr = np.cumsum(b, axis=1) / b.sum(axis=1, keepdims=True)
     far = 1 - np.cumsum(s, axis=1) / s.sum(axis=1, keepdims=True)
@@ -58,10 +65,11 @@ def bootstrap_interval(
 ) -> DataFrame:
     """Percentile interval of the EER (``eer``) or of mean(bona) - mean(spoof) (``gap``) per slice.
 
-    ``metric`` may also be a callable on two [replicate, cell] count matrices.
+    ``metric`` may also be a callable on two [replicate, cell] count matrices; its point is read off the cells.
     """
     slices = list(slices)
-    counts = grid_counts(df, slices, score, label)
+    exact = score_counts(df, slices, score, label)
+    counts = grid_counts(exact, slices)
     fields = [f for f in counts.schema.fields if f.name in slices]
     schema = T.StructType(fields + [T.StructField(c, T.DoubleType()) for c in ("point", "ci_low", "ci_high")])
 
@@ -81,4 +89,13 @@ def bootstrap_interval(
         lo, hi = np.quantile(stat(rb, rs), [alpha / 2, 1 - alpha / 2])
         return pd.DataFrame({**head, "point": [float(stat(b[None], s[None])[0])], "ci_low": [float(lo)], "ci_high": [float(hi)]})
 
-    return counts.groupBy(*slices).applyInPandas(per_slice, schema)
+    out = counts.groupBy(*slices).applyInPandas(per_slice, schema)
+    if metric == "eer":
+        c = cumulative(exact, slices, BINARY)
+        point = curve_metrics(with_rates(c), slices).select(*slices, F.col("eer").alias("_exact"))
+    elif metric == "gap":
+        mean = lambda n: F.sum(F.col("score") * F.col(n)) / F.nullif(F.sum(n), F.lit(0))
+        point = exact.groupBy(*slices).agg((mean("n_bona") - mean("n_spoof")).alias("_exact"))
+    else:
+        return out
+    return null_safe_join(out, point, slices).select(*slices, F.coalesce("_exact", "point").alias("point"), "ci_low", "ci_high")

