@@ -67,8 +67,12 @@ def bootstrap_interval(
 
     ``metric`` may also be a callable on two [replicate, cell] count matrices; its point is read off the cells.
     """
+    return interval(score_counts(df, slices, score, label), slices, metric, n, alpha, seed)
+
+
+def interval(exact: DataFrame, slices: Sequence[str], metric: str = "eer", n: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """``bootstrap_interval`` from class counts (slices, score, n_bona, n_spoof)."""
     slices = list(slices)
-    exact = score_counts(df, slices, score, label)
     counts = grid_counts(exact, slices)
     fields = [f for f in counts.schema.fields if f.name in slices]
     schema = T.StructType(fields + [T.StructField(c, T.DoubleType()) for c in ("point", "ci_low", "ci_high")])

@@ -11,22 +11,24 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from sonorisk.functions.arrays import as_double, cosine, dot, norm, subtract
-from sonorisk.scale import small_or_plain
+from sonorisk.scale import materialize, small_or_plain
 
 BLOCK_ROWS = 4096
-BATCH_ROWS = 32_768
 
 
 def mean_vectors(df: DataFrame, keys: Sequence[str], vec: str, unit: bool = False) -> DataFrame:
-    """Mean vector per key (unit length on request); sums per position combine on the map side."""
-    p = df.select(*keys, F.posexplode(vec).alias("_pos", "_v"))
-    m = p.groupBy(*keys, "_pos").agg(F.avg(F.col("_v").cast("double")).alias("_m"))
-    g = m.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "_m"))).alias("_s"))  # one entry per dimension
-    c = g.select(*keys, F.col("_s._m").alias("centroid"))
+    """Mean vector per key (unit length on request); vectors are summed whole on the map side.
+
+    Vectors that are NULL or hold a NULL are left out.
+    """
+    p = df.filter(F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull())).select(*keys, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+    c = p.groupBy(*keys).agg(Summarizer.mean(F.col("_v")).alias("_m")).select(*keys, vector_to_array("_m").alias("centroid"))
     if unit:
         c = c.withColumn("_n", norm(F.col("centroid"))).withColumn("centroid", F.transform("centroid", lambda x: x / (F.col("_n") + 1e-9))).drop("_n")
     return c
@@ -38,37 +40,35 @@ def voiceprint_centroids(prints: DataFrame, keys: Sequence[str]) -> DataFrame:
     return mean_vectors(every, [*keys, "condition"], "embedding", unit=True)
 
 
-def _batches(df: DataFrame, group: str, rows: int, name: str) -> DataFrame:
-    """Number rows into hash batches of about ``rows`` per group (``name``), with the batch count."""
-    sizes = df.groupBy(group).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows)).cast("int").alias(f"n_{name}"))
-    j = df.join(small_or_plain(sizes), group)
-    return j.withColumn(name, F.pmod(F.xxhash64("id"), F.col(f"n_{name}")).cast("int"))
-
+def block_product(left: DataFrame, right: DataFrame, reduce, schema: str, extra: Sequence[str] = ()) -> DataFrame:
+    """Apply ``reduce(group, rows, L, rids, R) -> DataFrame`` to every batch of left rows and block of right ones of a group.
 
-def block_product(left: DataFrame, right: DataFrame, reduce, schema: str) -> DataFrame:
-    """Apply ``reduce(group, ids, L, rids, R) -> DataFrame`` to every (left batch, right block) of a group.
-
-    left, right: (id, grp, vec).  Batches and blocks are hash-sized, so a task holds at most about
-    BATCH_ROWS + BLOCK_ROWS vectors however large a group is.
+    left: (id, grp, vec, extra); right: (id, grp, vec).  The right side goes round in blocks of ``BLOCK_ROWS`` vectors, each a
+    broadcast of that bound, dealt by a hash of the id; left rows stay where they lie and are neither copied nor shuffled.
     """
-    lb = _batches(left.select("id", "grp", "vec"), "grp", BATCH_ROWS, "batch").drop("n_batch")
-    rb = _batches(right.select("id", "grp", "vec"), "grp", BLOCK_ROWS, "block")
-    per = rb.select("grp", "n_block").distinct()
-    batches = lb.select("grp", "batch").distinct()
-    # left rows meet each block of their group; right blocks meet each batch of their group
-    lx = lb.join(small_or_plain(per), "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_block") - 1))).drop("n_block")
-    rx = rb.drop("n_block").join(small_or_plain(batches), "grp")
-
-    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame()
-        la, rbm = np.stack(a["vec"].to_numpy()).astype(float), np.stack(b["vec"].to_numpy()).astype(float)
-        return reduce(a["grp"].iloc[0], a["id"].to_numpy(), la, b["id"].to_numpy(), rbm)
-
-    keys = ["grp", "batch", "block"]
-    # toDF gives the right side its own column ids: both sides descend from ``left``
-    rx = rx.toDF(*rx.columns)
-    return lx.groupBy(*keys).cogroup(rx.groupBy(*keys)).applyInPandas(product, schema)
+    spark = left.sparkSession
+    blocks = max(1, -(-right.count() // BLOCK_ROWS))
+    out = None
+    for k in range(blocks):
+        part = right.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k) if blocks > 1 else right
+        groups: dict = {}
+        for r in part.select("id", "grp", "vec").collect():
+            groups.setdefault(r.grp, []).append((r.id, r.vec))
+        shared = spark.sparkContext.broadcast({g: (np.array([i for i, _ in rows], dtype=object), np.array([v for _, v in rows], dtype=float)) for g, rows in groups.items()})
+        piece = left.select("id", "grp", "vec", *extra).mapInPandas(_products(shared, reduce), schema)
+        out = piece if out is None else out.unionByName(piece)
+    return out
+
+
+def _products(shared, reduce):
+    def run(batches):
+        for pdf in batches:
+            for g, rows in pdf.groupby("grp"):
+                if g in shared.value:
+                    rids, r = shared.value[g]
+                    yield reduce(g, rows, np.stack(rows["vec"].to_numpy()).astype(float), rids, r)
+
+    return run
 
 
 def cohort_statistics(vectors: DataFrame, cohort: DataFrame, k: int = 200, floor: float = 1e-3) -> DataFrame:
@@ -76,11 +76,11 @@ def cohort_statistics(vectors: DataFrame, cohort: DataFrame, k: int = 200, floor
 
     vectors: (id, vec); cohort: (id, vec) of unit vectors.
     """
-    def top(_, ids, a, __, b):
+    def top(_, rows, a, __, b):
         s = (a / (np.linalg.norm(a, axis=1, keepdims=True) + 1e-9)) @ b.T
         kk = min(k, s.shape[1])
         best = -np.partition(-s, kk - 1, axis=1)[:, :kk]
-        return pd.DataFrame({"id": np.repeat(ids, kk), "s": best.ravel()})
+        return pd.DataFrame({"id": np.repeat(rows["id"].to_numpy(), kk), "s": best.ravel()})
 
     one = lambda d: d.withColumn("grp", F.lit(0).cast("long"))
     best = block_product(one(vectors), one(cohort), top, "id long, s double")
@@ -134,23 +134,23 @@ GRID = 1_000_000  # non-target scores are counted on this grid
 def nontarget_counts(utts: DataFrame) -> DataFrame:
     """(grp, score, n): scores against the mean of every other speaker of the same group, as counts."""
     cent = mean_vectors(utts, ["grp", "speaker"], "vec").select(F.col("speaker").alias("id"), "grp", F.col("centroid").alias("vec"))
-    left = utts.select("id", "grp", "vec", "speaker")
-    packed = left.select(F.struct("id", "speaker").alias("_i"), "grp", "vec", F.col("id").alias("id"), "speaker")
 
-    def counts(grp, ids, a, rids, b):
-        s = np.round(a[:, :-1] @ (b / (np.linalg.norm(b, axis=1, keepdims=True) + 1e-9)).T * GRID).astype(np.int64)
-        keep = a[:, -1].astype(np.int64)[:, None] != rids[None, :]
-        v, n = np.unique(s[keep], return_counts=True)
+    def counts(grp, rows, a, rids, b):
+        s = np.round(a @ (b / (np.linalg.norm(b, axis=1, keepdims=True) + 1e-9)).T * GRID).astype(np.int64)
+        v, n = np.unique(s[rows["speaker"].to_numpy(dtype=object)[:, None] != rids[None, :]], return_counts=True)
         return pd.DataFrame({"grp": grp, "cell": v, "n": n})
 
-    # the speaker id rides along as an extra coordinate so that own-speaker pairs are left out
-    tagged = packed.select("id", "grp", F.concat(as_double(F.col("vec")), F.array(F.col("speaker").cast("double"))).alias("vec"))
-    cells = block_product(tagged, cent, counts, "grp long, cell long, n long")
+    kind = utts.schema["grp"].dataType.simpleString()
+    cells = block_product(utts, cent, counts, f"grp {kind}, cell long, n long", ["speaker"])
     return cells.groupBy("grp", "cell").agg(F.sum("n").alias("n")).select("grp", (F.col("cell") / float(GRID)).alias("score"), "n")
 
 
 def speaker_benchmark(utts: DataFrame) -> DataFrame:
-    """EER per language (target leave-one-out scores against other speakers' means)."""
+    """EER with its interval per language, and over all of them as ``all``.
+
+    Target scores are leave-one-out; the others go against the means of other speakers.  Scores have six decimals.
+    """
+    from sonorisk.operators.bootstrap import interval
     from sonorisk.operators.curves import cumulative, left_sided_eer, with_rates
 
     t = target_scores(utts).select("grp", F.round("score", 6).alias("score")).groupBy("grp", "score").agg(F.count(F.lit(1)).alias("n_bona"))
@@ -158,8 +158,10 @@ def speaker_benchmark(utts: DataFrame) -> DataFrame:
     c = t.unionByName(n, allowMissingColumns=True).groupBy("grp", "score").agg(
         F.coalesce(F.sum("n_bona"), F.lit(0)).alias("n_bona"), F.coalesce(F.sum("n_spoof"), F.lit(0)).alias("n_spoof")
     )
+    every = c.groupBy("score").agg(F.sum("n_bona").alias("n_bona"), F.sum("n_spoof").alias("n_spoof"))
+    c = materialize(c.withColumn("grp", F.col("grp").cast("string")).unionByName(every.withColumn("grp", F.lit("all"))))
     curve = with_rates(cumulative(c, ["grp"], ("bona", "spoof")))
-    e = left_sided_eer(curve, ["grp"])
+    e = left_sided_eer(curve, ["grp"]).join(interval(c, ["grp"]).select("grp", "ci_low", "ci_high"), "grp")
     sizes = c.groupBy("grp").agg(F.sum("n_bona").alias("n_target"), F.sum("n_spoof").alias("n_nontarget"))
     return e.join(sizes, "grp").filter((F.col("n_target") >= 5) & (F.col("n_nontarget") >= 5))
 

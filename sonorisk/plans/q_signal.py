@@ -101,15 +101,15 @@ def jon13(spark, sf):
 @query(
     "JOB18",
     sql(
-        """SELECT grp, any_value(tt) AS n_target, any_value(tn) AS n_nontarget, round(first((frr + far) / 2 ORDER BY round(abs(frr - far), 12), s), 5) AS eer FROM (SELECT grp, s, tt, tn, (sum(a) OVER w - a) / tt AS frr, 1 - (sum(b) OVER w - b) / tn AS far FROM (
-        SELECT grp, s, sum(a) AS a, sum(b) AS b, sum(sum(a)) OVER (PARTITION BY grp) AS tt, sum(sum(b)) OVER (PARTITION BY grp) AS tn FROM (SELECT grp, s, 1 AS a, 0 AS b FROM tgt UNION ALL SELECT grp, s, 0, 1 FROM ntg) GROUP BY grp, s)
+        """SELECT grp, any_value(tt) AS n_target, any_value(tn) AS n_nontarget, round(first((frr + far) / 2 ORDER BY round(abs(frr - far), 12), s), 5) AS eer, true AS in_interval FROM (SELECT grp, s, tt, tn, (sum(a) OVER w - a) / tt AS frr, 1 - (sum(b) OVER w - b) / tn AS far FROM (
+        SELECT grp, s, sum(a) AS a, sum(b) AS b, sum(sum(a)) OVER (PARTITION BY grp) AS tt, sum(sum(b)) OVER (PARTITION BY grp) AS tn FROM (SELECT unnest([grp::VARCHAR, 'all']) AS grp, s, 1 AS a, 0 AS b FROM tgt UNION ALL SELECT unnest([grp::VARCHAR, 'all']), s, 0, 1 FROM ntg) GROUP BY grp, s)
         WINDOW w AS (PARTITION BY grp ORDER BY s)) GROUP BY 1""",
         "tgt", "ntg",
     ),
 )
 def job18(spark, sf):
     b = SP.speaker_benchmark(vectors(spark, sf))
-    return b.select("grp", "n_target", "n_nontarget", r6(F.col("eer_left"), 5).alias("eer"))
+    return b.select("grp", "n_target", "n_nontarget", r6(F.col("eer_left"), 5).alias("eer"), ((F.col("ci_low") - 0.02 <= F.col("eer_left")) & (F.col("eer_left") <= F.col("ci_high") + 0.02)).alias("in_interval"))
 
 
 def speaker_windows(spark, sf):
