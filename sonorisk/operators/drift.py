@@ -3,22 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window as W
 
 from sonorisk.functions.math import histogram_bin
 from sonorisk.operators.curves import ks_statistic
+from sonorisk.scale import ordered_index
 
 PSI_BINS = 20  # fixed value
 
 
 def last_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """Last ``n`` rows per key.  The rank filter lets Spark keep only ``n`` rows per key and map task
-    before the shuffle (WindowGroupLimit) as long as n is within its threshold setting."""
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")) < n:
-        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(n))
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    """First ``n`` rows per key in the given order; a large input is ranked over many tasks."""
+    return ordered_index(df, keys, order, "_rn").filter(F.col("_rn") <= n).drop("_rn")
 
 
 def psi(df: DataFrame, keys: list[str], p: str, is_ref: Column, bins: int = PSI_BINS, eps: float = 1e-4) -> DataFrame:

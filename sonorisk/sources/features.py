@@ -14,7 +14,8 @@ def materialise_features(rows: DataFrame, path: str, key: str, samples: str, spl
     try:
         done = spark.read.parquet(path).select(key)
         rows = rows.join(done, key, "left_anti")
-    except AnalysisException:
-        pass  # first run: no table yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # that is the first run; anything else is an error
+            raise
     f = extract_features(rows.select(key, samples), key, samples)
     f.join(rows.select(key, split), key).write.mode("append").partitionBy(split).parquet(path)
