@@ -36,6 +36,18 @@ def reliable(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write to a table in the shared folder and read it again.
+
+    For loops: a checkpoint keeps the size estimate of its plan, and estimates of joins multiply, round after round.
+    """
+    from sonorisk.scale import shared_path
+
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def beta_prior(level: DataFrame, low: float = 1.0, high: float = 1000.0) -> tuple[float, float]:
     """Mean and strength of the beta prior of the groups' bad rates (``n, bad``), by the analysis-of-variance estimate.
 

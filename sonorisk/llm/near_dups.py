@@ -5,9 +5,9 @@ count, to random registers; it stops as soon as its next point comes later than
 register keeps the shingle that came first, so two documents agree in it with their probability Jaccard similarity.
 Banded registers give candidates, which are verified by the exact similarity.
 
-Scale: equal texts are first reduced to one.  A bucket never emits all its pairs: its members are compared with a
-leader, classes are contracted, and later rounds ask only across different classes of a bucket, at last exhaustively,
-so no candidate is dropped.  Links and labels stay distributed; labels spread by minima and pointer jumping between
+Scale: equal texts are first reduced to one.  A bucket never emits its pairs: in rounds its members are compared with a
+leader and classes are contracted.  What is still open, different classes that share a bucket, is compared in full, in
+bounded blocks of documents, and a block emits only links that join classes, so no candidate is dropped.  Links and labels stay distributed; labels spread by minima and pointer jumping between
 reliable checkpoints.
 """
 
@@ -21,13 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sonorisk.llm.common import nested, reliable, small
+from sonorisk.llm.common import nested, reliable, small, stored
 from sonorisk.llm.decontaminate import words_of as folded_words
 from sonorisk.llm.hashing import Powers, WordHashes, mixed
 
 SHINGLE = 5
 BANDS, ROWS = 26, 5
 BATCH_SHINGLES = 1_000_000
+BLOCK = 256
 
 
 class Shingler:
@@ -87,17 +88,21 @@ def probability_jaccard(ha: np.ndarray, ca: np.ndarray, hb: np.ndarray, cb: np.n
 
 
 def _components(edges: DataFrame) -> DataFrame:
-    """``node, root``: the least node of each component of the edges ``u, v``."""
-    both = reliable(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    p = reliable(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("root")))
-    while True:
-        near = both.join(p.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
-        stepped = reliable(p.join(near, "node").select("node", "root", F.least("root", "near").alias("low")))
-        jump = stepped.select(F.col("node").alias("low"), F.col("low").alias("jumped"))
-        nxt = reliable(stepped.join(jump, "low").select("node", F.least("low", "jumped").alias("root"), (F.least("low", "jumped") < F.col("root")).alias("moved")))
-        if nxt.filter("moved").isEmpty():
-            return nxt.select("node", "root")
-        p = nxt.select("node", "root")
+    """``node, root``: the least node of each component of the edges ``u, v``.
+
+    In a round every node hooks onto its least neighbour, hooks are followed four steps, and edges and roots move along;
+    edges inside a merged node vanish.  Each merge at least halves the nodes that have edges, so few rounds are needed.
+    """
+    both = stored(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct())
+    roots = stored(both.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node")))
+    while not both.isEmpty():
+        hook = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("up")))
+        for _ in range(2):
+            hook = stored(hook.join(hook.select(F.col("node").alias("up"), F.col("up").alias("above")), "up").select("node", F.col("above").alias("up")))
+        moved = both.join(hook.select(F.col("node").alias("u"), F.col("up").alias("a")), "u").join(hook.select(F.col("node").alias("v"), F.col("up").alias("b")), "v")
+        both = stored(moved.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct())
+        roots = stored(roots.join(hook.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+    return roots
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,38 +161,131 @@ def _verifier(similarity: float):
 def _labelled(reps: DataFrame, similarity: float, star_rounds: int) -> DataFrame:
     """``rn, label`` of the distinct texts ``rn, body`` that share a bucket; equal labels are one class."""
     keys = reliable(reps.select("rn", "body").mapInArrow(_sign, "key long, rn long"))
-    shared = reliable(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    shared = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
     members = reliable(keys.join(shared, "key"))
-    labels = reliable(members.select("rn").distinct().withColumn("label", F.col("rn")))
+    labels = stored(members.select("rn").distinct().withColumn("label", F.col("rn")))
     tried = None
-    for turn in range(star_rounds + 1):
-        state = reliable(members.join(labels, "rn"))
+    for turn in range(star_rounds):
+        state = stored(members.join(labels, "rn"))
         order = F.xxhash64("rn", F.lit(turn))
         open_ = state.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("rn", "label"), order).alias("lead")).filter("lo < hi")
-        open_ = reliable(open_.select("key", F.col("lead.rn").alias("other"), F.col("lead.label").alias("other_label")))
-        if turn == star_rounds:
-            left = state.join(open_.select("key"), "key")
-            other = left.select("key", F.col("rn").alias("other"), F.col("label").alias("other_label"))
-            pairs = left.join(other, "key").filter("label < other_label")
-        else:
-            pairs = state.join(open_, "key").filter("label <> other_label")
+        open_ = stored(open_.select("key", F.col("lead.rn").alias("other"), F.col("lead.label").alias("other_label")))
+        pairs = state.join(open_, "key").filter("label <> other_label")
         pairs = pairs.select(F.least("rn", "other").alias("a"), F.greatest("rn", "other").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = reliable(pairs)
+        pairs = stored(pairs)
         if pairs.isEmpty():
-            break
+            return labels  # every bucket lies in one class, or all its pairs have been compared
         tried = pairs if tried is None else tried.unionByName(pairs)
         with_b = pairs.join(reps.select(F.col("rn").alias("b"), F.col("body").alias("body_b")), "b")
         full = with_b.join(reps.select(F.col("rn").alias("a"), F.col("body").alias("body_a")), "a")
-        links = reliable(full.select("a", "b", "body_a", "body_b").mapInArrow(_verifier(similarity), "a long, b long"))
+        links = stored(full.select("a", "b", "body_a", "body_b").mapInArrow(_verifier(similarity), "a long, b long"))
         edges = links.join(labels.select(F.col("rn").alias("a"), F.col("label").alias("u")), "a").join(labels.select(F.col("rn").alias("b"), F.col("label").alias("v")), "b").filter("u <> v")
-        roots = _components(edges.select("u", "v").distinct())
-        labels = reliable(labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("rn", F.coalesce("root", "label").alias("label")))
-    return labels
+        labels = _relabelled(labels, edges.select("u", "v").distinct())
+
+    # whatever is still open: classes that share a bucket form a group, and a group is compared block by block
+    state = stored(members.join(labels, "rn"))
+    open_ = stored(state.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key", "lo"))
+    shares = stored(state.join(open_, "key").filter("label <> lo").select(F.col("lo").alias("u"), F.col("label").alias("v")).distinct())
+    if shares.isEmpty():
+        return labels
+    grouped = stored(labels.join(_components(shares).withColumnRenamed("node", "label"), "label"))
+    classes = grouped.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = classes.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("out"))
+    count = lambda c: F.ceil(F.col(c) / BLOCK).cast("int").alias(c)
+    dealt = grouped.join(stored(sizes.select("root", "main", count("n"), count("out"))), "root").join(reps.select("rn", "body"), "rn")
+    # the rows outside a group's largest class meet all rows of the group: left blocks by right blocks
+    each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    own = lambda c: F.pmod(F.xxhash64("rn"), F.col(c)).cast("int")
+    places = F.concat(
+        F.transform(each("out"), lambda k: F.struct(k.alias("p"), own("n").alias("q"), F.lit(1).alias("side"))),
+        F.when(F.col("label") != F.col("main"), F.transform(each("n"), lambda k: F.struct(own("out").alias("p"), k.alias("q"), F.lit(0).alias("side")))).otherwise(F.array().cast("array<struct<p:int,q:int,side:int>>")),
+    )
+    dealt = dealt.select("root", "label", "body", F.inline(places))
+    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = dealt.repartition(n, "root", "p", "q").sortWithinPartitions("root", "p", "q")
+    return _relabelled(labels, stored(blocks.mapInArrow(_block_links(similarity), "u long, v long").distinct()))
+
+
+def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    roots = _components(edges).withColumnRenamed("node", "label")
+    return stored(labels.join(roots, "label", "left").select("rn", F.coalesce("root", "label").alias("label")))
+
+
+def similarities(left: Sequence[tuple[np.ndarray, np.ndarray]], right: Sequence[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray) -> np.ndarray:
+    """Probability Jaccard of the wanted pairs, zero elsewhere.
+
+    Shared shingles are counted by matrix products over slices of the common shingles.  Where both documents count each
+    of their shingles equally often, the similarity is the Jaccard similarity of the sets; else it is taken pair by pair.
+    """
+    common = np.intersect1d(np.concatenate([h for h, _ in left]), np.concatenate([h for h, _ in right]))
+    shared = np.zeros(wanted.shape, dtype=np.float32)
+    for at in range(0, len(common), 8_192):
+        part = common[at : at + 8_192]
+        shared += _incidence(left, part) @ _incidence(right, part).T
+    sizes = [np.array([len(h) for h, _ in side], dtype=float) for side in (left, right)]
+    out = np.where(wanted, shared / np.maximum(sizes[0][:, None] + sizes[1][None, :] - shared, 1), 0.0)
+    flat = [np.array([(c == c[0]).all() for _, c in side]) for side in (left, right)]
+    for i, j in np.argwhere(wanted & (shared > 0) & ~(flat[0][:, None] & flat[1][None, :])):
+        out[i, j] = probability_jaccard(*left[i], *right[j])
+    return out
+
+
+def _incidence(docs: Sequence[tuple[np.ndarray, np.ndarray]], part: np.ndarray) -> np.ndarray:
+    m = np.zeros((len(docs), len(part)), dtype=np.float32)
+    for k, (h, _) in enumerate(docs):
+        at = np.minimum(np.searchsorted(part, h), len(part) - 1)
+        m[k, at[part[at] == h]] = 1
+    return m
+
+
+def _block_links(similarity: float):
+    """Links between different classes of two blocks, at most one for each two classes that a task finds apart."""
+
+    def links(shingler: Shingler, rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
+        sides = [[r for r in rows if r[0] == side] for side in (0, 1)]
+        sets = [[shingler.of(zlib.decompress(r[2]).decode()) for r in side] for side in sides]
+        if not sides[0] or not sides[1]:
+            return []
+        ids = [np.array([r[1] for r in side]) for side in sides]
+        near = similarities(*sets, ids[0][:, None] != ids[1][None, :]) >= similarity - 1e-12
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for i, j in np.argwhere(near):
+            u, v = find(int(ids[0][i])), find(int(ids[1][j]))
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                out.append((int(ids[0][i]), int(ids[1][j])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, current, rows = Shingler(), None, []
+
+        def flush():
+            found = links(shingler, rows)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for b in small(batches):
+            for root, p, q, side, label, body in zip(*(b.column(c).to_pylist() for c in ("root", "p", "q", "side", "label", "body")), strict=True):
+                if (root, p, q) != current:
+                    if rows:
+                        yield flush()
+                    current, rows = (root, p, q), []
+                rows.append((side, label, body))
+        if rows:
+            yield flush()
+
+    return run
 
 
-def near_duplicates(docs: DataFrame, keep: Sequence[str] | None = ("doc_id",), text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8, star_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, keep: Sequence[str] | None = ("doc_id",), text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8, star_rounds: int = 1) -> DataFrame:
     """``doc`` (kept columns), ``class_id`` and ``is_first`` for every row.
 
     Words are runs of ASCII letters and digits and of other characters, A-Z lower-cased.  Documents are linked when the
@@ -211,7 +309,7 @@ def near_duplicates(docs: DataFrame, keep: Sequence[str] | None = ("doc_id",), t
     return base.join(verdict, "seq", "left").select("doc", F.coalesce(F.col("head.id"), F.col("id")).alias("class_id"), F.coalesce(own == F.col("head"), F.lit(True)).alias("is_first"))
 
 
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8, star_rounds: int = 2) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8, star_rounds: int = 1) -> DataFrame:
     """The rows of ``docs`` with one row, of least id, for each class of ``near_duplicates``; rows that are a class alone stay.
 
     The kept texts come from the table of distinct texts, so texts are not joined again with the input.
