@@ -51,7 +51,9 @@ def interleaved_shards(docs: DataFrame, n_shards: int = 8, seed: str = "shards",
     strata = reliable(rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_stratum")))
     total = strata.agg(F.coalesce(F.sum("n_stratum"), F.lit(0))).first()[0]
 
-    celled = rows.join(strata, "stratum").withColumn("cell", _cell(F.col("h"), F.ceil(F.col("n_stratum") / cell_rows)))
+    # a source may hold any share of the rows: its count meets them under each first digit of their hashes
+    salted = strata.withColumn("salt", F.explode(F.array(*[F.lit(d) for d in "0123456789abcdef"])))
+    celled = rows.withColumn("salt", F.substring("h", 1, 1)).join(salted, ["stratum", "salt"]).drop("salt").withColumn("cell", _cell(F.col("h"), F.ceil(F.col("n_stratum") / cell_rows)))
     cells = _rows_before(celled.groupBy("stratum", "cell").agg(F.count(F.lit(1)).alias("n")), ["stratum"], "cell")
     order = [F.col(c).asc_nulls_first() for c in ("h", "doc_id", "text_crc32", "size")]
     in_cell = celled.withColumn("place", F.row_number().over(W.partitionBy("stratum", "cell").orderBy(*order)))
