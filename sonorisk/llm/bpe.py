@@ -15,8 +15,11 @@ import base64
 import hashlib
 import heapq
 import pickle
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 import regex
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from sonorisk.llm.common import nested
 
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 8_000_000
 CACHE_WORDS = 200_000
 PACKED = "chunk long, bucket int, body binary"
 
@@ -68,6 +71,41 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+def _latin_pattern(pattern: str) -> str:
+    """The pattern with its classes spelled out for code points under 256, for the faster standard engine."""
+    names = {c: "".join(f"\\x{k:02x}" for k in range(256) if regex.match(c, chr(k))) for c in (r"\p{L}", r"\p{N}", r"\s", r"\S")}
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        name = next((c for c in names if pattern.startswith(c, at)), None)
+        if name:
+            out.append(names[name] if inside else f"[{names[name]}]")
+            at += len(name)
+        else:
+            step = 2 if pattern[at] == "\\" else 1
+            inside = pattern[at] == "[" or (inside and pattern[at] != "]")
+            out.append(pattern[at : at + step])
+            at += step
+    return "".join(out)
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """All matches in a text.  A pattern with classes unknown to ``_latin_pattern`` always takes the general engine."""
+    every, latin = regex.compile(pattern).findall, None
+    if not re.search(r"\\[^\\pPsSrnt'\"]|\\[pP](?!\{[LN]\})|\(\?[^!:=]", pattern):
+        latin = re.compile(_latin_pattern(pattern)).findall
+
+    def split(text: str) -> list[str]:
+        if latin:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return every(text)
+            return latin(text)
+        return every(text)
+
+    return split
+
+
 def pack(obj) -> bytes:
     return zlib.compress(pickle.dumps(obj, protocol=5), 1)
 
@@ -91,11 +129,19 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int
         yield number, docs, texts
 
 
-def _buckets(texts: Sequence[str], find: Callable[[str], list[str]], ranks: dict[bytes, int], n: int) -> dict[int, list[bytes]]:
+def _pack_words(words: Sequence[bytes]) -> bytes:
+    """Number of words, their lengths and their bytes."""
+    return array("I", [len(words), *map(len, words)]).tobytes() + b"".join(words)
+
+
+def _unpack_words(data: bytes) -> list[bytes]:
+    n = array("I", data[:4])[0]
+    ends = list(accumulate(array("I", data[4 : 4 * n + 4]), initial=4 * n + 4))
+    return [data[a:b] for a, b in pairwise(ends)]
+
+
+def _buckets(seen: set[str], ranks: dict[bytes, int], n: int) -> dict[int, list[bytes]]:
     """Distinct pre-tokens that are no token themselves, by bucket, sorted."""
-    seen: set[str] = set()
-    for t in texts:
-        seen.update(find(t))
     out: dict[int, list[bytes]] = {}
     for w in sorted(x.encode() for x in seen):
         if w not in ranks:
@@ -120,27 +166,27 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep: Sequen
     doc_type = rows.schema["doc"].dataType
 
     def words_out(batches):
-        find, table = regex.compile(pattern).findall, ranks.value
+        find, table = splitter(pattern), ranks.value
         for chunk, _, texts in _chunks(batches, chunk_chars):
-            yield _table([(chunk, b, zlib.compress(b"".join(len(w).to_bytes(4, "big") + w for w in ws), 1)) for b, ws in _buckets(texts, find, table, n).items()])
+            seen: set[str] = set()
+            for t in texts:
+                seen.update(find(t))
+            yield _table([(chunk, b, zlib.compress(_pack_words(ws), 1)) for b, ws in _buckets(seen, table, n).items()])
 
     def encode_words(batches):
         table, cache = ranks.value, {}
         for b in batches:
             done = []
             for chunk, bucket, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data, at, ids = zlib.decompress(body), 0, []
-                while at < len(data):
-                    end = at + 4 + int.from_bytes(data[at : at + 4], "big")
-                    word = data[at + 4 : end]
-                    at = end
+                data, ids = zlib.decompress(body), []
+                for word in _unpack_words(data):
                     got = cache.get(word)
                     if got is None:
                         if len(cache) >= CACHE_WORDS:
                             cache.clear()
-                        got = cache[word] = merge(word, table)
+                        got = cache[word] = ",".join(map(str, merge(word, table)))
                     ids.append(got)
-                done.append((chunk, bucket, pack((zlib.crc32(data), ids))))
+                done.append((chunk, bucket, zlib.compress(zlib.crc32(data).to_bytes(4, "big") + "\n".join(ids).encode(), 1)))
             yield _table(done)
 
     def bodies(batches):
@@ -157,30 +203,29 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep: Sequen
     doc_arrow = to_arrow_type(doc_type)
 
     def reassemble(batches):
-        find, table = regex.compile(pattern).findall, ranks.value
-        token_bytes = {i: w for w, i in table.items()}
+        find, table = splitter(pattern), ranks.value
+        token_bytes = {str(i): w for w, i in table.items()}
         chunk, body, parts = None, None, []
 
         def finish():
             kept, texts = unpack(body)
-            ids_of: dict[str, list[int]] = {}
-            asked = _buckets(texts, find, table, n)
+            found = [find(t) for t in texts]
+            seen = set().union(*found)
+            listed: dict[str, str] = {}
+            asked = _buckets(seen, table, n)
             for bucket, packed in parts:
-                check, ids = unpack(packed)
-                words = asked.get(bucket, [])
-                if check == zlib.crc32(b"".join(len(w).to_bytes(4, "big") + w for w in words)):
-                    ids_of.update(zip((w.decode() for w in words), ids, strict=True))
-            # a word without its bucket's answer (a chunk cut differently by a repeated scan) is encoded here
-            known: dict[str, tuple[str, bytes, int]] = {}
+                data, words = zlib.decompress(packed), asked.get(bucket, [])
+                if data[:4] == zlib.crc32(_pack_words(words)).to_bytes(4, "big"):
+                    listed.update(zip((w.decode() for w in words), data[4:].decode().split("\n"), strict=True))
+            # a word without its bucket's answer is a token itself; or a repeated scan has cut the chunk differently
+            for w in seen - listed.keys():
+                listed[w] = ",".join(map(str, merge(w.encode(), table)))
+            decoded = {w: b"".join(map(token_bytes.__getitem__, ids.split(","))) for w, ids in listed.items()}
             out = []
-            for t in texts:
-                found = find(t)
-                for w in set(found) - known.keys():
-                    ids = ids_of.get(w) or merge(w.encode(), table)
-                    known[w] = (",".join(map(str, ids)), b"".join(map(token_bytes.__getitem__, ids)), len(ids))
-                got = [known[w] for w in found]
-                listed = ",".join(g[0] for g in got)
-                out.append((sum(g[2] for g in got), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(b"".join(g[1] for g in got)).hexdigest(), [int(x) for x in listed.split(",") if x] if with_ids else None))
+            for words in found:
+                ids = ",".join(map(listed.__getitem__, words))
+                back = b"".join(map(decoded.__getitem__, words))
+                out.append((ids.count(",") + 1 if words else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), [int(x) for x in ids.split(",") if x] if with_ids else None))
             cols = [pa.array(kept, doc_arrow), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out]), pa.array([o[2] for o in out])]
             if with_ids:
                 cols.append(pa.array([o[3] for o in out], pa.list_(pa.int32())))
