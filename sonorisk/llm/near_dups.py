@@ -27,7 +27,7 @@ from sonorisk.llm.hashing import Powers, WordHashes, mixed
 
 SHINGLE = 5
 BANDS, ROWS = 26, 5
-BATCH_SHINGLES = 1_000_000
+BATCH_SHINGLES = 500_000
 BLOCK = 256
 
 

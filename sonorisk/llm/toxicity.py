@@ -57,13 +57,17 @@ class BlockMaxIndex:
         self.n = len(vectors)
         blocks = -(-self.n // BLOCK)
         self.maxima = np.zeros((n_terms, blocks), dtype=np.float32)
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
+        #: by block: terms, ascending; where the postings of each begin; rows; weights
+        self.postings: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for b in range(blocks):
             lists: dict[int, list[tuple[int, float]]] = {}
             for row, (terms, weights) in enumerate(vectors[b * BLOCK : (b + 1) * BLOCK]):
                 for t, w in zip(terms, weights, strict=True):
                     lists.setdefault(t, []).append((row, w))
-            self.postings.append({t: (np.array([r for r, _ in p]), np.array([w for _, w in p])) for t, p in lists.items()})
+            order = sorted(lists)
+            starts = np.cumsum([0, *(len(lists[t]) for t in order)])
+            flat = [x for t in order for x in lists[t]]
+            self.postings.append((np.array(order, dtype=np.int32), starts.astype(np.int32), np.array([r for r, _ in flat], dtype=np.uint8), np.array([w for _, w in flat], dtype=float)))
             for t, p in lists.items():
                 # rounded up, so that a bound is never below the cosine
                 self.maxima[t, b] = np.nextafter(np.float32(max(w for _, w in p)), np.float32(np.inf))
@@ -78,10 +82,11 @@ class BlockMaxIndex:
             if bound[b] <= 1e-9 or (len(best) >= k and bound[b] < -best[-1][0]):
                 break
             scores = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                got = self.postings[b].get(t)
-                if got is not None:
-                    scores[got[0]] += w * got[1]
+            known, starts, rows, values = self.postings[b]
+            for t, w, at in zip(terms, weights, np.searchsorted(known, terms), strict=True):
+                if at < len(known) and known[at] == t:
+                    part = slice(starts[at], starts[at + 1])
+                    scores[rows[part]] += w * values[part]
             best += [(-s, int(b) * BLOCK + int(r)) for r in np.flatnonzero(scores) if (s := round(float(scores[r]), 12)) > 0 and int(b) * BLOCK + int(r) != without]
             best = sorted(best)[:k]
         return [(-s, e) for s, e in best]
