@@ -18,16 +18,33 @@ def stateful(df: DataFrame, key: str | list[str], processor: StatefulProcessor,
     return df.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", mode)
 
 
-def publish(df: DataFrame, path: str, order: str, parts: int = 3) -> None:
+def publish(df: DataFrame, path: str, order: str, parts: int = 3, ties: tuple[str, ...] = ()) -> None:
     """Append messages to a topic folder in order, rows without one first (tenant is a column, not part of the key).
 
-    The file source reads by modification time, so later messages are written after earlier ones.
+    The file source reads by modification time, so later messages are written after earlier ones: ``parts`` writes, one after
+    the other, of files that each hold a narrow range of the order.  ``ties`` only cut rows of equal order into files.
     """
     df = materialize(df)  # read once per part below
     cuts = sorted(set(df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.01)))
     place = F.coalesce(sum(((F.col(order) > c).cast("int") for c in cuts), F.lit(0)), F.lit(0))
+    files = -(-df.rdd.getNumPartitions() // (len(cuts) + 1))
     for k in range(len(cuts) + 1):
-        df.filter(place == k).write.mode("append").parquet(path)
+        df.filter(place == k).repartitionByRange(max(1, files), order, *ties).sortWithinPartitions(order, *ties).write.mode("append").parquet(path)
+
+
+def out_of_order_ms(spark: SparkSession, path: str, schema) -> int:
+    """How far any row of a topic is behind a row that may be read before it, whatever files a trigger takes.
+
+    Tasks of one write end in any order, so files are taken as the source takes them, by modification time; files of one
+    time are in no order.
+    """
+    t = spark.read.schema(schema).parquet(path).select("at", F.col("_metadata.file_modification_time").alias("_written"))
+    spans = t.groupBy("_written").agg(F.unix_millis(F.min("at")).alias("lo"), F.unix_millis(F.max("at")).alias("hi")).filter("lo is not null").orderBy("_written")
+    most, high = 0, None
+    for r in spans.collect():  # a row for a file at most, which the source lists on the driver as well
+        high = r.hi if high is None else max(high, r.hi)
+        most = max(most, high - r.lo)
+    return most
 
 
 def end_topic(spark: SparkSession, path: str, schema, key: str, delay_ms: int) -> None:
@@ -46,12 +63,14 @@ def end_topic(spark: SparkSession, path: str, schema, key: str, delay_ms: int) -
 def drain_in_order(df: DataFrame, at: Column, key: str, processor: StatefulProcessor, schema: str, name: str, parts: int = 3, files: int = 8, delay_ms: int = 3_600_000) -> DataFrame:
     """Publish a finite table as a topic, run an ordered processor over it to the end, and return what came out.
 
-    ``delay_ms`` bounds how far files may be out of order; ``parts`` and ``files`` (per trigger) only cut the batches.
+    The watermark's delay is ``delay_ms``, or how far the written files are out of order where that is more, so no row comes
+    behind it; ``parts`` and ``files`` (per trigger) only cut the batches.
     """
     spark = df.sparkSession
     df = df.withColumn("at", at.cast("timestamp"))
     path = shared_path(spark, "topic")
-    publish(df.withColumn("_order", F.unix_micros("at")), path, "_order", parts)
+    publish(df.withColumn("_order", F.unix_micros("at")), path, "_order", parts, (key,))
+    delay_ms = max(delay_ms, out_of_order_ms(spark, path, df.schema) + 1)
     end_topic(spark, path, df.schema, key, delay_ms)
     stream = subscribe(spark, path, df.schema, files).withWatermark("at", f"{delay_ms} milliseconds")
     return run_available(stateful(stream, key, processor, schema, "EventTime"), name)

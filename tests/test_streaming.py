@@ -74,6 +74,29 @@ def test_results_do_not_depend_on_files(spark, name):
         assert len(got[0]) == 12
 
 
+def test_many_files_over_days_lose_no_row(spark):
+    """Fifty input partitions over thirty days, under the default delay of an hour, give every window."""
+    i = F.col("id")
+    df = spark.range(1200).select((i % 4).alias("session_id"), F.floor(i / 4).alias("window_id"), ((i * 37 % 97 + 1) / 98.0).alias("p_fused"))
+    at = F.timestamp_seconds(F.col("window_id") * 8640 + 86_400)
+    run = lambda x, name: sorted(map(tuple, J.drain_in_order(x, at, "session_id", PR.SessionRiskProcessor(), TP.TIMELINE_FIELDS, name).collect()))
+    many = run(df.repartition(50, F.xxhash64("session_id", "window_id")), "many")
+    assert len(many) == 1200 and many == run(df.coalesce(1), "one")
+
+
+def test_a_topic_is_written_in_narrow_files(spark):
+    df = spark.range(5000).withColumn("at", F.timestamp_seconds(F.col("id") * 600)).repartition(50)
+    path = J.shared_path(spark, "topic")
+    J.publish(df, path, "id")
+    wide = spark.read.parquet(path).groupBy("_metadata.file_path").agg((F.max("id") - F.min("id")).alias("w")).agg(F.count("w"), F.max("w")).first()
+    assert wide[0] > 24 and wide[1] < 500
+    # the delay covers the order in which the files were in fact written
+    seen, high = spark.read.parquet(path).groupBy("_metadata.file_modification_time").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).orderBy("file_modification_time").collect(), 0
+    for r in seen:
+        high = max(high, r.hi)
+        assert (high - r.lo) * 600_000 <= J.out_of_order_ms(spark, path, df.schema)
+
+
 def test_stream_equals_batch(spark, sf):
     from sonorisk.plans import load_all
 
