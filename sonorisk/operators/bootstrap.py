@@ -1,9 +1,8 @@
 """Bootstrap intervals on count tables.
 
-Resampling n trials with replacement is a multinomial draw over counts, so the replicates are drawn on
-counts instead of trials.  The point estimate comes from all distinct scores.  For the replicates, neighbouring
-scores share a cell once a slice has more than ``GRID`` trials: cells hold equal shares of the slice's trials, so
-the grid follows the ranks and an outlier moves nothing, and a task holds at most ``GRID`` count rows of a slice.
+Resampling n trials with replacement is a multinomial draw over counts, so the replicates are drawn on the counts of
+the distinct scores instead of trials.  A multinomial splits: first over ranges of ``PART`` neighbouring scores, then
+within each range, so a slice of any size is spread over tasks and no score is merged with another.
 """
 
 from __future__ import annotations
@@ -12,12 +11,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sonorisk.operators.curves import BINARY, cumulative, curve_metrics, with_rates
-from sonorisk.scale import null_safe_join, prefix_sums
+from sonorisk.scale import null_safe_join, ordered_index
 
-GRID = 2048  # cells of equal share per slice used by the replicates
+PART = 16_384  # distinct scores of a slice that one group holds
+BLOCK = 50  # replicates drawn together
 
 
 def score_counts(df: DataFrame, slices: Sequence[str], score: str, label: str) -> DataFrame:
@@ -28,18 +28,6 @@ def score_counts(df: DataFrame, slices: Sequence[str], score: str, label: str) -
     )
 
 
-def grid_counts(counts: DataFrame, slices: Sequence[str], cells: int = GRID) -> DataFrame:
-    """The counts on cells of equal share; every distinct score has its own cell in a slice of up to ``cells`` trials."""
-    slices = list(slices)
-    n = counts.withColumn("_n", F.col("n_bona") + F.col("n_spoof"))
-    totals = n.groupBy(*slices).agg(F.sum("_n").alias("_total"))
-    ranked = null_safe_join(prefix_sums(n, slices, ["score"], {"_upto": "_n"}), totals, slices)
-    last = F.col("_upto") - 1
-    cell = F.when(F.col("_total") > cells, F.floor(last * cells / F.col("_total"))).otherwise(last).cast("long")
-    mean = lambda c: F.sum(F.col("score") * F.col(c)) / F.nullif(F.sum(c), F.lit(0))
-    return ranked.groupBy(*slices, cell.alias("cell")).agg(F.sum("n_bona").alias("n_bona"), F.sum("n_spoof").alias("n_spoof"), mean("n_bona").alias("m_bona"), mean("n_spoof").alias("m_spoof"))
-
-
 def _eer(b: np.ndarray, s: np.ndarray) -> np.ndarray:
     frr = np.cumsum(b, axis=1) / b.sum(axis=1, keepdims=True)
     far = 1 - np.cumsum(s, axis=1) / s.sum(axis=1, keepdims=True)
@@ -48,9 +36,101 @@ def _eer(b: np.ndarray, s: np.ndarray) -> np.ndarray:
     return (frr[r, i] + far[r, i]) / 2
 
 
-def _resample(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
-    total = int(counts.sum())
-    return rng.multinomial(total, counts / total, size=n).astype(float)
+def _resample(rng: np.random.Generator, counts: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Split ``draws[r]`` of each replicate over the counts, as [replicate, count]."""
+    out, on = np.zeros((len(draws), len(counts)), dtype=np.int64), np.flatnonzero(counts)
+    if len(on):
+        out[:, on] = rng.multinomial(draws, counts[on] / counts[on].sum())
+    return out
+
+
+def _blocks(n: int) -> Column:
+    """Blocks of replicates from 0; block -1 stands for the counts themselves."""
+    return F.explode(F.sequence(F.lit(-1), F.lit((n - 1) // BLOCK)))
+
+
+def _part_draws(parts: DataFrame, slices: list[str], n: int, seed: int) -> DataFrame:
+    """Per (slice, part, block of replicates): what falls into the part, what falls below it, and the slice's totals."""
+    x = parts.withColumn("_block", _blocks(n))
+    names = ["_part", "_block", "_b", "_s", "_below_b", "_below_s", "_n_b", "_n_s"]
+    kinds = [T.LongType(), T.LongType()] + [T.ArrayType(T.LongType())] * 4 + [T.LongType()] * 2
+    schema = T.StructType([f for f in parts.schema.fields if f.name in slices] + [T.StructField(c, k) for c, k in zip(names, kinds, strict=True)])
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:  # a row per part
+        pdf = pdf.sort_values("_part")
+        block = int(pdf["_block"].iloc[0])
+        rng, size = np.random.default_rng([seed, block + 1]), min(BLOCK, n - block * BLOCK)
+        out = {c: pdf[c].to_numpy() for c in [*slices, "_part", "_block"]}
+        for c in "bs":
+            counts = pdf[f"_{c}"].to_numpy(np.int64)
+            d = _resample(rng, counts, np.full(size, counts.sum())) if block >= 0 else counts[None]
+            out |= {f"_{c}": list(d.T), f"_below_{c}": list((np.cumsum(d, axis=1) - d).T), f"_n_{c}": counts.sum()}
+        return pd.DataFrame(out)[[f.name for f in schema]]
+
+    return x.groupBy(*slices, "_block").applyInPandas(split, schema)
+
+
+def _replicates(counts: DataFrame, slices: list[str], metric: str, n: int, seed: int) -> DataFrame:
+    """(slices, _rep, _stat): the EER or the gap of each replicate of each slice with both classes; the counts' own have _rep < 0."""
+    part = F.floor((F.col("rn") - 1) / PART)
+    ranked = ordered_index(counts, slices, ["score"]).select(*slices, part.cast("long").alias("_part"), "score", F.col("n_bona").cast("long").alias("n_bona"), F.col("n_spoof").cast("long").alias("n_spoof"))
+    draws = _part_draws(ranked.groupBy(*slices, "_part").agg(F.sum("n_bona").alias("_b"), F.sum("n_spoof").alias("_s")), slices, n, seed)
+    draws = draws.filter("_n_b > 0 and _n_s > 0")
+    by = [f for f in ranked.schema.fields if f.name in slices]
+    schema = T.StructType(by + [T.StructField("_rep", T.LongType()), T.StructField("_part", T.LongType()), T.StructField("_far", T.DoubleType()), T.StructField("_v", T.DoubleType())])
+
+    def within(pdf: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:  # at most PART scores
+        outs = []
+        if len(pdf) and len(blocks):
+            pdf = pdf.sort_values("score")
+            x, part = pdf["score"].to_numpy(float), int(pdf["_part"].iloc[0])
+            head = {c: pdf[c].iloc[0] for c in slices}
+            for t in blocks.itertuples(index=False):
+                t = dict(zip(blocks.columns, t, strict=True))
+                rng = np.random.default_rng([seed, int(t["_block"]) + 1, part + 1])
+                b, s = (pdf[f"n_{k}"].to_numpy(np.int64) for k in ("bona", "spoof"))
+                b, s = (b[None], s[None]) if t["_block"] < 0 else (_resample(rng, b, np.asarray(t["_b"], dtype=np.int64)), _resample(rng, s, np.asarray(t["_s"], dtype=np.int64)))
+                if metric == "gap":
+                    far = np.zeros(len(b))
+                    v = b @ x / t["_n_b"] - s @ x / t["_n_s"]
+                else:
+                    frr = (np.cumsum(b, axis=1) + np.asarray(t["_below_b"])[:, None]) / t["_n_b"]
+                    acc = 1 - (np.cumsum(s, axis=1) + np.asarray(t["_below_s"])[:, None]) / t["_n_s"]
+                    i, r = np.argmin(np.abs(frr - acc), axis=1), np.arange(len(b))
+                    far, v = np.abs(frr - acc)[r, i], (frr[r, i] + acc[r, i]) / 2
+                outs.append(pd.DataFrame({**head, "_rep": t["_block"] * BLOCK + np.arange(len(b)), "_part": part, "_far": far, "_v": v}, index=range(len(b))))
+        names = [f.name for f in schema]
+        return pd.concat(outs, ignore_index=True)[names] if outs else pd.DataFrame(columns=names)
+
+    keys = [*slices, "_part"]
+    stats = ranked.groupBy(*keys).cogroup(draws.groupBy(*keys)).applyInPandas(within, schema)
+    stat = F.sum("_v") if metric == "gap" else F.min(F.struct("_far", "_part", "_v"))["_v"]
+    return stats.groupBy(*slices, "_rep").agg(stat.alias("_stat"))
+
+
+def _replicates_of(counts: DataFrame, slices: list[str], metric, n: int, seed: int) -> DataFrame:
+    """The same for a callable: it sees all distinct scores of a slice, so a task holds one slice's counts."""
+    fields = [f for f in counts.schema.fields if f.name in slices]
+    schema = T.StructType(fields + [T.StructField("_rep", T.LongType()), T.StructField("_stat", T.DoubleType())])
+    x = counts.withColumn("_block", _blocks(n))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("score")
+        block = int(pdf["_block"].iloc[0])
+        b, s = pdf["n_bona"].to_numpy(np.int64), pdf["n_spoof"].to_numpy(np.int64)
+        size = 1 if block < 0 else min(BLOCK, n - block * BLOCK)
+        if b.sum() == 0 or s.sum() == 0:
+            stats = [None] * size
+        elif block < 0:
+            stats = list(metric(b[None].astype(float), s[None].astype(float)))
+        else:
+            rng, stats, step = np.random.default_rng([seed, block + 1]), [], max(1, (1 << 20) // len(pdf))
+            for at in range(0, size, step):
+                k = min(step, size - at)
+                stats += list(metric(_resample(rng, b, np.full(k, b.sum())).astype(float), _resample(rng, s, np.full(k, s.sum())).astype(float)))
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * size for c in slices}, "_rep": block * BLOCK + np.arange(size), "_stat": pd.array(stats, "Float64")})
+
+    return x.groupBy(*slices, "_block").applyInPandas(draw, schema)
 
 
 def bootstrap_interval(
@@ -65,7 +145,7 @@ def bootstrap_interval(
 ) -> DataFrame:
     """Percentile interval of the EER (``eer``) or of mean(bona) - mean(spoof) (``gap``) per slice.
 
-    ``metric`` may also be a callable on two [replicate, cell] count matrices; its point is read off the cells.
+    ``metric`` may also be a callable on two [replicate, cell] count matrices; a cell is a distinct score.
     """
     return interval(score_counts(df, slices, score, label), slices, metric, n, alpha, seed)
 
@@ -73,27 +153,12 @@ def bootstrap_interval(
 def interval(exact: DataFrame, slices: Sequence[str], metric: str = "eer", n: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """``bootstrap_interval`` from class counts (slices, score, n_bona, n_spoof)."""
     slices = list(slices)
-    counts = grid_counts(exact, slices)
-    fields = [f for f in counts.schema.fields if f.name in slices]
-    schema = T.StructType(fields + [T.StructField(c, T.DoubleType()) for c in ("point", "ci_low", "ci_high")])
-
-    def per_slice(pdf: pd.DataFrame) -> pd.DataFrame:  # at most GRID rows
-        pdf = pdf.sort_values("cell")
-        b, s = pdf["n_bona"].to_numpy(float), pdf["n_spoof"].to_numpy(float)
-        head = {c: [pdf[c].iloc[0]] for c in slices}
-        if b.sum() == 0 or s.sum() == 0:
-            return pd.DataFrame({**head, "point": [None], "ci_low": [None], "ci_high": [None]})
-        rng = np.random.default_rng(seed)
-        rb, rs = _resample(rng, b, n), _resample(rng, s, n)
-        if metric == "gap":
-            mb, ms = np.nan_to_num(pdf["m_bona"].to_numpy(float)), np.nan_to_num(pdf["m_spoof"].to_numpy(float))
-            stat = lambda x, y: x @ mb / x.sum(axis=1) - y @ ms / y.sum(axis=1)
-        else:
-            stat = _eer if metric == "eer" else metric
-        lo, hi = np.quantile(stat(rb, rs), [alpha / 2, 1 - alpha / 2])
-        return pd.DataFrame({**head, "point": [float(stat(b[None], s[None])[0])], "ci_low": [float(lo)], "ci_high": [float(hi)]})
-
-    out = counts.groupBy(*slices).applyInPandas(per_slice, schema)
+    stats = _replicates(exact, slices, metric, n, seed) if metric in ("eer", "gap") else _replicates_of(exact, slices, metric, n, seed)
+    drawn = F.when(F.col("_rep") >= 0, F.col("_stat"))
+    bounds = stats.groupBy(*slices).agg(
+        F.max(F.when(F.col("_rep") < 0, F.col("_stat"))).alias("_point"), F.percentile(drawn, F.lit(alpha / 2)).alias("ci_low"), F.percentile(drawn, F.lit(1 - alpha / 2)).alias("ci_high")
+    )
+    out = null_safe_join(exact.select(*slices).distinct(), bounds, slices) if slices else bounds
     if metric == "eer":
         c = cumulative(exact, slices, BINARY)
         point = curve_metrics(with_rates(c), slices).select(*slices, F.col("eer").alias("_exact"))
@@ -101,5 +166,5 @@ def interval(exact: DataFrame, slices: Sequence[str], metric: str = "eer", n: in
         mean = lambda n: F.sum(F.col("score") * F.col(n)) / F.nullif(F.sum(n), F.lit(0))
         point = exact.groupBy(*slices).agg((mean("n_bona") - mean("n_spoof")).alias("_exact"))
     else:
-        return out
-    return null_safe_join(out, point, slices).select(*slices, F.coalesce("_exact", "point").alias("point"), "ci_low", "ci_high")
+        return out.select(*slices, F.col("_point").alias("point"), "ci_low", "ci_high")
+    return null_safe_join(out, point, slices).select(*slices, F.coalesce("_exact", "_point").alias("point"), "ci_low", "ci_high")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sonorisk.operators import bootstrap, curves, fairness, protocols as P
 
@@ -68,6 +69,42 @@ def test_bootstrap_interval_holds_the_point(spark):
     assert g.ci_low < 1.0 < g.ci_high or abs(g.point - 1) < 0.2
 
 
+def test_bootstrap_resolves_a_rare_class(spark):
+    """An error rate far below one in 2,048 has an interval of that size, as drawn directly over all distinct scores."""
+    bona, spoof = 200_000, 100
+    i = F.col("id")
+    good = spark.range(bona).select(F.lit("g").alias("g"), (i + 0.0).alias("score"), F.lit("bona_fide").alias("label"))
+    bad = spark.range(spoof).select(F.lit("g").alias("g"), (i - 80.5).alias("score"), F.lit("spoof").alias("label"))
+    x = bootstrap.bootstrap_interval(good.unionByName(bad), ["g"], "eer").collect()[0]
+    r, scores = np.random.default_rng(1), np.r_[np.arange(bona) + 0.0, np.arange(spoof) - 80.5]
+    order, kind = np.argsort(scores), np.r_[np.ones(bona, bool), np.zeros(spoof, bool)]
+    kind = kind[order]
+    eers = []
+    for _ in range(200):
+        b, s = np.zeros(len(kind)), np.zeros(len(kind))
+        b[kind], s[~kind] = r.multinomial(bona, np.full(bona, 1 / bona)), r.multinomial(spoof, np.full(spoof, 1 / spoof))
+        eers.append(bootstrap._eer(b[None], s[None])[0])
+    lo, hi = np.quantile(eers, [0.025, 0.975])
+    assert x.ci_low <= x.point <= x.ci_high
+    assert abs(x.ci_low - lo) < 5e-5 and abs(x.ci_high - hi) < 5e-5
+
+
+def test_bootstrap_parts_cut_nothing(spark, monkeypatch):
+    """Ranges of seven scores give an interval like that of one range, with a NULL slice and one of a single class."""
+    r = np.random.default_rng(0)
+    rows = [(g, float(v), k) for g in ("a", None) for k, m in (("bona_fide", 1), ("spoof", 0)) for v in r.normal(m, 1, 400)]
+    df = spark.createDataFrame([*rows, ("one", 0.5, "spoof")], "g string, score double, label string")
+    run = lambda m: {x.g: x for x in bootstrap.bootstrap_interval(df, ["g"], m, n=400).collect()}
+    whole = {m: run(m) for m in ("eer", "gap", bootstrap._eer)}
+    monkeypatch.setattr(bootstrap, "PART", 7)
+    for m, w in whole.items():
+        got = run(m)
+        assert set(got) == {"a", None, "one"} and got["one"].ci_low is None and got["one"].point is None
+        for g in ("a", None):
+            assert abs(got[g].ci_low - w[g].ci_low) < 0.03 and abs(got[g].ci_high - w[g].ci_high) < 0.03
+            assert got[g].ci_low < got[g].point < got[g].ci_high and got[g].point == w[g].point
+
+
 def test_fairness_gate_has_four_outcomes(spark):
     gaps = spark.createDataFrame([("gender", 2, 40, 0.1, 2.0)], "attribute string, n_groups long, min_group_n long, gap double, ratio double")
     status = lambda *a: fairness.gate(gaps, *a).collect()[0].status
