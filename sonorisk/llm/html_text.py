@@ -27,6 +27,7 @@ BLOCKS = CONTAINERS | frozenset(
     "address aside blockquote caption center dd details dialog dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li menu nav ol option p pre search summary table tbody tfoot th thead tr ul".split()
 )
 FURNITURE = frozenset("head title script style noscript template nav footer aside form button select textarea input iframe object svg canvas dialog menu search audio video datalist".split())
+UNSEEN = FURNITURE - frozenset("nav footer aside form dialog menu search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|"
@@ -39,23 +40,27 @@ PIECE = 1 << 20
 
 
 class LineParser(HTMLParser):
-    """Collects lines: text, tags in and around it, linked characters, innermost container; furniture is left out."""
+    """Collects lines: pieces of text, tags in and around them, innermost container.
+
+    A piece carries the innermost furniture element around it (0: none).  An element that turns out to hold the page's
+    article or main is no furniture, which is known at the end only; what is never seen is left out at once.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, inside furniture, container
+        self.stack: list[tuple[str, int, int]] = []  # tag, innermost furniture element (-1: never seen), container
         self.open: Counter[str] = Counter()
         self.parent, self.kind = [-1], ["root"]
-        self.lines: list[tuple[str, int, int, int]] = []
-        self.text: list[str] = []
-        self.tags = self.linked = 0
+        self.around, self.holds, self.wraps = [-1], [True], [True]  # per furniture element: the one around it, holds an article, may hold a page
+        self.free = False  # an article or main stands outside furniture
+        self.lines: list[tuple[list[tuple[str, int, bool]], int, int]] = []
+        self.text: list[tuple[str, int, bool]] = []  # text, furniture element, linked
+        self.tags = 0
 
     def _line(self) -> None:
-        text = " ".join("".join(self.text).split())
-        if text:
-            container = self.stack[-1][2] if self.stack else 0
-            self.lines.append((text, self.tags, self.linked, container))
-        self.text, self.tags, self.linked = [], 0, 0
+        if any(not x.isspace() for x, _, _ in self.text):
+            self.lines.append((self.text, self.tags, self.stack[-1][2] if self.stack else 0))
+        self.text, self.tags = [], 0
 
     def _pop(self, tag: str) -> None:
         while True:
@@ -73,15 +78,27 @@ class LineParser(HTMLParser):
                 self._pop(self.stack[-1][0])
         self.tags += 1
         if tag == "br":
-            self.text.append(" ")
+            self.text.append((" ", 0, False))
         if tag in VOID:
             return
-        _, out, container = self.stack[-1] if self.stack else ("", False, 0)
+        _, out, container = self.stack[-1] if self.stack else ("", 0, 0)
         inner = self.open["article"] or self.open["main"]
         names = dict(attrs)
-        out = out or tag in FURNITURE or (tag == "header" and not inner) or "hidden" in names or (names.get("role") or "").lower() in ROLES
-        if not out and tag not in ("html", "body", "main") and not (tag == "article" and not inner):
-            out = bool(NAMES.search(f"{names.get('class') or ''} {names.get('id') or ''}"))
+        if tag in UNSEEN or "hidden" in names:
+            out = -1
+        elif out >= 0:
+            plain = tag in FURNITURE or (tag == "header" and not inner) or (names.get("role") or "").lower() in ROLES
+            named = tag not in ("html", "body", "main") and not (tag == "article" and not inner) and NAMES.search(f"{names.get('class') or ''} {names.get('id') or ''}")
+            if plain or named:
+                self.around.append(out)
+                self.holds.append(False)
+                self.wraps.append(tag == "form" or not plain)
+                out = len(self.around) - 1
+            if tag in ("article", "main") and not inner:
+                self.free = self.free or out == 0
+                f = out
+                while f > 0 and not self.holds[f]:
+                    self.holds[f], f = True, self.around[f]
         if tag in CONTAINERS:
             self.parent.append(container)
             self.kind.append(tag)
@@ -97,15 +114,40 @@ class LineParser(HTMLParser):
             self._pop(tag)
 
     def handle_data(self, data: str) -> None:
-        if not (self.stack and self.stack[-1][1]):
-            self.text.append(data)
-            if self.open["a"]:
-                self.linked += len(data)
+        out = self.stack[-1][1] if self.stack else 0
+        if out >= 0:
+            self.text.append((data, out, self.open["a"] > 0))
 
     def close(self) -> None:
         super().close()
         self._line()
 
+    def seen(self) -> list[tuple[str, int, int, int]]:
+        """Lines outside furniture: text, tags, linked characters, container.
+
+        Where no article or main stands outside furniture, the furniture around one is none; where there is none at all,
+        neither are forms and named elements around most of the unlinked text.
+        """
+        page = [True] + [False] * (len(self.around) - 1)
+        if not self.free and any(self.holds[1:]):
+            page = self.holds
+        elif not self.free:
+            size = [0] * len(self.around)
+            for pieces, _, _ in self.lines:
+                for x, f, linked in pieces:
+                    size[f] += 0 if linked else len("".join(x.split()))
+            for f in range(len(size) - 1, 0, -1):  # an element comes after the one around it
+                size[self.around[f]] += size[f]
+            for f in range(1, len(size)):
+                page[f] = page[self.around[f]] and self.wraps[f] and 2 * size[f] > size[0]
+        out = []
+        for pieces, tags, container in self.lines:
+            kept = [(x, linked) for x, f, linked in pieces if page[f]]
+            text = " ".join("".join(x for x, _ in kept).split())
+            if text:
+                out.append((text, tags, sum(len(x) for x, linked in kept if linked), container))
+        return out
+
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing over neighbouring lines; at the ends the kernel is renormalised."""
@@ -119,7 +161,8 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.8) -> str:
     """Text of the content region; empty for NULL, empty and text-free pages.
 
     The region is the innermost container with ``share`` of the clustered characters, widened to its outermost article
-    or main element.  Outside such an element, lines of links alone are menus.
+    or main element, or else to the container of all clustered lines that are not links.  Outside an article or main
+    element, short lines of links alone are menus.
     """
     if not html:
         return ""
@@ -127,27 +170,36 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.8) -> str:
     for at in range(0, len(html), PIECE):
         p.feed(html[at : at + PIECE])
     p.close()
-    if not p.lines:
+    lines = p.seen()
+    if not lines:
         return ""
-    size = np.array([len(x[0]) for x in p.lines], dtype=float)
-    ratio = smoothed(size / np.array([max(1, x[1]) for x in p.lines]), sigma)
-    content = ratio >= min(ratio.std(), ratio.max())
-    weight = np.zeros(len(p.parent))
-    for (_, _, _, c), s, on in zip(p.lines, size, content, strict=True):
+    size = np.array([len(x[0]) for x in lines], dtype=float)
+    raw = size / np.array([max(1, x[1]) for x in lines])
+    ratio = smoothed(raw, sigma)
+    least = min(ratio.std(), ratio.max())
+    content = ratio >= least
+    menu = np.array([x[2] >= 0.9 * len(x[0]) for x in lines]) & (raw < least)
+    weight, own = np.zeros(len(p.parent)), np.zeros(len(p.parent))  # clustered characters; those of them outside menus
+    for (_, _, _, c), s, on, alone in zip(lines, size, content, content & ~menu, strict=True):
         weight[c] += s * on
+        own[c] += s * alone
     for c in range(len(p.parent) - 1, 0, -1):  # a container comes after its parent
         weight[p.parent[c]] += weight[c]
+        own[p.parent[c]] += own[c]
     region = max(c for c in range(len(p.parent)) if weight[c] >= share * weight[0])
     c = region
     while c >= 0:
         if p.kind[c] in ("article", "main"):
             region = c
         c = p.parent[c]
+    if p.kind[region] not in ("article", "main"):
+        while region > 0 and own[region] < own[0]:
+            region = p.parent[region]
     inside = np.zeros(len(p.parent), dtype=bool)
     for c in range(len(p.parent)):
         inside[c] = c == region or (c > 0 and inside[p.parent[c]])
     loose = p.kind[region] not in ("article", "main")
-    return " ".join(t for t, _, linked, c in p.lines if inside[c] and not (loose and linked >= 0.9 * len(t)))
+    return " ".join(t for (t, _, _, c), m in zip(lines, menu, strict=True) if inside[c] and not (loose and m))
 
 
 def extract_main_text(pages: DataFrame, keep: Sequence[str] | None = ("page_id", "url"), html: str = "html") -> DataFrame:

@@ -106,6 +106,28 @@ def test_main_text(html, want):
     assert main_text(html) == want
 
 
+INTRO, BODY = "An introduction of some length that stands before the body.", " ".join(["The body of the article goes on and on here."] * 8)
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<div id=content><p>{INTRO}</p><div class=body><p>{BODY}</p></div></div>", f"{INTRO} {BODY}"),
+        (f"<div><p>{INTRO}</p><p><a href=x>{INTRO}</a></p><p>{INTRO}</p></div>", f"{INTRO} {INTRO} {INTRO}"),
+        (f"<div class='has-sidebar'><article><p>{BODY}</p></article></div>", BODY),
+        (f"<div class='post with-comments'><p>{BODY}</p><div id='comments'><p>nice</p></div></div>", BODY),
+        (f"<form><div><p>{INTRO}</p><p>{BODY}</p></div></form>", f"{INTRO} {BODY}"),
+        (f"<form><nav><a>Home</a></nav><main><p>{BODY}</p></main></form>", BODY),
+        (f"<article><p>{INTRO}</p></article><div id=comments><article><p>{BODY}</p></article></div>", INTRO),
+        (f"<nav>{BODY}</nav>", ""),
+    ],
+)
+def test_main_text_outside_the_given_layout(html, want):
+    from sonorisk.llm.html_text import main_text
+
+    assert main_text(html) == want
+
+
 def test_main_text_of_long_and_deep_pages():
     from sonorisk.llm.html_text import PIECE, main_text
 
