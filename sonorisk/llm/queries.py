@@ -106,3 +106,10 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     from sonorisk.llm.near_dups import near_duplicates
 
     return near_duplicates(table(spark, sf, "documents")).select("doc.doc_id", "class_id", "is_first")
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    from sonorisk.llm.whitening import whiten
+
+    return whiten(table(spark, sf, "embeddings")).select("doc.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
