@@ -103,3 +103,16 @@ pos AS (SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(i, i + 50)) AS p F
 kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS t FROM (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN pos USING (rid, p) GROUP BY rid),
 gone AS (SELECT rid, count(*) AS n FROM pos GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid) LEFT JOIN gone USING (rid)"""
+
+SPELLING = f"""WITH RECURSIVE {_CRC},
+runs AS (SELECT id, run, count(*) AS n FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), '{UPPER}', '{LOWER}') AS run FROM documents) GROUP BY ALL),
+sums AS (SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(id || ':' || run)), '..'), lambda b: ('0x' || b)::BIGINT)), lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8))) AS h FROM runs, crc_table),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM sums) GROUP BY word HAVING sum(n) >= 5 AND length(word) >= 6),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pair AS (SELECT DISTINCT * FROM (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT a.word, a.n, b.word, b.n FROM cut a JOIN v b ON a.k = b.word UNION ALL SELECT b.word, b.n, a.word, a.n FROM cut a JOIN v b ON a.k = b.word)),
+best AS (SELECT word, n, count(*) AS n_near, max(near_n) AS best_n, arg_min(near, (-near_n, near)) AS best FROM pair GROUP BY ALL),
+form AS (SELECT word, best AS form, best_n FROM best WHERE best_n >= 5 * n),
+walk AS (SELECT word, form AS root FROM form UNION ALL SELECT w.word, f.form FROM walk w JOIN form f ON w.root = f.word)
+SELECT v.word, f.form, coalesce(r.root, v.word) AS root, v.n, coalesce(b.n_near, 0)::BIGINT AS n_near, f.best_n::BIGINT AS form_n
+FROM v LEFT JOIN best b ON v.word = b.word LEFT JOIN form f ON v.word = f.word LEFT JOIN (SELECT * FROM walk WHERE root NOT IN (SELECT word FROM form)) r ON v.word = r.word"""

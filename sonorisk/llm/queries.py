@@ -113,3 +113,10 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     from sonorisk.llm.whitening import whiten
 
     return whiten(table(spark, sf, "embeddings")).select("doc.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@query("op12_spelling_variants", oracles.SPELLING)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    from sonorisk.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf, "documents"))
