@@ -116,3 +116,14 @@ form AS (SELECT word, best AS form, best_n FROM best WHERE best_n >= 5 * n),
 walk AS (SELECT word, form AS root FROM form UNION ALL SELECT w.word, f.form FROM walk w JOIN form f ON w.root = f.word)
 SELECT v.word, f.form, coalesce(r.root, v.word) AS root, v.n, coalesce(b.n_near, 0)::BIGINT AS n_near, f.best_n::BIGINT AS form_n
 FROM v LEFT JOIN best b ON v.word = b.word LEFT JOIN form f ON v.word = f.word LEFT JOIN (SELECT * FROM walk WHERE root NOT IN (SELECT word FROM form)) r ON v.word = r.word"""
+
+OVERLAP = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT rid, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+sz AS (SELECT rid, count(*)::BIGINT AS n FROM sh GROUP BY rid),
+num AS (SELECT rid, dense_rank() OVER (ORDER BY g) AS g FROM sh),
+hit AS (SELECT a.rid AS a, b.rid AS b, count(*) AS k FROM num a JOIN num b USING (g) WHERE a.rid < b.rid GROUP BY ALL),
+link AS (SELECT a, b FROM hit JOIN sz x ON a = x.rid JOIN sz y ON b = y.rid WHERE 100 * k >= 90 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT DISTINCT a, a AS b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+least AS (SELECT r.a AS rid, min(d.doc_id) AS component FROM reach r JOIN d ON r.b = d.rid GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id FROM d LEFT JOIN sz USING (rid) LEFT JOIN least USING (rid)"""

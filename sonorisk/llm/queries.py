@@ -120,3 +120,10 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     from sonorisk.llm.spelling import spelling_variants
 
     return spelling_variants(table(spark, sf, "documents"))
+
+
+@query("op13_divide_skip", oracles.OVERLAP)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    from sonorisk.llm.overlap_join import overlap_components
+
+    return overlap_components(table(spark, sf, "documents")).select("doc.doc_id", "n_shingles", "component_id")
