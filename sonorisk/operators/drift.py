@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sonorisk.functions.math import histogram_bin
 from sonorisk.operators.curves import ks_statistic
-from sonorisk.scale import ordered_index
+from sonorisk.scale import null_safe_join, ordered_index, prefix_sums
 
 PSI_BINS = 20  # fixed value
 
@@ -53,6 +53,21 @@ def drift_report(df: DataFrame, keys: list[str], p: str, is_ref: Column, **level
     return r
 
 
+def drift_from_counts(counts: DataFrame, keys: list[str], score: str, eps: float = 1e-4, bins: int = PSI_BINS, **levels) -> DataFrame:
+    """``drift_report`` from counts: keys, ``score``, ``n_ref``, ``n_current``; counts of one score may come in parts."""
+    c = counts.groupBy(*keys, score).agg(F.sum("n_ref").alias("_r"), F.sum("n_current").alias("_c"))
+    binned = c.groupBy(*keys, histogram_bin(F.col(score), bins).alias("_bin")).agg(F.sum("_r").alias("_r"), F.sum("_c").alias("_c"))
+    tot = binned.groupBy(*keys).agg(F.sum("_r").alias("n_ref"), F.sum("_c").alias("n_current"), F.collect_list(F.struct("_r", "_c")).alias("_b"))  # at most ``bins`` entries
+    share = lambda b, n, x: b[x] / F.greatest(n.cast("double"), F.lit(1e-12)) + eps
+    term = lambda b: (share(b, F.col("n_current"), "_c") - share(b, F.col("n_ref"), "_r")) * F.log(share(b, F.col("n_current"), "_c") / share(b, F.col("n_ref"), "_r"))
+    value = F.aggregate(F.col("_b"), F.lit(0.0), lambda a, b: a + term(b))
+    run = null_safe_join(prefix_sums(c, keys, [score], {"_cr": "_r", "_cc": "_c"}), tot.select(*keys, "n_ref", "n_current"), keys)
+    gap = F.abs(F.col("_cr") / F.nullif("n_ref", F.lit(0)) - F.col("_cc") / F.nullif("n_current", F.lit(0)))
+    r = null_safe_join(tot.select(*keys, "n_ref", "n_current", value.alias("psi")), run.groupBy(*keys).agg(F.max(gap).alias("ks")), keys)
+    r = r.withColumn("level", drift_level(F.col("psi"), F.col("n_ref"), F.col("n_current"), **levels))
+    return r.withColumns({x: F.when(F.col("level") != "insufficient_data", F.col(x)) for x in ("psi", "ks")})
+
+
 def bona_fide_proxy(scores: DataFrame, states: DataFrame) -> DataFrame:
     """Finite scores of sessions that stayed LOW throughout, the stand-in for genuine traffic."""
     other = states.filter(F.col("state") != "LOW").select("session_id").distinct()

@@ -62,17 +62,19 @@ def fuse_windows(
     p_col: str = "p_spoof",
     watermark: Column | None = None,
     extra: dict[str, Column] | None = None,
+    keys: tuple[str, ...] = ("session_id", "window_id"),
 ) -> DataFrame:
     """One row per (session, window): fused ``p_fused`` (NULL when every head abstained) and parts.
 
-    A window has at most a handful of heads, so this is one hash aggregate with map-side combine.
+    A window has at most a handful of heads, so this is one hash aggregate with map-side combine.  On a stream ``keys``
+    holds the event time too, and a window comes out once the watermark has passed it.
     """
     m = model or FusionWeights()
     use = usable_for_fusion(watermark)
     signed = F.when(use, F.coalesce(_map(m.weights)[F.col("head_id")], F.lit(0.0)) * logit(p_col))
     g = (
         scores.withColumn("_signed", signed)
-        .groupBy("session_id", "window_id")
+        .groupBy(*keys)
         .agg(
             F.sum("_signed").alias("_z"),
             F.count("_signed").alias("n_present"),

@@ -10,14 +10,22 @@ from sonorisk.plans.q_policy import _ROUTE_SQL, SUBS
 from sonorisk.plans.q_session import STATE, rec_sql
 from sonorisk.plans.q_signal import challenges, responses
 from sonorisk.plans.q_text import WIN11_SQL, _seg_sql, segments
-from sonorisk.plans.registry import query
+from sonorisk.plans.registry import ORACLES, query
 from sonorisk.scale import literal_table, shared_path
 from sonorisk.streaming import jobs as J, processors as PR
 
 
+
 cte("chn", "SELECT *, lead(issued_us) OVER (PARTITION BY session_id ORDER BY issued_us, challenge_id) AS nxt FROM ch2", "ch2")
 
 
+STR03_SQL = sql(
+        """SELECT session_id, window_id, head_id, coalesce(abstain OR latency_ms > 380, true) AS abstain, CASE WHEN abstain IS NULL OR latency_ms > 380 THEN 'timeout' ELSE abstain_reason END AS abstain_reason FROM (SELECT session_id, window_id, h AS head_id FROM windows, (VALUES ('A'), ('B'), ('C'), ('D')) v(h)) w
+        LEFT JOIN (SELECT * FROM head_scores WHERE (event_id + latency_ms) % 13 <> 0) s USING (session_id, window_id, head_id)""",
+        "head_scores",
+    )
+
+
 def _topic(spark, df, order, parts=3):
     path = shared_path(spark, "topic")
     J.publish(df, path, order, parts)
@@ -25,13 +33,29 @@ def _topic(spark, df, order, parts=3):
 
 
 
+_FAR_MS = 400 * 86_400_000
+
+
+def session_stream(spark, sf):
+    """Raw head scores in: the windows' heads are fused by a streaming aggregate, its rows go through the session operator."""
+    h = head_scores(spark, sf).select(F.col("session_id").cast("long").alias("session_id"), F.col("window_id").cast("long").alias("window_id"), "head_id", "p_spoof", "abstain", "ts_us")
+    heads = J.event_topic(h, F.timestamp_micros("ts_us"), "session_id", settle_ms=_FAR_MS + 86_400_000)
+    return J.run_available(J.session_risk(heads, idle_ms=_FAR_MS), "risk")
+
+
 @query("STR04", rec_sql(f"SELECT session_id, window_id, round(ps, 6) AS p_session, {STATE} AS state FROM r"))
 def str04(spark, sf):
-    f = fused(spark, sf).select(F.col("session_id").cast("long").alias("session_id"), F.col("window_id").cast("long").alias("window_id"), "p_fused", "ts_us")
-    t = J.drain_in_order(f, F.timestamp_micros("ts_us"), "session_id", PR.SessionRiskProcessor(), TP.TIMELINE_FIELDS, "risk")
+    t = session_stream(spark, sf).filter("rank is null")
     return t.select("session_id", "window_id", r6(F.col("p_session")).alias("p_session"), "state")
 
 
+@query("STR04_drivers", ORACLES["TOP01"])
+def str04_drivers(spark, sf):
+    """What drove each session, from the accumulators in the session operator's state."""
+    d = session_stream(spark, sf).filter("rank is not null")
+    return d.select("session_id", "rank", "factor", r6(F.bround("weight", 3)).alias("weight"), "direction")
+
+
 @query(
     "STR06",
     rec_sql(
@@ -107,31 +131,73 @@ def str15(spark, sf):
     return J.drain_in_order(c.unionByName(r), F.timestamp_micros("ts_us"), "session_id", PR.ChallengeProcessor(), "session_id long, challenge_id long, outcome string", "challenges")
 
 
-@query("STR09")
+@query(
+    "STR09",
+    """SELECT event_type, count(*) AS n_all, count(*) FILTER (NOT late) AS n_kept, count(*) FILTER (late) AS n_late FROM (SELECT event_type, coalesce(t < max(t) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600000000, false) AS late
+    FROM (SELECT event_type, epoch_us(ts) AS t, event_id + CASE WHEN event_id % 50 = 0 THEN 5000000 ELSE 0 END AS o FROM events)) GROUP BY 1""",
+)
 def str09(spark, sf):
-    """Rows later than the watermark leave the windowed count; the difference is the late count."""
-    e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("at"), "event_type", F.col("event_id"))
-    shuffled = e.withColumn("o", F.when(F.col("event_id") % 50 == 0, F.col("event_id") + 5_000_000).otherwise(F.col("event_id")))
-    st = _topic(spark, shuffled, "o").withWatermark("at", "1 hour")
-    kept = J.run_available(J.windowed_counts(st, "at", ["event_type"], "1 hour"), "late")
-    got = kept.groupBy("event_type").agg(F.sum("n").alias("n_kept"))
-    every = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_all")).join(got, "event_type", "left").withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))
-    return every.withColumn("n_late", F.col("n_all") - F.col("n_kept"))
+    """Rows behind an hour's delay when they arrive; every fiftieth row comes long after the others."""
+    e = events(spark, sf).select("event_id", "event_type", "ts_us", F.when(F.col("event_id") % 50 == 0, F.col("event_id") + 5_000_000).otherwise(F.col("event_id")).alias("arrival"))
+    e = e.withColumn("run", F.floor(F.col("arrival") / 10_000))
+    stream = J.event_topic(e, F.timestamp_seconds(F.col("arrival") + 86_400), "run")  # in order of arrival
+    return J.count_late(J.run_available(J.late_rows(stream), "late"), 3_600_000_000)
+
+
+_WEEK, _SINCE, _QUIET = 604_800_000, 1_705_276_800_000, 21_600_000
+_SHARE = "({0} / greatest(n_{1}, 1e-12) + 1e-4)"
+_C, _R = _SHARE.format("c", "current"), _SHARE.format("r", "ref")
+_DRIFT = "CASE WHEN n_ref = 0 OR n_current < 100 THEN 'insufficient_data' WHEN psi > 0.25 THEN 'shifted' WHEN psi > 0.1 THEN 'watch' ELSE 'stable' END"
+cte("quiet_w", f"SELECT *, sum(CASE WHEN ms - before < {_QUIET} THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY window_id) AS g FROM (SELECT session_id, window_id, p, ts_us // 1000 AS ms, lag(ts_us // 1000) OVER (PARTITION BY session_id ORDER BY window_id) AS before FROM fw)", "fw")
+cte("quiet_s", f"SELECT session_id, g, max(ms) + {_QUIET} AS closed FROM quiet_w GROUP BY ALL HAVING bool_and(coalesce(p < 0.4, true))", "quiet_w")
+cte("drift_d", f"SELECT head_id, round(p_spoof, 6) AS p, (closed // {_WEEK} + 1) * {_WEEK} AS as_of, count(*) FILTER (closed < {_SINCE}) AS r, count(*) FILTER (closed >= {_SINCE}) AS c FROM quiet_s JOIN quiet_w USING (session_id, g) JOIN head_scores h USING (session_id, window_id) WHERE p_spoof IS NOT NULL GROUP BY ALL", "quiet_s", "head_scores")
+cte("drift_c", "SELECT b.head_id, b.as_of, p, sum(r)::BIGINT AS r, sum(c)::BIGINT AS c FROM (SELECT DISTINCT head_id, as_of FROM drift_d) b JOIN drift_d d ON b.head_id = d.head_id AND d.as_of <= b.as_of GROUP BY ALL", "drift_d")
+cte("drift_n", "SELECT head_id, as_of, sum(r)::BIGINT AS n_ref, sum(c)::BIGINT AS n_current FROM drift_c GROUP BY ALL", "drift_c")
+cte("drift_p", f"SELECT head_id, as_of, sum(({_C} - {_R}) * ln({_C} / {_R})) AS psi FROM (SELECT head_id, as_of, least(CAST(floor(p * 20) AS INT), 19) AS bin, sum(r) AS r, sum(c) AS c FROM drift_c GROUP BY ALL) JOIN drift_n USING (head_id, as_of) GROUP BY ALL", "drift_n")
+cte("drift_k", "SELECT head_id, as_of, max(abs(cr / nullif(n_ref, 0) - cc / nullif(n_current, 0))) AS ks FROM (SELECT head_id, as_of, sum(r) OVER w AS cr, sum(c) OVER w AS cc FROM drift_c WINDOW w AS (PARTITION BY head_id, as_of ORDER BY p)) JOIN drift_n USING (head_id, as_of) GROUP BY ALL", "drift_n")
 
 
-@query("STR12")
+@query(
+    "STR12",
+    sql(f"SELECT head_id, as_of AS as_of_ms, n_ref, n_current, level, CASE WHEN level <> 'insufficient_data' THEN round(psi, 6) + 0.0 END AS psi, CASE WHEN level <> 'insufficient_data' THEN round(ks, 6) + 0.0 END AS ks FROM (SELECT *, {_DRIFT} AS level FROM drift_n JOIN drift_p USING (head_id, as_of) JOIN drift_k USING (head_id, as_of))", "drift_p", "drift_k"),
+)
 def str12(spark, sf):
-    from sonorisk.operators.drift import drift_report
+    """Weekly drift of each head over sessions that closed and never left LOW, against those that closed before the 15th."""
+    from sonorisk.operators.drift import drift_from_counts
+
+    h = head_scores(spark, sf).select(F.col("session_id").cast("long").alias("session_id"), F.col("window_id").cast("long").alias("window_id"), "head_id", "p_spoof", "abstain", "ts_us")
+    heads = J.event_topic(h, F.timestamp_micros("ts_us"), "session_id", settle_ms=2 * _WEEK)
+    d = J.run_available(J.drift_counts(heads, ("A", "B", "C"), _SINCE, _WEEK, _QUIET), "drift")
+    ends = d.select(F.col("head_id").alias("h"), F.col("as_of_ms").alias("end_ms")).distinct()  # a row for a head and week
+    upto = d.join(ends, (d.head_id == ends.h) & (d.as_of_ms <= ends.end_ms)).select("head_id", F.col("end_ms").alias("as_of_ms"), "score", "n_ref", "n_current")
+    r = drift_from_counts(upto, ["head_id", "as_of_ms"], "score", min_samples=100)
+    return r.select("head_id", "as_of_ms", "n_ref", "n_current", "level", r6(F.col("psi")).alias("psi"), r6(F.col("ks")).alias("ks"))
+
 
-    h = head_scores(spark, sf).filter("p_spoof is not null").select("head_id", "p_spoof", "ts_us")
-    out = shared_path(spark, "drift")
+@query("STR03_stream", STR03_SQL)
+def str03_stream(spark, sf):
+    s = head_scores(spark, sf).filter((F.col("event_id") + F.col("latency_ms")) % 13 != 0).select("session_id", "window_id", "head_id", "abstain", "abstain_reason", "ts_us", "latency_ms")
+    w = J.event_topic(windows(spark, sf).select("session_id", "window_id", "ts_us"), F.timestamp_micros("ts_us"), "session_id")
+    scored = J.event_topic(s, F.timestamp_micros(F.col("ts_us") + F.col("latency_ms") * 1000), "session_id")
+    return J.run_available(J.assemble_stream(w, scored, ("A", "B", "C", "D"), 380), "heads")
 
-    def report(batch, epoch):
-        ref = F.col("ts_us") < F.lit(1_705_276_800_000_000)
-        drift_report(batch, ["head_id"], "p_spoof", ref, min_samples=100).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch:06d}")
 
-    J.for_each_table(_topic(spark, h, "p_spoof", 2), "drift", report)
-    return spark.read.option("recursiveFileLookup", "true").parquet(out).select("head_id", "n_ref", "n_current", "level")
+@query("JON25_stream", ORACLES["JON25"])
+def jon25_stream(spark, sf):
+    issued = J.event_topic(challenges(spark, sf), F.timestamp_micros("issued_us"), "session_id")
+    answered = J.event_topic(responses(spark, sf), F.timestamp_micros("answered_us"), "session_id")
+    return J.run_available(J.answers_stream(issued, answered), "answers")
+
+
+@query(
+    "STR11_alerts",
+    """SELECT event_type, min(e) AS pending_ms, min(e) + 3600000 AS fired_ms, max(e) AS ended_ms, max(n) AS peak FROM (
+    SELECT *, e - 1800000 * row_number() OVER (PARTITION BY event_type ORDER BY e) AS run FROM (SELECT event_type, epoch_ms(s) + 3600000 AS e, count(*) AS n FROM (
+      SELECT event_type, unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes']) AS s FROM events) GROUP BY ALL HAVING count(*) >= 4)) GROUP BY event_type, run HAVING max(e) - min(e) >= 3600000""",
+)
+def str11_alerts(spark, sf):
+    e = events(spark, sf).select("event_type", "event_id", "ts_us")
+    return J.run_available(J.alerts(J.event_topic(e, F.timestamp_micros("ts_us"), "event_type"), 4, "1 hour", 1_800_000, 3_600_000), "alerts")
 
 
 @query("SRC12", "SELECT event_type, count(*) AS n FROM events WHERE user_id % 5 = 2 GROUP BY 1")
@@ -163,14 +229,7 @@ def str02(spark, sf):
     return J.sliding_windows(f, "ms")
 
 
-@query(
-    "STR03",
-    sql(
-        """SELECT session_id, window_id, head_id, coalesce(abstain OR latency_ms > 380, true) AS abstain, CASE WHEN abstain IS NULL OR latency_ms > 380 THEN 'timeout' ELSE abstain_reason END AS abstain_reason FROM (SELECT session_id, window_id, h AS head_id FROM windows, (VALUES ('A'), ('B'), ('C'), ('D')) v(h)) w
-        LEFT JOIN (SELECT * FROM head_scores WHERE (event_id + latency_ms) % 13 <> 0) s USING (session_id, window_id, head_id)""",
-        "head_scores",
-    ),
-)
+@query("STR03", STR03_SQL)
 def str03(spark, sf):
     s = head_scores(spark, sf).filter((F.col("event_id") + F.col("latency_ms")) % 13 != 0)
     return J.assemble_heads(windows(spark, sf), s, ("A", "B", "C", "D"), budget_ms=380).select("session_id", "window_id", "head_id", "abstain", "abstain_reason")

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
 from sonorisk.operators.context import transcript_rows
-from sonorisk.operators.temporal import SessionFold, timeline_frame
+from sonorisk.operators.temporal import FACTORS, TIMELINE_FIELDS, SessionFold, timeline_frame
 
 BLOB = StructType([StructField("v", StringType())])
 
@@ -27,7 +27,9 @@ def _plain(v):
 class OrderedProcessor(StatefulProcessor):
     """Rows of a key in event order, with one JSON value as state.
 
-    ``take`` gets rows the watermark has passed, sorted by ``at`` and ``order``; Spark drops rows that arrive behind it.  With ``idle_ms``, ``closed`` is called once no row has come for that long, and the state is dropped.
+    ``take`` gets the columns (name to list of values) of rows that the watermark has passed, sorted by ``at`` and ``order``;
+    Spark drops rows that arrive behind it.  With ``idle_ms``, ``closed`` is called once no row has come for that long, and the
+    state is dropped.  What a batch brings is held as one value, column by column.
     """
 
     order: tuple[str, ...] = ()
@@ -38,7 +40,7 @@ class OrderedProcessor(StatefulProcessor):
         self.state = handle.getValueState("state", BLOB)
         self.held = handle.getListState("held", BLOB)
 
-    def take(self, key, pdf: pd.DataFrame, state: dict) -> tuple[pd.DataFrame | None, dict]:
+    def take(self, key, rows: dict[str, list], state: dict) -> tuple[pd.DataFrame | None, dict]:
         raise NotImplementedError
 
     def closed(self, key, state: dict) -> pd.DataFrame | None:
@@ -47,25 +49,29 @@ class OrderedProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             if len(pdf):
-                pdf = pdf.assign(at_ms=pd.to_datetime(pdf["at"]).astype("datetime64[ms]").astype("int64")).drop(columns="at")
-                self.held.appendList([(json.dumps(r, default=_plain),) for r in pdf.to_dict("records")])
-                self.handle.registerTimer(int(pdf["at_ms"].min()) + 1)
+                columns = {c: pdf[c].tolist() for c in pdf.columns if c != "at"}
+                columns["at_ms"] = pdf["at"].to_numpy().astype("datetime64[ms]").astype("int64").tolist()
+                self.held.appendValue((json.dumps(columns, default=_plain),))
+                self.handle.registerTimer(min(columns["at_ms"]) + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, state = timerValues.getCurrentWatermarkInMs(), self._load()
-        held = [json.loads(x[0]) for x in self.held.get()] if self.held.exists() else []
-        ready = [r for r in held if r["at_ms"] < now]
-        rest = [r for r in held if r["at_ms"] >= now]
+        self.now_ms = now
+        parts = [json.loads(x[0]) for x in self.held.get()] if self.held.exists() else []
+        rows = {c: [v for p in parts for v in p[c]] for c in parts[0]} if parts else {"at_ms": []}
+        at = rows["at_ms"]
+        ready, rest = [k for k, t in enumerate(at) if t < now], [k for k, t in enumerate(at) if t >= now]
         if ready:
-            pdf = pd.DataFrame(ready).sort_values(["at_ms", *self.order], kind="stable")
-            out, state["v"] = self.take(key, pdf, state.get("v") or {})
-            state["last_ms"] = int(pdf["at_ms"].max())
+            by = [at, *(rows[c] for c in self.order)]
+            ready.sort(key=lambda k: tuple(c[k] for c in by))
+            out, state["v"] = self.take(key, {c: [v[k] for k in ready] for c, v in rows.items()}, state.get("v") or {})
+            state["last_ms"] = at[ready[-1]]
             if out is not None and len(out):
                 yield out
             if rest:
-                self.held.put([(json.dumps(r),) for r in rest])
-                self.handle.registerTimer(min(r["at_ms"] for r in rest) + 1)
+                self.held.put([(json.dumps({c: [v[k] for k in rest] for c, v in rows.items()}),)])
+                self.handle.registerTimer(min(at[k] for k in rest) + 1)
             else:
                 self.held.clear()
         if self.idle_ms is not None and not rest and "last_ms" in state:
@@ -89,15 +95,47 @@ class OrderedProcessor(StatefulProcessor):
         pass
 
 
+RISK_FIELDS = TIMELINE_FIELDS + ", rank long, factor string, weight double, direction string"
+RISK_COLUMNS = [f.strip().split(" ")[0] for f in RISK_FIELDS.split(",")]
+
+
+def _risk_frame(rows: pd.DataFrame) -> pd.DataFrame:
+    """All columns of the session operator; texts as plain objects, so that a column of NULLs converts."""
+    out = rows.reindex(columns=RISK_COLUMNS)
+    return out.astype(dict.fromkeys(("state", "factor", "direction"), object))
+
+
 class SessionRiskProcessor(OrderedProcessor):
-    """Fused windows in, timeline rows out; the same fold as in batch."""
+    """Fused windows in, timeline rows out, by the same fold as in batch; at the close the drivers of the session.
 
-    order = ("window_id",)
+    The state carries the accumulated contributions of each head.  A driver row has a rank and no window.
+    """
+
+    order, top, elevated = ("window_id",), 3, 0.40
 
-    def take(self, key, pdf, state):
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
+
+    def take(self, key, rows, state):
         f = SessionFold.restore(state["f"]) if state else SessionFold()
-        rows = f.run(pdf["window_id"].astype("int64").tolist(), [None if p != p else float(p) for p in pdf["p_fused"].astype("float64")])
-        return timeline_frame(key[0], rows), {"f": f.dump()}
+        out = f.run(rows["window_id"], [None if p is None or p != p else p for p in rows["p_fused"]])
+        sums = state.get("sums", {})
+        for h in FACTORS:
+            terms = [v for v in rows.get(f"signed_{h}", ()) if v is not None and v == v]
+            if terms:
+                size, net = sums.get(h, (0.0, 0.0))
+                sums[h] = (size + sum(map(abs, terms)), net + sum(terms))
+        return _risk_frame(timeline_frame(key[0], out)), {"f": f.dump(), "sums": sums, "p_hmm": out[-1][2]}
+
+    def closed(self, key, state):
+        f, sums = SessionFold.restore(state["f"]), state["sums"]
+        total = sum(size for size, _ in sums.values())
+        ranked = sorted(((size, h, net) for h, (size, net) in sums.items()), reverse=True)[: self.top] if total > 0 else []
+        rows = [(k, FACTORS[h], size / total, "towards synthetic" if net > 0 else "towards genuine") for k, (size, h, net) in enumerate(ranked, 1)]
+        if f.peak_window is not None and f.peak > state["p_hmm"] and f.peak >= self.elevated:
+            rows.append((self.top + 1, "any_segment_trigger", f.peak, f"window {f.peak_window}"))
+        out = pd.DataFrame(rows, columns=["rank", "factor", "weight", "direction"])
+        return _risk_frame(out.assign(session_id=key[0]))
 
 
 class DecisionProcessor(OrderedProcessor):
@@ -106,9 +144,9 @@ class DecisionProcessor(OrderedProcessor):
     order, idle_ms = ("window_id",), 60_000
     columns = ["session_id", "window_id", "state", "reason"]
 
-    def take(self, key, pdf, state):
+    def take(self, key, rows, state):
         before, labels, out, last = state.get("state"), state.get("labels", ""), [], None
-        for w, st, lab in zip(pdf["window_id"].tolist(), pdf["state"], pdf["labels"], strict=True):
+        for w, st, lab in zip(rows["window_id"], rows["state"], rows["labels"], strict=True):
             reason = "state" if st != before and st in ("ELEVATED", "HIGH") else "labels" if lab != labels else None
             if reason:
                 out.append((key[0], w, st, reason))
@@ -149,9 +187,9 @@ class ReorderProcessor(OrderedProcessor):
     depth, conceal = 20, 5
     columns = ["session_id", "seq", "kind"]
 
-    def take(self, key, pdf, state):
+    def take(self, key, rows, state):
         due, pending, late, hidden, out = state.get("due"), state.get("pending", []), state.get("late", 0), state.get("hidden", 0), []
-        for seq in pdf["seq"].astype("int64").tolist():
+        for seq in rows["seq"]:
             due = seq if due is None else due
             if seq < due:
                 late += 1
@@ -173,9 +211,9 @@ class TranscriptProcessor(OrderedProcessor):
 
     order, keep_ms = ("start_ms", "end_ms"), 120_000
 
-    def take(self, key, pdf, state):
-        rows, held = transcript_rows(state.get("held", []), pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), pdf["text"].fillna("").str.len().tolist(), self.keep_ms)
-        return pd.DataFrame([(key[0], s, taken, n) for s, (taken, n, _) in zip(pdf["start_ms"], rows, strict=True)], columns=["session_id", "start_ms", "accepted", "n_held"]), {"held": held}
+    def take(self, key, rows, state):
+        done, held = transcript_rows(state.get("held", []), rows["start_ms"], rows["end_ms"], [len(t or "") for t in rows["text"]], self.keep_ms)
+        return pd.DataFrame([(key[0], s, taken, n) for s, (taken, n, _) in zip(rows["start_ms"], done, strict=True)], columns=["session_id", "start_ms", "accepted", "n_held"]), {"held": held}
 
 
 class TokenBucketProcessor(OrderedProcessor):
@@ -184,9 +222,9 @@ class TokenBucketProcessor(OrderedProcessor):
     order = ("ts_us", "event_id")
     rate_per_s, burst = 1 / 3600, 5.0
 
-    def take(self, key, pdf, state):
+    def take(self, key, rows, state):
         tokens, at, out = state.get("tokens", self.burst), state.get("at"), []
-        for t, e in zip(pdf["ts_us"].tolist(), pdf["event_id"].tolist(), strict=True):
+        for t, e in zip(rows["ts_us"], rows["event_id"], strict=True):
             if at is not None:
                 tokens = min(self.burst, tokens + (t - at) / 1e6 * self.rate_per_s)
             at, ok = t, tokens >= 1
@@ -200,9 +238,9 @@ class ShortReferenceProcessor(OrderedProcessor):
 
     order, idle_ms, live_us = ("ts_us", "event_id"), 30_000, 30_000_000
 
-    def take(self, key, pdf, state):
+    def take(self, key, rows, state):
         at, out = state.get("at"), []
-        for t, e, op in zip(pdf["ts_us"].tolist(), pdf["event_id"].tolist(), pdf["op"], strict=True):
+        for t, e, op in zip(rows["ts_us"], rows["event_id"], rows["op"], strict=True):
             if op == "put":
                 at = t
             else:
@@ -215,10 +253,10 @@ class ChallengeProcessor(OrderedProcessor):
 
     ttl_us = 30_000_000
 
-    def take(self, key, pdf, state):
+    def take(self, key, rows, state):
         active, out = state.get("active"), []
-        pdf = pdf.sort_values(["ts_us", "kind", "challenge_id"], ascending=[True, False, True])
-        for t, kind, c in zip(pdf["ts_us"].tolist(), pdf["kind"], pdf["challenge_id"].tolist(), strict=True):
+        events = sorted(zip(rows["ts_us"], rows["kind"], rows["challenge_id"], strict=True), key=lambda e: (e[0], e[1] == "answer", e[2]))
+        for t, kind, c in events:
             if kind == "issue":
                 if active and not active["done"]:
                     out.append((key[0], active["id"], "replaced" if t - active["at"] <= self.ttl_us else "expired"))
@@ -236,9 +274,9 @@ class EnrichmentProcessor(OrderedProcessor):
 
     order, every_us = ("ts_us", "event_id"), 10_000_000
 
-    def take(self, key, pdf, state):
+    def take(self, key, rows, state):
         last, out = state.get("last"), []
-        for t, e in zip(pdf["ts_us"].tolist(), pdf["event_id"].tolist(), strict=True):
+        for t, e in zip(rows["ts_us"], rows["event_id"], strict=True):
             if last is None or t - last >= self.every_us:
                 last = t
                 out.append((key[0], e))
@@ -251,9 +289,9 @@ class IdleSessionProcessor(OrderedProcessor):
     order, idle_ms = ("ts_us",), 60_000
     columns = ["session_id", "first_ms", "last_ms", "n"]
 
-    def take(self, key, pdf, state):
+    def take(self, key, rows, state):
         first, last, n, out = state.get("first"), state.get("last"), state.get("n", 0), []
-        for t in pdf["at_ms"].tolist():
+        for t in rows["at_ms"]:
             if first is not None and t - last >= self.idle_ms:
                 out.append((key[0], first, last, n))
                 first, n = None, 0
@@ -262,3 +300,137 @@ class IdleSessionProcessor(OrderedProcessor):
 
     def closed(self, key, state):
         return pd.DataFrame([(key[0], state["first"], state["last"], state["n"])], columns=self.columns)
+
+
+class ArrivalProcessor(OrderedProcessor):
+    """Lateness by arrival: rows of a run of arrival numbers, each with the greatest event time that came before it in the run.
+
+    The event time of this operator is the arrival number.  A run's last row, without an event, holds its greatest event time,
+    from which later runs learn what came before them.
+    """
+
+    order = ("arrival",)
+    columns = ["run", "event_id", "event_type", "ts_us", "high_us"]
+
+    def __init__(self, run_length: int):
+        self.idle_ms = 1000 * run_length  # an arrival number is a second, so the run is over by then
+
+    def take(self, key, rows, state):
+        high, out = state.get("high"), []
+        for e, kind, t in zip(rows["event_id"], rows["event_type"], rows["ts_us"], strict=True):
+            out.append((key[0], e, kind, t, high))
+            high = t if high is None else max(high, t)
+        return pd.DataFrame(out, columns=self.columns).astype({"event_type": object, "high_us": "Int64"}), {"high": high}
+
+    def closed(self, key, state):
+        return pd.DataFrame([(key[0], None, None, None, state["high"])], columns=self.columns).astype({"event_type": object, "event_id": "Int64", "ts_us": "Int64"})
+
+
+class QuietSessionProcessor(OrderedProcessor):
+    """Scores of sessions that closed without ever leaving LOW: one row for each head and score, with how often it came.
+
+    ``at`` is the watermark at which a row comes out, as the next operator needs it; ``closed_ms`` is when the session closed.
+    """
+
+    order = ("window_id",)
+    columns = ["head_id", "bin", "score", "n", "closed_ms", "at"]
+
+    def __init__(self, heads: tuple[str, ...], idle_ms: int, bins: int = 20):
+        self.heads, self.idle_ms, self.bins = heads, idle_ms, bins
+
+    def _scores(self, state: dict) -> list[tuple]:
+        if not state["quiet"]:
+            return []
+        at, closed = pd.Timestamp(self.now_ms, unit="ms"), state["last"] + self.idle_ms
+        return [(h, min(int(p * self.bins), self.bins - 1), p, n, closed, at) for h, counts in state["scores"].items() for p, n in ((float(p), n) for p, n in counts.items())]
+
+    def take(self, key, rows, state):
+        out = []
+        for k, (t, level) in enumerate(zip(rows["at_ms"], rows["state"], strict=True)):
+            if state and t - state["last"] >= self.idle_ms:
+                out += self._scores(state)
+                state = {}
+            state = state or {"quiet": True, "scores": {h: {} for h in self.heads}}
+            state["last"], state["quiet"] = t, state["quiet"] and level in ("LOW", "ABSTAIN")
+            for h in self.heads:
+                p = rows[f"p_{h}"][k]
+                if p is not None and p == p:
+                    p = str(round(min(max(p, 0.0), 1.0), 6))
+                    state["scores"][h][p] = state["scores"][h].get(p, 0) + 1
+        return pd.DataFrame(out, columns=self.columns) if out else None, state
+
+    def closed(self, key, state):
+        out = self._scores(state)
+        return pd.DataFrame(out, columns=self.columns) if out else None
+
+
+class HistogramProcessor(StatefulProcessor):
+    """Score counts of a head's bin, before and after ``reference_ms``, handed on at the end of each period of event time.
+
+    The state maps (end of the period, score) to the two counts; counts of periods, bins and heads can be added up.
+    """
+
+    columns = ["head_id", "bin", "as_of_ms", "score", "n_ref", "n_current"]
+
+    def __init__(self, reference_ms: int, period_ms: int):
+        self.reference_ms, self.period_ms = reference_ms, period_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "as_of_ms long, score double", "n_ref long, n_current long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh: dict[tuple[int, float], list[int]] = {}
+        for pdf in rows:
+            for score, n, closed in zip(pdf["score"].tolist(), pdf["n"].tolist(), pdf["closed_ms"].tolist(), strict=True):
+                cell = fresh.setdefault(((closed // self.period_ms + 1) * self.period_ms, score), [0, 0])
+                cell[closed >= self.reference_ms] += n
+        for cell, (ref, cur) in fresh.items():
+            old = self.counts.getValue(cell) if self.counts.containsKey(cell) else (0, 0)
+            self.counts.updateValue(cell, (old[0] + ref, old[1] + cur))
+        for as_of in {a for a, _ in fresh}:
+            self.handle.registerTimer(as_of)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        done = [(cell, n) for cell, n in self.counts.iterator() if cell[0] <= now]
+        for cell, _ in done:
+            self.counts.removeKey(tuple(cell))
+        if done:
+            yield pd.DataFrame([(*key, *cell, *n) for cell, n in done], columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+class AlertProcessor(OrderedProcessor):
+    """An alert rule over windows in order: pending while the count is at or over the limit, firing after ``for_ms``.
+
+    A window that is missing had no events, so it ends the run.  A row for each alert that fired, when it has ended.
+    """
+
+    columns = ["event_type", "pending_ms", "fired_ms", "ended_ms", "peak"]
+
+    def __init__(self, limit: int, slide_ms: int, for_ms: int):
+        self.limit, self.slide_ms, self.for_ms, self.idle_ms = limit, slide_ms, for_ms, slide_ms
+
+    def _ended(self, key, run: dict) -> list[tuple]:
+        return [(key[0], run["start"], run["fired"], run["end"], run["peak"])] if run and run["fired"] is not None else []
+
+    def take(self, key, rows, state):
+        run, out = state.get("run") or {}, []
+        for end, n in zip(rows["end_ms"], rows["n"], strict=True):
+            if run and (end - run["end"] > self.slide_ms or n < self.limit):
+                out += self._ended(key, run)
+                run = {}
+            if n >= self.limit:
+                run = run or {"start": end, "fired": None, "peak": 0}
+                run["end"], run["peak"] = end, max(run["peak"], n)
+                if run["fired"] is None and end - run["start"] >= self.for_ms:
+                    run["fired"] = end
+        return pd.DataFrame(out, columns=self.columns) if out else None, {"run": run}
+
+    def closed(self, key, state):
+        out = self._ended(key, state.get("run"))
+        return pd.DataFrame(out, columns=self.columns) if out else None

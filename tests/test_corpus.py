@@ -91,7 +91,6 @@ def test_short_families_pass_their_share_on(spark):
 
 def test_blocked_product_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(SP, "BLOCK_ROWS", 7)
-    monkeypatch.setattr(SP, "BATCH_ROWS", 11)
     r = np.random.default_rng(1)
     v, c = r.normal(size=(40, 5)), r.normal(size=(30, 5))
     c /= np.linalg.norm(c, axis=1, keepdims=True)
@@ -104,7 +103,6 @@ def test_blocked_product_equals_brute_force(spark, monkeypatch):
 
 def test_speaker_trials_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(SP, "BLOCK_ROWS", 2)
-    monkeypatch.setattr(SP, "BATCH_ROWS", 9)
     r = np.random.default_rng(2)
     spk = np.arange(30) % 6
     v = r.normal(size=(30, 4)) + spk[:, None]
