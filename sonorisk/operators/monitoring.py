@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from sonorisk.scale import exact_quantiles, fold_sorted, ordered_index, small_or_plain
+from sonorisk.scale import exact_quantiles, fold_sorted, ordered_index, running_last, small_or_plain
 
 # fixed values: bucket edges
 LATENCY_BUCKETS_S = (0.01, 0.025, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.5, 5.0)
@@ -130,34 +133,44 @@ def flag_runs(df: DataFrame, key: str, pos: str, flag: Column, min_len: int = 1,
     return g.filter(F.col("length") <= max_len) if max_len is not None else g
 
 
-class LoadState:
-    """Smoothed latency with enter/exit hysteresis, a calm count and a minimum hold."""
-
-    def __init__(self, alpha: float = 0.2, enter: float = 300.0, exit_: float = 250.0, exit_after: int = 5, hold_us: int = 10_000_000) -> None:
-        self.alpha, self.enter, self.exit, self.exit_after, self.hold_us = alpha, enter, exit_, exit_after, hold_us
-        self.ema, self.degraded, self.calm, self.since = 0.0, False, 0, 0
+def smoothed(values: np.ndarray, alpha: float, before: float) -> np.ndarray:
+    """Exponential mean of a chunk that continues ``before``; a mean of zero takes the next value whole."""
+    return np.fromiter(accumulate(values, lambda mean, v: v if mean == 0 else mean + alpha * (v - mean), initial=before), dtype=float, count=len(values) + 1)[1:]
 
-    def observe(self, ms: float, now_us: int) -> bool:
-        self.ema = ms if self.ema == 0 else (1 - self.alpha) * self.ema + self.alpha * ms
-        if not self.degraded:
-            if self.ema > self.enter:
-                self.degraded, self.since, self.calm = True, now_us, 0
-        else:
-            self.calm = self.calm + 1 if self.ema < self.exit else 0
-            if self.calm >= self.exit_after and now_us - self.since >= self.hold_us:
-                self.degraded, self.calm = False, 0
-        return self.degraded
 
+def load_episodes(mean: np.ndarray, ts: np.ndarray, carry: tuple, enter: float, leave: float, calm_rows: int, hold_us: int) -> tuple[np.ndarray, tuple]:
+    """Degraded flag of each row of a chunk, found episode by episode, and what the next chunk needs.
 
-def load_timeline(df: DataFrame, key: str = "gateway", **cfg: float) -> DataFrame:
+    An episode begins at the first mean over ``enter``.  It ends at the first row that closes a run of ``calm_rows`` means
+    under ``leave`` and lies ``hold_us`` after the beginning.  carry: begun at (None: no episode), calm rows so far.
+    """
+    flags, place = np.zeros(len(mean), dtype=bool), np.arange(len(mean))
+    starts, busy = np.flatnonzero(mean > enter), np.maximum.accumulate(np.where(mean < leave, -1, place))
+    begun, calm = carry
+    at = 0
+    while at < len(mean):
+        if begun is None:
+            k = np.searchsorted(starts, at)
+            if k == len(starts):
+                break
+            begun, calm, at = int(ts[starts[k]]), 0, int(starts[k]) + 1
+            flags[at - 1] = True
+        run = np.where(busy[at:] < at, place[at:] - at + 1 + calm, place[at:] - busy[at:])
+        over = np.flatnonzero((run >= calm_rows) & (ts[at:] - begun >= hold_us))
+        end = at + int(over[0]) if len(over) else len(mean)
+        flags[at:end] = True
+        calm = 0 if len(over) else int(run[-1]) if len(run) else calm
+        begun, at = None if len(over) else begun, end + 1
+    return flags, (begun, calm)
+
+
+def load_timeline(df: DataFrame, key: str = "gateway", alpha: float = 0.2, enter: float = 300.0, exit_: float = 250.0, exit_after: int = 5, hold_us: int = 10_000_000) -> DataFrame:
     """Smoothed latency and degraded flag per observation (key, ts_us, latency_ms); advisory only."""
     def step(pdf: pd.DataFrame, st):
-        st = st or LoadState(**cfg)
-        deg, ema = [], []
-        for ms, t in zip(pdf["latency_ms"], pdf["ts_us"], strict=True):
-            deg.append(st.observe(float(ms), int(t)))
-            ema.append(st.ema)
-        return pdf[[key, "ts_us"]].assign(ema_ms=ema, degraded=deg), st
+        before, carry = st or (0.0, (None, 0))
+        mean = smoothed(pdf["latency_ms"].to_numpy(dtype=float), alpha, before)
+        flags, carry = load_episodes(mean, pdf["ts_us"].to_numpy(), carry, enter, exit_, exit_after, hold_us)
+        return pdf[[key, "ts_us"]].assign(ema_ms=mean, degraded=flags), (float(mean[-1]), carry)
 
     return fold_sorted(df.select(key, "ts_us", "latency_ms"), [key], ["ts_us"], step, f"{key} long, ts_us long, ema_ms double, degraded boolean")
 
@@ -176,30 +189,18 @@ def degraded_marks(scores: DataFrame, degraded: Column, expensive: tuple[str, ..
     )
 
 
-class VoiceGate:
-    """Energy gate: opens at the onset level, closes after a run of frames under the offset level."""
-
-    def __init__(self, onset: float = -35.0, offset: float = -40.0, hangover: int = 15) -> None:
-        self.onset, self.offset, self.hangover = onset, offset, hangover
-        self.open, self.quiet = False, 0
+def voice_activity(frames: DataFrame, onset: float = -35.0, offset: float = -40.0, hangover: int = 15, limit: int | None = None) -> DataFrame:
+    """Voiced flag per frame (session_id, frame_id, energy_db), across windows.
 
-    def frame(self, db: float) -> bool:
-        if self.open:
-            self.quiet = 0 if db >= self.offset else self.quiet + 1
-            if self.quiet >= self.hangover:
-                self.open, self.quiet = False, 0
-        elif db >= self.onset:
-            self.open, self.quiet = True, 0
-        return self.open
-
-
-def voice_activity(frames: DataFrame, **cfg: float) -> DataFrame:
-    """Voiced flag per frame (session_id, frame_id, energy_db); the gate's state crosses windows."""
-    def step(pdf: pd.DataFrame, gate):
-        gate = gate or VoiceGate(**cfg)
-        return pdf[["session_id", "frame_id"]].assign(voiced=[gate.frame(float(e)) for e in pdf["energy_db"]]), gate
-
-    return fold_sorted(frames.select("session_id", "frame_id", "energy_db"), ["session_id"], ["frame_id"], step, "session_id long, frame_id long, voiced boolean")
+    A frame is voiced if a frame at the onset level lies at or before it with no run of ``hangover`` frames under the offset
+    level in between.  Both are last positions so far, so a long session is carried over many tasks.
+    """
+    key, order, e = ["session_id"], ["frame_id"], F.col("energy_db")
+    f = ordered_index(frames.select("session_id", "frame_id", "energy_db"), key, order, "_n", limit)
+    f = running_last(f.withColumns({"_on": F.when(e >= onset, F.col("_n")), "_loud": F.when(e >= offset, F.col("_n"))}), key, order, ["_on", "_loud"], limit)
+    ended = F.when(F.col("_n") - F.coalesce("_loud", F.lit(0)) >= hangover, F.col("_n"))
+    f = running_last(f.withColumn("_end", ended), key, order, ["_end"], limit)
+    return f.select("session_id", "frame_id", (F.col("_on").isNotNull() & (F.col("_on") > F.coalesce("_end", F.lit(0)))).alias("voiced"))
 
 
 def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -22,10 +22,10 @@ cte(
     ['low', 'medium', 'high', 'unrated'][event_id % 4 + 1] AS tier, {_LAB_SQL}[event_id % 4 + 1] AS labels, event_id % 17 = 0 AS wm FROM events""",
 )
 _PROF_ROWS = ", ".join(
-    f"('{p}', '{t}', CAST({e} AS DOUBLE), CAST({h} AS DOUBLE), string_split('{a}', ' '), string_split('{b}', ' '))" for p, ts in PO.PROFILES.items() for t, (e, h, a, b) in ts.items()
+    f"('{p}', '{t}', CAST({e} AS DOUBLE), CAST({h} AS DOUBLE), {list(a)}, {list(b)})" for p, ts in PO.PROFILES.items() for t, (e, h, a, b) in ts.items()
 )
 cte("profs", f"SELECT * FROM (VALUES {_PROF_ROWS}) p(profile, tier, elevated, high, ae, ah)")
-_LA_ROWS = ", ".join(f"('{p}', '{lab}', string_split('{a}', ' '))" for p, m in PO.LABEL_ACTIONS.items() for lab, a in m.items())
+_LA_ROWS = ", ".join(f"('{p}', '{lab}', {list(a)})" for p, m in PO.LABEL_ACTIONS.items() for lab, a in m.items())
 cte("lacts", f"SELECT * FROM (VALUES {_LA_ROWS}) p(profile, label, acts)")
 cte(
     "pband",

@@ -63,3 +63,40 @@ def test_reply_parser_clamps_and_filters(spark):
     h = one(spark, raw, X.parse_intent_reply)
     assert [(x.label, x.confidence) for x in h] == [("secrecy_demand", 1.0)]
     assert one(spark, "no json", X.parse_intent_reply) == []
+
+
+def test_load_episodes_do_not_depend_on_chunks():
+    import random
+
+    import numpy as np
+
+    from sonorisk.operators.monitoring import load_episodes, smoothed
+
+    rng = random.Random(3)
+    values, ts = np.array([rng.choice([0, 100, 240, 700]) for _ in range(400)], dtype=float), np.cumsum([rng.randrange(1, 4) for _ in range(400)])
+    mean, want, begun, calm = smoothed(values, 0.3, 0.0), [], None, 0
+    for m, t in zip(mean, ts, strict=True):
+        if begun is None:
+            begun, calm = (t, 0) if m > 300 else (None, 0)
+        else:
+            calm = calm + 1 if m < 250 else 0
+            if calm >= 3 and t - begun >= 12:
+                begun = None
+        want.append(begun is not None)
+    for size in (400, 1, 7, 50):
+        got, carry, before = [], (None, 0), 0.0
+        for a in range(0, 400, size):
+            part = smoothed(values[a : a + size], 0.3, before)
+            flags, carry = load_episodes(part, ts[a : a + size], carry, 300, 250, 3, 12)
+            got, before = got + flags.tolist(), part[-1]
+        assert got == want and any(want) and not all(want)
+
+
+def test_voice_gate_in_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from sonorisk.operators.monitoring import voice_activity
+
+    frames = spark.range(400).select((F.col("id") % 2).alias("session_id"), F.floor(F.col("id") / 2).alias("frame_id"), (-30 - (F.col("id") * 7) % 23).cast("double").alias("energy_db"))
+    one, many = (sorted(map(tuple, voice_activity(frames, hangover=2, limit=n).collect())) for n in (None, -1))
+    assert one == many and len({v for _, _, v in one}) == 2
