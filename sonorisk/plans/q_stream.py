@@ -271,6 +271,38 @@ def str16(spark, sf):
     return J.call_view(e)
 
 
+@query("STR05_stream", ORACLES["STR05"])
+def str05_stream(spark, sf):
+    e = events(spark, sf).select("user_id", "ts_us")
+    t = J.event_topic(e, F.timestamp_micros("ts_us"), "user_id")
+    s = J.run_available(J.idle_sessions(t, "at", "user_id", "6 hours"), "sessions")
+    return s.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+_TTL = 172_800_000
+
+
+@query(
+    "STR10_stream",
+    f"""WITH RECURSIVE o AS (SELECT event_id, event_id % 700 AS sid, user_id % 3 AS t, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY event_id % 700 ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+    r AS (SELECT event_id, sid, k, t AS owner, ms AS since, 'created' AS outcome FROM o WHERE k = 1
+    UNION ALL SELECT o.event_id, o.sid, o.k, CASE WHEN o.ms - since >= {_TTL} THEN o.t ELSE owner END, CASE WHEN o.ms - since >= {_TTL} THEN o.ms ELSE since END, CASE WHEN o.ms - since >= {_TTL} THEN 'created' WHEN o.t = owner THEN 'repeat' ELSE 'rejected' END
+    FROM r JOIN o ON o.sid = r.sid AND o.k = r.k + 1) SELECT event_id, outcome FROM r""",
+)
+def str10_stream(spark, sf):
+    """Creates of session ids that may be reused two days after they were taken."""
+    c = events(spark, sf).select((F.col("event_id") % 700).alias("sid"), (F.col("user_id") % 3).alias("tenant_id"), "event_id", "ts_us")
+    return J.drain_in_order(c, F.timestamp_micros("ts_us"), "sid", PR.OwnerProcessor(_TTL), "event_id long, outcome string", "owners")
+
+
+@query("STR16_stream", ORACLES["STR16"])
+def str16_stream(spark, sf):
+    names = F.create_map(*[F.lit(x) for kv in (("click", "session_risk"), ("signup", "context_signals"), ("error", "policy_decision"), ("view", "window_score")) for x in kv])
+    e = events(spark, sf).select(F.col("user_id").alias("session_id"), F.coalesce(names[F.col("event_type")], F.col("event_type")).alias("event_type"), F.col("event_id").alias("seq"), F.col("event_id").alias("payload"), "ts_us")
+    fields = "session_id long, risk long, context long, decision long, n_decisions long, n_windows long, last_seq long"
+    return J.drain_in_order(e, F.timestamp_micros("ts_us"), "session_id", PR.CallViewProcessor(_FAR_MS), fields, "views", settle_ms=_FAR_MS + 86_400_000)
+
+
 @query("SRC11", rec_sql("SELECT window_id // 7 AS week, count(*) AS n, round(max(ps), 6) AS p_max FROM r WHERE window_id BETWEEN 7 AND 20 GROUP BY 1"))
 def src11(spark, sf):
     from sonorisk.sources.timeline import append_timeline, read_session

@@ -434,3 +434,50 @@ class AlertProcessor(OrderedProcessor):
     def closed(self, key, state):
         out = self._ended(key, state.get("run"))
         return pd.DataFrame(out, columns=self.columns) if out else None
+
+
+class OwnerProcessor(OrderedProcessor):
+    """Creates of a session id: the first one owns it for ``idle_ms``, its own repeats are known, other tenants are rejected.
+
+    Once the id has lapsed the next create owns it anew; the state goes when the watermark has passed that time.
+    """
+
+    order = ("event_id",)
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def take(self, key, rows, state):
+        out = []
+        for t, e, tenant in zip(rows["at_ms"], rows["event_id"], rows["tenant_id"], strict=True):
+            if not state or t - state["since"] >= self.idle_ms:
+                state = {"owner": tenant, "since": t}
+                out.append((e, "created"))
+            else:
+                out.append((e, "repeat" if tenant == state["owner"] else "rejected"))
+        return pd.DataFrame(out, columns=["event_id", "outcome"]), state
+
+
+class CallViewProcessor(OrderedProcessor):
+    """Fold of a call's events: the latest payload and the number of each event type, and the last sequence number."""
+
+    order = ("seq",)
+    columns = ["session_id", "risk", "context", "decision", "n_decisions", "n_windows", "last_seq"]
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def take(self, key, rows, state):
+        seen, last = state.get("seen", {}), state.get("last_seq")
+        for kind, payload, seq in zip(rows["event_type"], rows["payload"], rows["seq"], strict=True):
+            top, newest, n = seen.get(kind, (None, None, 0))
+            seen[kind] = (seq, payload, n + 1) if top is None or seq > top else (top, newest, n + 1)
+            last = seq if last is None else max(last, seq)
+        return None, {"seen": seen, "last_seq": last}
+
+    def closed(self, key, state):
+        latest = {k: v[1] for k, v in state["seen"].items()}
+        count = {k: v[2] for k, v in state["seen"].items()}
+        row = (key[0], latest.get("session_risk"), latest.get("context_signals"), latest.get("policy_decision"), count.get("policy_decision", 0), count.get("window_score", 0), state["last_seq"])
+        out = pd.DataFrame([row], columns=self.columns)
+        return out.astype(dict.fromkeys(("risk", "context", "decision"), "Int64"))

@@ -44,6 +44,8 @@ CASES = {
     "decisions": (PR.DecisionProcessor, "session_id long, window_id long, state string, reason string"),
     "frames": (PR.ReorderProcessor, "session_id long, seq long, kind string"),
     "transcript": (PR.TranscriptProcessor, "session_id long, start_ms long, accepted boolean, n_held long"),
+    "owners": (lambda: PR.OwnerProcessor(7_000), "event_id long, outcome string"),
+    "views": (lambda: PR.CallViewProcessor(3 * 86_400_000), "session_id long, risk long, context long, decision long, n_decisions long, n_windows long, last_seq long"),
     "idle": (PR.IdleSessionProcessor, "session_id long, first_ms long, last_ms long, n long"),
 }
 
@@ -56,7 +58,7 @@ def test_results_do_not_depend_on_files(spark, name):
         (i % 4).alias("session_id"), F.floor(i / 4).alias("window_id"), F.when(i % 11 != 0, (i * 37 % 97 + 1) / 98.0).alias("p_fused"),
         F.element_at(F.array(F.lit("LOW"), F.lit("HIGH"), F.lit("ELEVATED")), (i % 3 + 1).cast("int")).alias("state"), F.floor(i / 80).cast("string").alias("labels"),
         (F.floor(i / 4) + F.when(F.floor(i / 4) % 5 == 3, -2).otherwise(0)).alias("seq"), (F.floor(i / 4) * 900).alias("start_ms"), (F.floor(i / 4) * 900 + 1000).alias("end_ms"),
-        F.lit("some words").alias("text"), (F.floor(i / 4) * 1_000_000).alias("ts_us"),
+        F.lit("some words").alias("text"), i.alias("event_id"), (i % 3).alias("tenant_id"), i.alias("payload"), F.when(i % 2 == 0, "session_risk").otherwise("window_score").alias("event_type"), (F.floor(i / 4) * 1_000_000).alias("ts_us"),
     )
     df = df.withColumn("at", F.timestamp_seconds(F.col("window_id") + F.floor(F.col("window_id") / 50) * 90 + 86_400))
     proc, schema = CASES[name]
