@@ -83,15 +83,6 @@ def curve_metrics(
     both = frr.isNotNull() & far.isNotNull()
     norm = min(c_miss * (1 - pi), c_fa * pi)
     cost = c_miss * (1 - pi) * frr + c_fa * pi * far
-    x0, x1 = F.col("frr0"), F.col("frr")
-    y0, y1 = 1 - F.col("far0"), 1 - F.col("far")
-    m = F.lit(max_fpr)
-    cut = y0 + (y1 - y0) * (m - x0) / F.nullif(x1 - x0, F.lit(0.0))
-    area = (
-        F.when(x1 <= m, (x1 - x0) * (y0 + y1) / 2)
-        .when(x0 < m, (m - x0) * (y0 + cut) / 2)
-        .otherwise(F.lit(0.0))
-    )
     wins = F.col("n_bona") * ((F.col("c_spoof") - F.col("n_spoof")) + F.col("n_spoof") / 2.0)
     g = curve.groupBy(*slices).agg(
         F.max("t_bona").alias("n_bona"),
@@ -100,11 +91,10 @@ def curve_metrics(
         F.min(F.when(both, F.col("min_score"))).alias("_first"),
         F.min(F.when(both, cost)).alias("_dcf"),
         F.sum(wins).alias("_wins"),
-        F.sum(F.when(both, area)).alias("_area"),
+        F.sum(F.when(both, _area(max_fpr))).alias("_area"),
     )
     start = F.when(F.col("_first").isNotNull(), _point(F.lit(1.0), F.col("_first") - 1e-9, F.lit(0.5)))
     best = F.least(F.col("_best"), start)
-    lo_area = max_fpr**2 / 2
     return g.select(
         *slices,
         "n_bona",
@@ -113,10 +103,31 @@ def curve_metrics(
         best["thr"].alias("eer_threshold"),
         (F.least(F.col("_dcf"), F.when(F.col("_dcf").isNotNull(), F.lit(c_fa * pi))) / norm).alias("min_dcf"),
         F.when(F.col("_first").isNotNull(), F.col("_wins") / F.nullif(F.col("n_bona") * F.col("n_spoof"), F.lit(0))).alias("auc"),
-        F.when(F.col("_first").isNotNull(), 0.5 * (1 + (F.col("_area") - lo_area) / (max_fpr - lo_area))).alias("pauc"),
+        F.when(F.col("_first").isNotNull(), _standardised(F.col("_area"), max_fpr)).alias("pauc"),
     )
 
 
+def _area(max_fpr: float) -> Column:
+    """Trapezoid of one step of the curve up to ``max_fpr``, interpolated where the step crosses it."""
+    x0, x1 = F.col("frr0"), F.col("frr")
+    y0, y1 = 1 - F.col("far0"), 1 - F.col("far")
+    m = F.lit(max_fpr)
+    cut = y0 + (y1 - y0) * (m - x0) / F.nullif(x1 - x0, F.lit(0.0))
+    return F.when(x1 <= m, (x1 - x0) * (y0 + y1) / 2).when(x0 < m, (m - x0) * (y0 + cut) / 2).otherwise(F.lit(0.0))
+
+
+def _standardised(area: Column, max_fpr: float) -> Column:
+    least = max_fpr**2 / 2
+    return 0.5 * (1 + (area - least) / (max_fpr - least))
+
+
+def partial_areas(curve: DataFrame, slices: Sequence[str], limits: dict[str, float]) -> DataFrame:
+    """Standardised partial AUC of every slice for several limits, in one aggregate."""
+    both = F.col("frr").isNotNull() & F.col("far").isNotNull()
+    g = curve.groupBy(*slices).agg(*[F.sum(F.when(both, _area(m))).alias(name) for name, m in limits.items()])
+    return g.select(*slices, *[_standardised(F.col(name), m).alias(name) for name, m in limits.items()])
+
+
 def min_max_error(curve: DataFrame, slices: Sequence[str]) -> DataFrame:
     """EER as min over thresholds of max(fpr, fnr), flagging p >= t; for p_spoof (higher = spoof).
 

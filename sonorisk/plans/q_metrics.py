@@ -177,10 +177,8 @@ def agg13(spark, sf):
 
 @query("AGG14", sql(f"SELECT dataset, gender, {_r(_pauc(), 'pauc_1')}, {_r(_pauc(0.1), 'pauc_10')} FROM curve_ds GROUP BY 1, 2", "curve_ds"))
 def agg14(spark, sf):
-    c = _curve(spark, sf)
-    a = curves.curve_metrics(c, SLICE, max_fpr=0.01).select(*SLICE, r6(F.col("pauc")).alias("pauc_1"))
-    b = curves.curve_metrics(c, SLICE, max_fpr=0.1).select(*SLICE, r6(F.col("pauc")).alias("pauc_10"))
-    return a.join(b, SLICE)
+    a = curves.partial_areas(_curve(spark, sf), SLICE, {"pauc_1": 0.01, "pauc_10": 0.1})
+    return a.select(*SLICE, r6(F.col("pauc_1")).alias("pauc_1"), r6(F.col("pauc_10")).alias("pauc_10"))
 
 
 @query(
