@@ -1,8 +1,8 @@
 """Speaker scoring: voiceprint centroids, cohort statistics, normalised scores, trials.
 
-All-against-all scoring is a blocked matrix product: vectors are packed into blocks of bounded size,
-each left batch meets each right block once in a bounded task, and only top-k values or score counts
-leave the task.  No cross join is planned and no pair list is emitted.
+All-against-all scoring is a blocked matrix product: a grid of blocks of bounded size is dealt by one
+shuffle, each left batch meets each right block once in a bounded task, and only top-k values or score
+counts leave the task.  No cross join is planned and no pair list is emitted.
 """
 
 from __future__ import annotations
@@ -41,32 +41,43 @@ def voiceprint_centroids(prints: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def block_product(left: DataFrame, right: DataFrame, reduce, schema: str, extra: Sequence[str] = ()) -> DataFrame:
-    """Apply ``reduce(group, rows, L, rids, R) -> DataFrame`` to every batch of left rows and block of right ones of a group.
+    """Apply ``reduce(group, rows, L, rids, R) -> DataFrame`` to left rows and blocks of right ones of a group.
 
-    left: (id, grp, vec, extra); right: (id, grp, vec).  The right side goes round in blocks of ``BLOCK_ROWS`` vectors, each a
-    broadcast of that bound, dealt by a hash of the id; left rows stay where they lie and are neither copied nor shuffled.
+    left: (id, grp, vec, extra); right: (id, grp, vec).  A grid of blocks is dealt by one shuffle: a left row goes to every
+    right block of its group, a right row to every left block.  A task keeps the right block (some ``BLOCK_ROWS`` vectors) and
+    streams the left rows past it; no vector reaches the driver, however many there are.
     """
     spark = left.sparkSession
-    blocks = max(1, -(-right.count() // BLOCK_ROWS))
-    out = None
-    for k in range(blocks):
-        part = right.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k) if blocks > 1 else right
-        groups: dict = {}
-        for r in part.select("id", "grp", "vec").collect():
-            groups.setdefault(r.grp, []).append((r.id, r.vec))
-        shared = spark.sparkContext.broadcast({g: (np.array([i for i, _ in rows], dtype=object), np.array([v for _, v in rows], dtype=float)) for g, rows in groups.items()})
-        piece = left.select("id", "grp", "vec", *extra).mapInPandas(_products(shared, reduce), schema)
-        out = piece if out is None else out.unionByName(piece)
-    return out
-
-
-def _products(shared, reduce):
+    across = max(1, -(-right.count() // BLOCK_ROWS))
+    down = max(spark.sparkContext.defaultParallelism, -(-left.count() // (8 * BLOCK_ROWS)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    vec = F.col("vec").cast("array<double>").alias("vec")
+    rows = left.select("grp", own(down).alias("_down"), every(across).alias("_across"), F.lit(1).alias("_side"), "id", F.lit(None).cast(right.schema["id"].dataType).alias("_rid"), vec, *extra)
+    none = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in ("id", *extra)]
+    blocks = right.select("grp", every(down).alias("_down"), own(across).alias("_across"), F.lit(0).alias("_side"), F.col("id").alias("_rid"), vec, *none)
+    place = ["grp", "_down", "_across"]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.unionByName(blocks).repartition(n, *place).sortWithinPartitions(*place, "_side").mapInPandas(_products(reduce, place, [*extra]), schema)
+
+
+def _products(reduce, place: list[str], extra: list[str]):
     def run(batches):
+        at, ids, vectors = None, [], []
         for pdf in batches:
-            for g, rows in pdf.groupby("grp"):
-                if g in shared.value:
-                    rids, r = shared.value[g]
-                    yield reduce(g, rows, np.stack(rows["vec"].to_numpy()).astype(float), rids, r)
+            for key, rows in pdf.groupby(place, sort=False, dropna=False):
+                key = tuple(None if k != k else k for k in key)
+                if key != at:
+                    at, ids, vectors = key, [], []
+                right = rows[rows["_side"] == 0]
+                if len(right):
+                    ids.append(right["_rid"].to_numpy(dtype=object))
+                    vectors.append(np.stack(right["vec"].to_numpy()).astype(float))
+                left = rows[rows["_side"] == 1]
+                if len(left) and ids:
+                    ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
+                    left = left[["id", "grp", "vec", *extra]]
+                    yield reduce(key[0], left, np.stack(left["vec"].to_numpy()).astype(float), ids[0], vectors[0])
 
     return run
 
