@@ -185,10 +185,10 @@ def operational(calls: DataFrame, threshold: Column) -> DataFrame:
 
 
 def held_out_folds(df: DataFrame, family: str) -> DataFrame:
-    """(held_out, train_family) for every family against all others; families are a checked short list."""
-    fams = family_list(df, family)
-    rows = [(a, b) for a in fams for b in fams if a != b]
-    return df.sparkSession.createDataFrame(rows, "held_out string, train_family string")
+    """(held_out, train_family) for every family against all others, which is what is asked for: the pairs are the result."""
+    fams = df.filter(F.col(family).isNotNull()).select(F.col(family).alias("held_out")).distinct()
+    others = fams.withColumnRenamed("held_out", "train_family")
+    return fams.join(others, F.col("held_out") != F.col("train_family"))
 
 
 def stack_conditions(parts: dict[str, DataFrame]) -> DataFrame:
