@@ -6,11 +6,12 @@ which cannot reach what is left of T; members that do are looked up in the long
 the overlap that their own size asks for.
 
 Scale: texts of equal words are one node.  Which nodes meet is settled by rare shingles: a set that links with another misses
-at most a tenth of its shingles there, so of its 1 + size / 10 rarest ones (by the number of nodes that hold them; ties by
-hash) they share at least one.  Sets of 250 shingles or more do so within the sixth of all hashes that a residue picks, those
-that have too few there once more within all.  Nodes of a shared rare shingle form a list; equal lists are one, and a list is
-never expanded into pairs: first its members meet one leader and classes are contracted, then what is still open in the list,
-rows outside its largest class against all its rows, meets in blocks of bounded size.  No list or candidate is dropped.
+at most a tenth of its shingles there, so of its 1 + size / 10 rarest ones (by counts of the nodes in a token's hash cell;
+ties by hash) they share at least one.  Sets of 250 shingles or more do so within the sixth of all hashes that a residue picks, those
+that have too few there once more within all.  Nodes of a shared rare shingle form a list, and lists with the same least node are one,
+since sets that link share many shingles.  A list is never expanded into pairs: first its members meet that node and classes
+are contracted, then what is still open in the list, rows outside its largest class against all its rows, meets in blocks of
+bounded size.  No list or candidate is dropped.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.window import Window as W
 
 from sonorisk.llm.common import nested, reliable, small, stored
 from sonorisk.llm.hashing import Powers, WordHashes, mixed
@@ -35,6 +35,7 @@ SHINGLE = 3
 PERCENT = 90
 LARGE, RESIDUES = 250, 6
 BLOCK = 128
+CHUNK_TOKENS, RANGE_BITS, MOST = 300_000, 20, 255
 MU = 0.0085
 
 
@@ -195,30 +196,130 @@ def tokens_of(shingles: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return out
 
 
+SIGNED = "seq binary, rn long, body binary, size long, tokens binary, ways binary"
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingles = Shingles()
+    """The nodes with their sizes; behind every few of them a chunk row: their tokens, and (node, tokens, spare) of each way."""
+    shingles, tokens, ways, held = Shingles(), [], [], 0
+    kinds = dict(zip(("seq", "rn", "body", "size", "tokens", "ways"), (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True))
+
+    def batch(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, kind) for c, kind in kinds.items()], names=list(kinds))
+
+    def chunk() -> pa.RecordBatch:
+        return batch(1, tokens=pa.array([np.concatenate(tokens).tobytes()], pa.binary()), ways=pa.array([np.array(ways, dtype=np.int64).tobytes()], pa.binary()))
+
     for b in small(batches):
-        size, parts = [], []
-        for body in b.column("body").to_pylist():
+        size = []
+        for rn, body in zip(b.column("rn").to_pylist(), b.column("body").to_pylist(), strict=True):
             s = shingles.packed(body)
             size.append(len(s))
-            parts.append([{"spare": spare, "tokens": t.tolist()} for t, spare in tokens_of(s)])
-        kind = pa.list_(pa.struct([("spare", pa.int32()), ("tokens", pa.list_(pa.int64()))]))
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("seq", "rn", "body")), pa.array(size, pa.int64()), pa.array(parts, kind)], names=["seq", "rn", "body", "size", "parts"])
+            for t, spare in tokens_of(s):
+                tokens.append(t)
+                ways.append((rn, len(t), spare))
+                held += len(t)
+        yield batch(b.num_rows, seq=b.column("seq"), rn=b.column("rn"), body=b.column("body"), size=pa.array(size, pa.int64()))
+        if held >= CHUNK_TOKENS:
+            yield chunk()
+            tokens, ways, held = [], [], 0
+    if ways:
+        yield chunk()
+
+
+def _cells_of(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(tokens.view(np.uint64), 5) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _ranges(cells: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(range, from, to) over ascending cells."""
+    at = np.flatnonzero(np.diff(cells >> RANGE_BITS, prepend=-1))
+    for a, b in zip(at.tolist(), np.append(at, len(cells))[1:].tolist(), strict=True):
+        yield int(cells[a] >> RANGE_BITS), a, b
+
+
+def _counted(bits: int):
+    """How many nodes of a chunk hold the tokens of each hash cell, by ranges of cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, 1):
+            for chunk, tokens in zip(b.column("chunk").to_pylist(), b.column("tokens").to_pylist(), strict=True):
+                cells, n = np.unique(_cells_of(np.frombuffer(tokens, dtype=np.int64), bits), return_counts=True)
+                n = np.minimum(n, MOST).astype(np.uint8)
+                parts = [(chunk, r, (cells[a:b] & ((1 << RANGE_BITS) - 1)).astype(np.uint32).tobytes(), n[a:b].tobytes()) for r, a, b in _ranges(cells)]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in parts], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "range", "cells", "counts"])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add up a range's counts and tell each chunk those of its own cells."""
+    current, parts = None, []
+
+    def flush():
+        total = np.zeros(1 << RANGE_BITS, dtype=np.uint16)
+        places = [np.frombuffer(cells, dtype=np.uint32) for _, cells, _ in parts]
+        for at, (_, _, counts) in zip(places, parts, strict=True):
+            total[at] = np.minimum(total[at] + np.frombuffer(counts, dtype=np.uint8), MOST)
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([current] * len(parts), pa.int64()), pa.array([total[at].astype(np.uint8).tobytes() for at in places], pa.binary())], names=["chunk", "range", "held"])
+
+    for b in small(batches):
+        for r, *part in zip(*(b.column(c).to_pylist() for c in ("range", "chunk", "cells", "counts")), strict=True):
+            if r != current and parts:
+                yield flush()
+                parts = []
+            current = r
+            parts.append(part)
+    if parts:
+        yield flush()
+
+
+def _rarest(bits: int):
+    """(token, node): the tokens that a node is to share, less those that no other node holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, 1):
+            for tokens, ways, told in zip(*(b.column(c).to_pylist() for c in ("tokens", "ways", "told")), strict=True):
+                tokens = np.frombuffer(tokens, dtype=np.int64)
+                cells, back = np.unique(_cells_of(tokens, bits), return_inverse=True)
+                known = {x["range"]: x["held"] for x in told}
+                held = np.concatenate([np.frombuffer(known[r], dtype=np.uint8) for r, _, _ in _ranges(cells)])[back]
+                out_token, out_rn, at = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], 0
+                for rn, n, spare in np.frombuffer(ways, dtype=np.int64).reshape(-1, 3).tolist():
+                    own, count = tokens[at : at + n], held[at : at + n]
+                    first = np.lexsort((own, count))[: n - spare]
+                    first = first[count[first] > 1]
+                    out_token.append(own[first])
+                    out_rn.append(np.full(len(first), rn, dtype=np.int64))
+                    at += n
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (out_token, out_rn)], names=["list", "rn"])
+
+    return run
+
+
+def _lists(chunks: DataFrame) -> DataFrame:
+    """``list, rn``: nodes that share one of their rarest tokens; lists with the same least node are one, named by it.
+
+    chunks: chunk, tokens, ways.  How rare a token is, is counted by hash cells, sixteen for each token: a count is the same
+    for all holders of a token, so the order is one for all nodes, and a cell with a single holder is no shared token.
+    """
+    total = chunks.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0] // 8
+    bits = max(RANGE_BITS, (16 * max(1, total) - 1).bit_length())
+    parts = chunks.select("chunk", "tokens").mapInArrow(_counted(bits), "chunk long, range long, cells binary, counts binary")
+    n = min(1 << bits - RANGE_BITS, 4 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    told = parts.repartition(n, "range").sortWithinPartitions("range").mapInArrow(_added, "chunk long, range long, held binary")
+    told = told.groupBy("chunk").agg(F.collect_list(F.struct("range", "held")).alias("told"))  # a byte for each cell of the chunk
+    rare = stored(chunks.join(told, "chunk").select("tokens", "ways", "told").mapInArrow(_rarest(bits), "list long, rn long"))
+    least = rare.groupBy("list").agg(F.min("rn").alias("least"), F.max("rn").alias("most")).filter("least < most")
+    return stored(rare.join(least, "list").select(F.col("least").alias("list"), "rn").distinct())
 
 
-def _lists(nodes: DataFrame) -> DataFrame:
-    """``list, rn``: nodes that share one of their rarest tokens; of lists with the same members one is left."""
-    tokens = nodes.select("rn", F.inline("parts")).select("rn", "spare", F.explode("tokens").alias("token"))
-    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = tokens.join(held, "token")
-    # tokens of one node only are the rarest, so the shared ones are the last in the order
-    back = W.partitionBy("rn", F.col("token").bitwiseAND(3)).orderBy(F.desc("n"), F.desc("token"))
-    rare = stored(shared.withColumn("from_end", F.row_number().over(back)).filter("from_end > spare").select(F.col("token").alias("list"), "rn"))
-    mark = F.xxhash64("rn")
-    sums = rare.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 8)).alias("s")).filter("n > 1")
-    one = sums.groupBy("n", "x", "s").agg(F.min("list").alias("list")).select("list")
-    return stored(rare.join(one, "list"))
+def _bodies_of(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """``rn, body`` of the nodes that stand in a list.  A broadcast of at most 2**20 hash buckets keeps other texts out of the shuffle."""
+    bucket = F.pmod(F.xxhash64("rn"), F.lit(1 << 20)).alias("bucket")
+    ids = members.select("rn").distinct()
+    some = nodes.select("rn", "body", bucket).join(F.broadcast(ids.select(bucket).distinct()), "bucket", "left_semi")
+    return stored(some.join(ids, "rn", "left_semi").select("rn", "body"))
 
 
 def _dealt(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -233,15 +334,16 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(labels.join(roots, "label", "left").select("rn", F.coalesce("root", "label").alias("label")))
 
 
-def _labelled(nodes: DataFrame, rounds: int, block: int) -> DataFrame:
+def _labelled(nodes: DataFrame, chunks: DataFrame, rounds: int, block: int) -> DataFrame:
     """``rn, label`` of the nodes that stand in some list; equal labels are one component."""
-    members = _lists(nodes)
+    members = _lists(chunks)
+    nodes = _bodies_of(nodes, members)
     labels = stored(members.select("rn").distinct().withColumn("label", F.col("rn")))
     whole = lambda c: F.ceil(F.col(c) / block).cast("int")
     for turn in range(rounds):
         # every list's leader against the members of other classes; the leader has then met its list and leaves it
         state = members.join(labels, "rn")
-        lead = state.groupBy("list").agg(F.min_by(F.struct("rn", "label"), F.xxhash64("rn", F.lit(turn))).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        lead = state.groupBy("list").agg(F.min_by(F.struct("rn", "label"), F.xxhash64("rn", F.lit(turn)) if turn else F.col("rn")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         lead = stored(lead.filter("lo < hi").select("list", F.col("lead.rn").alias("lead"), F.col("lead.label").alias("lead_label")))
         open_ = stored(members.join(labels, "rn").join(lead, "list"))
         pairs = open_.filter("label <> lead_label").select("lead", "lead_label", "rn", "label").distinct()
@@ -286,7 +388,7 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(j, digest_size=16).digest() for j in joined], pa.binary()), pa.array([zlib.compress(j, 4) for j in joined], pa.binary())], names=["seq", "body"])
 
 
-def overlap_components(docs: DataFrame, keep: Sequence[str] | None = ("doc_id",), text: str = "text", doc_id: str = "doc_id", rounds: int = 2, block: int = BLOCK) -> DataFrame:
+def overlap_components(docs: DataFrame, keep: Sequence[str] | None = ("doc_id",), text: str = "text", doc_id: str = "doc_id", rounds: int = 1, block: int = BLOCK) -> DataFrame:
     """``doc`` (kept columns), ``n_shingles`` and ``component_id`` for every row.
 
     Words lie between white space, A-Z lower-cased.  A row's set holds its distinct runs of three words; of fewer words the
@@ -299,9 +401,10 @@ def overlap_components(docs: DataFrame, keep: Sequence[str] | None = ("doc_id",)
     base = reliable(rows.mapInArrow(_described, T.StructType([rows.schema["doc"], rows.schema["id"], T.StructField("seq", T.BinaryType())])))
     first = base.filter("seq is not null").groupBy("seq").agg(F.min("id").alias("id"))
     distinct = rows.select("t").mapInArrow(_bodies, "seq binary, body binary").groupBy("seq").agg(F.first("body").alias("body"))
-    signed = distinct.withColumn("rn", F.monotonically_increasing_id()).mapInArrow(_sign, "seq binary, rn long, body binary, size long, parts array<struct<spare:int,tokens:array<long>>>")
-    nodes = stored(signed)
-    labels = _labelled(nodes, rounds, block)
+    signed = distinct.withColumn("rn", F.monotonically_increasing_id()).mapInArrow(_sign, SIGNED)
+    signed = stored(signed.withColumn("chunk", F.monotonically_increasing_id()))
+    nodes = signed.filter("rn is not null").select("seq", "rn", "body", "size")
+    labels = _labelled(nodes, signed.filter("rn is null").select("chunk", "tokens", "ways"), rounds, block)
     known = nodes.select("seq", "rn", "size").join(first, "seq")
     classed = stored(known.join(labels, "rn", "left").select("seq", "size", "id", F.coalesce("label", "rn").alias("label")))
     heads = stored(classed.groupBy("label").agg(F.min("id").alias("component")))

@@ -75,6 +75,8 @@ def test_rounds_and_blocks_change_nothing(spark, write_tables, monkeypatch, larg
     docs = spark.read.parquet(write_tables(documents=documents(near_rows(8))) + "/documents.parquet")
     want = sorted(OJ.overlap_components(docs).select("doc.doc_id", "n_shingles", "component_id").collect())
     monkeypatch.setattr(OJ, "LARGE", large)
+    monkeypatch.setattr(OJ, "CHUNK_TOKENS", 500)
+    monkeypatch.setattr(OJ, "RANGE_BITS", 10)
     got = sorted(OJ.overlap_components(docs.repartition(7), rounds=rounds, block=block).select("doc.doc_id", "n_shingles", "component_id").collect())
     assert got == want
 
