@@ -3,7 +3,8 @@
 Rows are shuffled by a seeded hash within their source, ranked, and sorted by fractional rank
 ``(rank - 1/2) / rows of the source``; cutting that order evenly gives every shard the corpus mixture.
 
-Scale: no source and no order is ranked in one task.  The hash splits each source into cells of about
+Scale: no source is ranked in one task, nor is the order, but for rows of one fractional rank, which share a band: a corpus of
+very many sources with a row each is one band.  The hash splits each source into cells of about
 ``cell_rows`` rows, so a rank is the rows of the cells before (a running sum over cell counts) plus the place in the
 cell; the global order is cut into cells of fractional rank in the same way.  Only hashes, sizes and checksums are
 shuffled, never texts.

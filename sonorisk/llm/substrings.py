@@ -1,14 +1,15 @@
 """Removal of repeated word windows behind a count-min prefilter.
 
-A window of 50 words has an anchor: the least hash of its 10-word grams, which equal windows share.  Partitions sketch the
-anchors of their documents; the merged sketches overestimate in how many documents an anchor, and so a window, occurs.
-A second pass groups exactly, by a 128-bit hash of the words, only the windows whose anchor is estimated repeated.  An
+A window of 50 words has an anchor: the least hash of its 10-word grams, which equal windows share.  Chunks of documents fill
+a count-min sketch with their anchors; the sketches are cut into ranges of cells and added up, and each chunk learns which of
+its cells hold two or more.  The least of an anchor's cells overestimates in how many documents it, and so a window, occurs.
+A second pass groups exactly, by a 96-bit hash of the words, only the windows whose anchor is estimated repeated.  An
 estimate is never too low, so no repeated window is lost.
 
-Scale: equal texts are first reduced to one (with map-side combine), so copies are neither sketched nor grouped.  The sketch
-is cut into ranges of the hash; their number follows the corpus, each range is merged and asked in one task, and no part of
-it is broadcast.  A partition sends an anchor once, however many documents hold it, so a passage found everywhere brings a
-range one entry a partition.  Window groups are reduced to their least id before the rows meet them in a join that can split.
+Scale: equal texts are first reduced to one (with map-side combine), so copies are neither sketched nor grouped.  The sketch's
+width follows the corpus; a range of its cells is added up in one task, no part of it is broadcast, and only cells that are
+not zero travel.  A chunk counts an anchor once, however many documents hold it, so a passage found everywhere brings a
+range one entry a chunk.  Window groups are reduced to their least id before the rows meet them in a join that can split.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sonorisk.llm.common import nested, reliable, small
+from sonorisk.llm.common import nested, reliable, small, stored
 from sonorisk.llm.hashing import Powers, WordHashes, mixed, sliding_min
 
 WINDOW, GRAM = 50, 10
 DEPTH = 3
-RANGE_ANCHORS = 250_000
-TASK_ANCHORS = 300_000
+RANGE_BITS = 20
+CHUNK_ANCHORS = 300_000
 
 
 class Hasher:
@@ -48,22 +49,38 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class CountMin:
-    """``DEPTH`` rows of saturating counters; ``estimate`` is never below the number of times an anchor was added."""
+    """``DEPTH`` rows of 2**bits counters that stop at two, kept as the cells that are not zero and their counts."""
 
-    def __init__(self, anchors: int):
-        self.bits = max(10, (8 * max(1, anchors)).bit_length())
-        self.rows = np.zeros((DEPTH, 1 << self.bits), dtype=np.uint8)
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.cells = [np.zeros(0, dtype=np.int64)] * DEPTH
+        self.counts = [np.zeros(0, dtype=np.uint8)] * DEPTH
 
-    def _cells(self, h: np.ndarray) -> list[np.ndarray]:
+    def cells_of(self, h: np.ndarray) -> list[np.ndarray]:
         return [(mixed(h, r + 1) >> np.uint64(64 - self.bits)).astype(np.int64) for r in range(DEPTH)]
 
-    def merge(self, h: np.ndarray, n: np.ndarray) -> None:
-        for row, cells in zip(self.rows, self._cells(h), strict=True):
-            sums = np.bincount(cells, weights=n, minlength=0)
-            np.minimum(row[: len(sums)] + np.minimum(sums, 2).astype(np.uint8), 2, out=row[: len(sums)])
+    def add(self, h: np.ndarray, n: np.ndarray) -> None:
+        for r, cells in enumerate(self.cells_of(h)):
+            every = np.concatenate([self.cells[r], cells])
+            self.cells[r], back = np.unique(every, return_inverse=True)
+            sums = np.bincount(back, weights=np.concatenate([self.counts[r], n]), minlength=len(self.cells[r]))
+            self.counts[r] = np.minimum(sums, 2).astype(np.uint8)
 
-    def estimate(self, h: np.ndarray) -> np.ndarray:
-        return np.min([row[cells] for row, cells in zip(self.rows, self._cells(h), strict=True)], axis=0)
+    def parts(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(row, range, places in the range, counts) of the cells that are not zero."""
+        for r, (cells, counts) in enumerate(zip(self.cells, self.counts, strict=True)):
+            at = np.flatnonzero(np.diff(cells >> RANGE_BITS, prepend=-1))
+            for a, b in zip(at.tolist(), np.append(at, len(cells))[1:].tolist(), strict=True):
+                yield r, int(cells[a] >> RANGE_BITS), (cells[a:b] & ((1 << RANGE_BITS) - 1)).astype(np.uint32), counts[a:b]
+
+    def least(self, h: np.ndarray) -> np.ndarray:
+        """The estimate of each added hash: the least of its cells."""
+        return np.min([counts[np.searchsorted(own, cells)] for own, counts, cells in zip(self.cells, self.counts, self.cells_of(h), strict=True)], axis=0)
+
+
+def sketch_bits(anchors: int) -> int:
+    """Eight cells for each anchor in a row, and one range at least."""
+    return max(RANGE_BITS, (8 * max(1, anchors) - 1).bit_length())
 
 
 def _body_words(body: bytes) -> list[bytes]:
@@ -89,74 +106,89 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["seq", "id", "body"])
 
 
-def _flags(rn: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rn, pa.int64()), pa.array(h.view(np.int64), pa.int64()), pa.nulls(len(rn), pa.int32()), pa.nulls(len(rn), pa.binary())], names=["rn", "h", "range", "body"])
-
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of documents: its distinct anchors, (document, number of anchors), and the places of each document's."""
+    hasher, rns, anchors, size = Hasher(), [], [], 0
 
-def _sketches(ranges: int):
-    """Partition sketches: each distinct anchor with its document and count 1, or none and count 2 if several hold it.
-
-    Anchors that several documents of the partition hold are known to repeat and flagged at once.
-    """
+    def flush():
+        h, back = np.unique(np.concatenate(anchors), return_inverse=True)
+        columns = (h.view(np.int64), np.array(rns, dtype=np.int64), back.astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["anchors", "owners", "held"])
 
+    for b in small(batches):
+        for rn, body in zip(b.column("rn").to_pylist(), b.column("body").to_pylist(), strict=True):
+            found = np.unique(hasher.anchors(hasher.words.of(_body_words(body))))
+            rns.append((rn, len(found)))
+            anchors.append(found)
+            size += len(found)
+            if size >= CHUNK_ANCHORS:
+                yield flush()
+                rns, anchors, size = [], [], 0
+    if size:
+        yield flush()
+
+
+def _chunk_sketch(anchors: bytes, held: bytes, bits: int) -> tuple[CountMin, np.ndarray, np.ndarray]:
+    """The count-min sketch of a chunk, from how many of its documents hold each anchor."""
+    h, at = np.frombuffer(anchors, dtype=np.int64).view(np.uint64), np.frombuffer(held, dtype=np.int32)
+    sketch = CountMin(bits)
+    sketch.add(h, np.bincount(at, minlength=len(h)))
+    return sketch, h, at
+
+
+def _sketches(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, rns, anchors, size = Hasher(), [], [], 0
-
-        def flush():
-            rn, h = np.concatenate(rns), np.concatenate(anchors)
-            h, back, count = np.unique(h, return_inverse=True, return_counts=True)
-            many = count[back] > 1
-            if many.any():
-                yield _flags(rn[many], h[back[many]])
-            owner = np.full(len(h), -1, dtype=np.int64)
-            owner[back[~many]] = rn[~many]
-            where = (h % np.uint64(ranges)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            cuts = np.searchsorted(where[order], np.arange(ranges + 1))
-            used = [r for r in range(ranges) if cuts[r] < cuts[r + 1]]
-            body = [np.concatenate([h[x].view(np.int64), owner[x]]).tobytes() for x in (order[cuts[r] : cuts[r + 1]] for r in used)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(body, pa.binary())], names=["rn", "h", "range", "body"])
-
-        for b in small(batches):
-            for rn, body in zip(b.column("rn").to_pylist(), b.column("body").to_pylist(), strict=True):
-                found = np.unique(hasher.anchors(hasher.words.of(_body_words(body))))
-                rns.append(np.full(len(found), rn, dtype=np.int64))
-                anchors.append(found)
-                size += len(found)
-                if size >= TASK_ANCHORS:
-                    yield from flush()
-                    rns, anchors, size = [], [], 0
-        if size:
-            yield from flush()
+        for b in small(batches, 1):
+            for chunk, anchors, held in zip(*(b.column(c).to_pylist() for c in ("chunk", "anchors", "held")), strict=True):
+                parts = list(_chunk_sketch(anchors, held, bits)[0].parts())
+                columns = ([chunk] * len(parts), [p[0] for p in parts], [p[1] for p in parts], [p[2].tobytes() for p in parts], [p[3].tobytes() for p in parts])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["chunk", "line", "range", "cells", "counts"])
 
     return run
 
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the sketches of a range, then flag the anchors estimated in two documents or more."""
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add up a range of the chunks' sketches; tell each chunk which of its cells hold two or more."""
+    current, parts = None, []
 
-    def answer(bodies: list[bytes]) -> pa.RecordBatch:
-        parts = [np.frombuffer(x, dtype=np.int64).reshape(2, -1) for x in bodies]
-        sketch = CountMin(sum(p.shape[1] for p in parts))
-        for p in parts:
-            sketch.merge(p[0].view(np.uint64), np.where(p[1] < 0, 2, 1))
-        rn, h = [], []
-        for p in parts:
-            hit = (p[1] >= 0) & (sketch.estimate(p[0].view(np.uint64)) > 1)
-            rn.append(p[1][hit])
-            h.append(p[0][hit])
-        return _flags(np.concatenate(rn), np.concatenate(h).view(np.uint64)).select(["rn", "h"])
+    def flush():
+        total = np.zeros(1 << RANGE_BITS, dtype=np.uint8)
+        for _, cells, counts in parts:
+            at = np.frombuffer(cells, dtype=np.uint32)  # no cell twice in a part
+            total[at] = np.minimum(total[at] + np.frombuffer(counts, dtype=np.uint8), 2)
+        bits = [np.packbits(total[np.frombuffer(cells, dtype=np.uint32)] > 1).tobytes() for _, cells, _ in parts]
+        n = len(parts)
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([current[0]] * n, pa.int32()), pa.array([current[1]] * n, pa.int64()), pa.array(bits, pa.binary())], names=["chunk", "line", "range", "many"])
 
-    current, bodies = None, []
     for b in small(batches):
-        for r, body in zip(b.column("range").to_pylist(), b.column("body").to_pylist(), strict=True):
-            if r != current and bodies:
-                yield answer(bodies)
-                bodies = []
-            current = r
-            bodies.append(body)
-    if bodies:
-        yield answer(bodies)
+        for place, *part in zip(zip(*(b.column(c).to_pylist() for c in ("line", "range")), strict=True), *(b.column(c).to_pylist() for c in ("chunk", "cells", "counts")), strict=True):
+            if place != current:
+                if parts:
+                    yield flush()
+                current, parts = place, []
+            parts.append(part)
+    if parts:
+        yield flush()
+
+
+def _flags(bits: int):
+    """Anchors of a chunk's documents that the added sketches estimate in two documents or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, 1):
+            for anchors, owners, held, answers in zip(*(b.column(c).to_pylist() for c in ("anchors", "owners", "held", "answers")), strict=True):
+                sketch, h, at = _chunk_sketch(anchors, held, bits)
+                known = {(a["line"], a["range"]): a["many"] for a in answers}
+                lines = [[] for _ in range(DEPTH)]
+                for r, k, cells, _ in sketch.parts():
+                    lines[r].append(np.unpackbits(np.frombuffer(known[r, k], dtype=np.uint8), count=len(cells)))
+                sketch.counts = [1 + np.concatenate(x) for x in lines]
+                many = sketch.least(h) > 1
+                rn = np.repeat(*np.frombuffer(owners, dtype=np.int64).reshape(-1, 2).T)
+                yield pa.RecordBatch.from_arrays([pa.array(rn[many[at]], pa.int64()), pa.array(h[at[many[at]]].view(np.int64), pa.int64())], names=["rn", "h"])
+
+    return run
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +200,10 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = hasher.words.of(_body_words(body))
             pos = np.flatnonzero(np.isin(hasher.anchors(h), np.array(flags, dtype=np.int64).view(np.uint64)))
             one, two = hasher.windows(h)
-            for c, v in zip(cols, (one[pos].view(np.int64), two[pos].view(np.int64), np.full(len(pos), i), np.full(len(pos), rn), pos), strict=True):
+            for c, v in zip(cols, (one[pos].view(np.int64), (two[pos] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(pos), i), np.full(len(pos), rn), pos), strict=True):
                 c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols[:4]] + [pa.array(np.concatenate(cols[4]), pa.int32())], names=["h1", "h2", "id", "rn", "pos"])
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, kind in zip(cols, kinds, strict=True)], names=["h1", "h2", "id", "rn", "pos"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,13 +234,17 @@ def remove_repeats(docs: DataFrame, keep: Sequence[str] | None = ("doc_id",), te
     copies = rows.filter("id is not null").select("id", "t").mapInArrow(_bodies, "seq binary, id long, body binary")
     reps = reliable(copies.groupBy("seq").agg(F.min("id").alias("id"), F.min_by("body", "id").alias("body")).withColumn("rn", F.monotonically_increasing_id()))
 
-    total = base.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    ranges = max(1, -(-2 * total // (WINDOW - GRAM + 2) // RANGE_ANCHORS))
-    sketches = reliable(reps.select("rn", "body").mapInArrow(_sketches(ranges), "rn long, h long, range int, body binary"))
-    asked = sketches.filter("range is not null").select("range", "body").repartition(min(ranges, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "range").sortWithinPartitions("range").mapInArrow(_ask, "rn long, h long")
-    flags = sketches.filter("range is null").select("rn", "h").unionByName(asked).groupBy("rn").agg(F.collect_list("h").alias("flags"))
+    chunks = stored(reps.select("rn", "body").mapInArrow(_chunks, "anchors binary, owners binary, held binary").withColumn("chunk", F.monotonically_increasing_id()))
+    total = chunks.agg(F.coalesce(F.sum(F.octet_length("anchors")), F.lit(0))).first()[0] // 8
+    bits = sketch_bits(total)
+    parts = chunks.select("chunk", "anchors", "held").mapInArrow(_sketches(bits), "chunk long, line int, range long, cells binary, counts binary")
+    n = min(DEPTH << bits - RANGE_BITS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    answers = parts.repartition(n, "line", "range").sortWithinPartitions("line", "range").mapInArrow(_merged, "chunk long, line int, range long, many binary")
+    told = answers.groupBy("chunk").agg(F.collect_list(F.struct("line", "range", "many")).alias("answers"))  # a bit for each cell of the chunk
+    found = chunks.join(told, "chunk").select("anchors", "owners", "held", "answers").mapInArrow(_flags(bits), "rn long, h long")
+    flags = found.groupBy("rn").agg(F.collect_list("h").alias("flags"))
     flagged = reliable(reps.select("rn", "id", "body").join(flags, "rn"))
-    windows = flagged.mapInArrow(_windows, "h1 long, h2 long, id long, rn long, pos int")
+    windows = flagged.mapInArrow(_windows, "h1 long, h2 int, id long, rn long, pos int")
     owners = reliable(windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h1", "h2", "first"))
     starts = windows.join(owners, ["h1", "h2"]).filter("id > first").groupBy("rn").agg(F.collect_list("pos").alias("starts"))
     cuts = flagged.select("rn", "body").join(starts, "rn").mapInArrow(_cut, "rn long, cut_words long, cut_sha string")

@@ -260,17 +260,32 @@ def test_registers_estimate_probability_jaccard():
     assert abs((s[0] == s[1]).mean() - exact) < 0.04
 
 
-def test_count_min_never_underestimates():
-    from sonorisk.llm.substrings import CountMin
+def test_added_sketches_never_underestimate():
+    import pyarrow as pa
+
+    from sonorisk.llm import substrings as SB
 
     rng = np.random.default_rng(2)
-    parts = [rng.integers(0, 5000, 2000, dtype=np.uint64) for _ in range(3)]
-    sketch = CountMin(100)
-    for p in parts:
-        v, n = np.unique(p, return_counts=True)
-        sketch.merge(v, n)
-    v, n = np.unique(np.concatenate(parts), return_counts=True)
-    assert (sketch.estimate(v) >= np.minimum(n, 2)).all()
+    chunks = [rng.choice(rng.integers(0, 1 << 63, 6000, dtype=np.uint64), 900, replace=False) for _ in range(2)]
+    chunks.append(np.concatenate([chunks[0][:300], rng.integers(0, 1 << 63, 400, dtype=np.uint64)]))
+    bits = SB.sketch_bits(3000)
+    table = []
+    for k, h in enumerate(chunks):
+        sketch = SB.CountMin(bits)
+        sketch.add(h[:500], np.ones(500))
+        sketch.add(h[500:], np.ones(len(h) - 500))
+        table += [(k, r, p, cells.tobytes(), counts.tobytes()) for r, p, cells, counts in sketch.parts()]
+    table.sort(key=lambda x: x[1:3])
+    names = ["chunk", "line", "range", "cells", "counts"]
+    batch = pa.RecordBatch.from_pydict({n: [row[j] for row in table] for j, n in enumerate(names)})
+    told = [row for b in SB._merged(iter([batch])) for row in b.to_pylist()]
+    n = {v: c for v, c in zip(*np.unique(np.concatenate(chunks), return_counts=True), strict=True)}
+    for k, h in enumerate(chunks):
+        h = np.unique(h)
+        one = pa.RecordBatch.from_pydict({"anchors": [h.view(np.int64).tobytes()], "owners": [np.array([(9, len(h))]).tobytes()], "held": [np.arange(len(h), dtype=np.int32).tobytes()], "answers": [[x for x in told if x["chunk"] == k]]})
+        flagged = {x["h"] for b in SB._flags(bits)(iter([one])) for x in b.to_pylist()}
+        want = {int(np.uint64(v).view(np.int64)) for v in h if n[v] > 1}
+        assert want <= flagged and len(flagged - want) < 30
 
 
 # ---- token ids
