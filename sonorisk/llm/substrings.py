@@ -102,7 +102,7 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, t in zip(b.column("id").to_pylist(), b.column("t").to_pylist(), strict=True):
             joined = b" ".join(words_of(t))
             if joined.count(b" ") + 1 >= WINDOW:
-                rows.append((hashlib.blake2b(joined, digest_size=16).digest(), i, zlib.compress(joined, 4)))
+                rows.append((hashlib.blake2b(joined, digest_size=16).digest(), i, zlib.compress(joined, 7)))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["seq", "id", "body"])
 
 
