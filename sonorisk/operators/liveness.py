@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from sonorisk.scale import small_slices
+
 _TOKEN = re.compile(r"[\wऀ-෿]+")
 
 
@@ -15,13 +18,15 @@ def normalise(text: str | None) -> list[str]:
     return _TOKEN.findall(unicodedata.normalize("NFC", (text or "").lower()))
 
 
-def _normalise_batch(s: pd.Series) -> pd.Series:
-    return s.map(normalise)
+def _normalise_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        for (some,) in small_slices([texts]):
+            yield pa.array([normalise(t) for t in some.to_pylist()], pa.list_(pa.string()))
 
 
 def normalised_tokens(text: Column) -> Column:
     """NFC lower-case tokens (Spark has no Unicode normalisation)."""
-    return F.pandas_udf(_normalise_batch, T.ArrayType(T.StringType()))(text)
+    return F.arrow_udf(_normalise_batches, T.ArrayType(T.StringType()))(text)
 
 
 def ordered_match(expected: list[list[str]], words: list[str]) -> float:
@@ -37,13 +42,16 @@ def ordered_match(expected: list[list[str]], words: list[str]) -> float:
     return row[-1] / max(len(expected), 1)
 
 
-def _match_batch(expected: pd.Series, words: pd.Series) -> pd.Series:
-    return pd.Series([ordered_match([list(f) for f in e], list(w)) if len(w) else 0.0 for e, w in zip(expected, words, strict=True)])
+def _match_batches(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for columns in batches:
+        for expected, words in small_slices(columns):
+            pairs = zip(expected.to_pylist(), words.to_pylist(), strict=True)
+            yield pa.array([ordered_match(e, w) if len(w) else 0.0 for e, w in pairs], pa.float64())
 
 
 def challenge_match(expected: Column, words: Column) -> Column:
     """expected: array<array<string>> of accepted forms in order; words: normalised tokens."""
-    return F.pandas_udf(_match_batch, T.DoubleType())(expected, words)
+    return F.arrow_udf(_match_batches, T.DoubleType())(expected, words)
 
 
 def timing(starts: Column, ends: Column) -> dict[str, Column]:
