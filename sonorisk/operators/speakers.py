@@ -20,6 +20,7 @@ from sonorisk.functions.arrays import as_double, cosine, dot, norm, subtract
 from sonorisk.scale import materialize, small_or_plain
 
 BLOCK_ROWS = 4096
+PRODUCTS = 1 << 20  # scores that a task holds at once
 
 
 def mean_vectors(df: DataFrame, keys: Sequence[str], vec: str, unit: bool = False) -> DataFrame:
@@ -45,7 +46,8 @@ def block_product(left: DataFrame, right: DataFrame, reduce, schema: str, extra:
 
     left: (id, grp, vec, extra); right: (id, grp, vec).  A grid of blocks is dealt by one shuffle: a left row goes to every
     right block of its group, a right row to every left block.  A task keeps the right block (some ``BLOCK_ROWS`` vectors) and
-    streams the left rows past it; no vector reaches the driver, however many there are.
+    streams the left rows past it, as many at a time as give ``PRODUCTS`` scores; no vector reaches the driver, however
+    many there are.
     """
     spark = left.sparkSession
     across = max(1, -(-right.count() // BLOCK_ROWS))
@@ -76,8 +78,10 @@ def _products(reduce, place: list[str], extra: list[str]):
                 left = rows[rows["_side"] == 1]
                 if len(left) and ids:
                     ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
-                    left = left[["id", "grp", "vec", *extra]]
-                    yield reduce(key[0], left, np.stack(left["vec"].to_numpy()).astype(float), ids[0], vectors[0])
+                    left, step = left[["id", "grp", "vec", *extra]], max(1, PRODUCTS // len(ids[0]))
+                    for start in range(0, len(left), step):
+                        part = left.iloc[start : start + step]
+                        yield reduce(key[0], part, np.stack(part["vec"].to_numpy()).astype(float), ids[0], vectors[0])
 
     return run
 
