@@ -10,12 +10,15 @@ score > t.  ``frr`` = bona fide at or under t, ``far`` = spoof above t.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
 from sonorisk.functions.math import histogram_bin
-from sonorisk.scale import prefix_sums, small_or_plain
+from sonorisk.scale import materialize, prefix_sums, range_parts, small_or_plain
 
 
 def class_counts(df: DataFrame, slices: Sequence[str], score: str, classes: dict[str, Column]) -> DataFrame:
@@ -81,7 +84,6 @@ def curve_metrics(
     c_miss, c_fa, pi = dcf
     frr, far = F.col("frr"), F.col("far")
     both = frr.isNotNull() & far.isNotNull()
-    norm = min(c_miss * (1 - pi), c_fa * pi)
     cost = c_miss * (1 - pi) * frr + c_fa * pi * far
     wins = F.col("n_bona") * ((F.col("c_spoof") - F.col("n_spoof")) + F.col("n_spoof") / 2.0)
     g = curve.groupBy(*slices).agg(
@@ -93,6 +95,13 @@ def curve_metrics(
         F.sum(wins).alias("_wins"),
         F.sum(F.when(both, _area(max_fpr))).alias("_area"),
     )
+    return _read_off(g, slices, dcf, max_fpr)
+
+
+def _read_off(g: DataFrame, slices: Sequence[str], dcf: tuple[float, float, float], max_fpr: float) -> DataFrame:
+    """The metrics from a slice's best point, first score, least cost, wins and area."""
+    c_miss, c_fa, pi = dcf
+    norm = min(c_miss * (1 - pi), c_fa * pi)
     start = F.when(F.col("_first").isNotNull(), _point(F.lit(1.0), F.col("_first") - 1e-9, F.lit(0.5)))
     best = F.least(F.col("_best"), start)
     return g.select(
@@ -107,6 +116,134 @@ def curve_metrics(
     )
 
 
+MAX_SETS = 1 << 17  # sets of slices that are sent to every executor
+
+
+def sliced_metrics(df: DataFrame, sets: str, score: str = "score", label: str = "label", dcf: tuple[float, float, float] = (1.0, 10.0, 0.05), max_fpr: float = 0.01) -> DataFrame:
+    """``curve_metrics`` of every slice that a trial's array ``sets`` names, by the slice's ``slice_id``; one-class slices are left out.
+
+    No trial is copied per slice on its way: counts per (score, set of slices) are dealt by ranges of scores, and each task
+    streams its range in order, adding the counts to all slices at once.  The totals of earlier ranges are where a slice starts.
+    """
+    ids = F.transform(sets, slice_id)
+    s = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score)))
+    known = materialize(s.select(sets).distinct().select(F.xxhash64(sets).alias("_set"), _packed(ids).alias("_ids")))
+    few = known.count() <= MAX_SETS
+    tag = F.xxhash64(sets).alias("_set") if few else _packed(ids).alias("_ids")
+    n = lambda c: F.sum((F.col(label) == c).cast("long"))
+    counts = s.groupBy(F.col(score).cast("double").alias("score"), tag).agg(n("bona_fide").alias("n_bona"), n("spoof").alias("n_spoof"))
+    named_none = F.col("_set") == F.xxhash64(F.array()) if few else F.length("_ids") == 0
+    ranged = range_parts(counts, ["score"]).filter(~named_none)  # here, for the optimizer would build every trial's array twice for it
+    named = lambda d: d.join(F.broadcast(known), "_set") if few else d
+    each = F.explode(F.sequence(F.lit(0), (F.length("_ids") / 8).cast("int") - 1)).alias("_at")
+    # one row per part and set first where sets are few, so that few rows are repeated per slice
+    sums = ranged.groupBy("_part", "_set").agg(F.sum("n_bona").alias("n_bona"), F.sum("n_spoof").alias("n_spoof")) if few else ranged
+    parts = named(sums).select("*", each).select("_part", F.conv(F.hex(F.substring("_ids", F.col("_at") * 8 + 1, F.lit(8))), 16, -10).cast("long").alias("_id"), "n_bona", "n_spoof").groupBy("_part", "_id").agg(F.sum("n_bona").alias("b"), F.sum("n_spoof").alias("s"))
+    whole, before = W.partitionBy("_id"), W.partitionBy("_id").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = materialize(parts.select(
+        "_part", F.col("_id").alias("id"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"c_{c}") for c in "bs"], *[F.sum(c).over(whole).alias(f"t_{c}") for c in "bs"],
+    ))
+    five = F.array_sort(F.collect_list(F.struct("id", "c_b", "c_s", "t_b", "t_s")))
+    lists = starts.groupBy("_part").agg(_packed(F.flatten(F.transform(five, lambda x: F.array(*[x[c] for c in ("id", "c_b", "c_s", "t_b", "t_s")])))).alias("_starts")).withColumn("_head", F.lit(True))
+    head = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # the first row of a part brings the starts
+    rows = named(ranged.sortWithinPartitions("score").withColumn("_head", head).join(F.broadcast(lists), ["_part", "_head"], "left")).select("score", "n_bona", "n_spoof", "_ids", "_starts")
+    found = rows.mapInArrow(_stream_slices(dcf, max_fpr), "_id long, gap double, thr double, value double, first double, dcf double, wins double, area double")
+    totals = starts.groupBy(F.col("id").alias("_id")).agg(F.max("t_b").alias("n_bona"), F.max("t_s").alias("n_spoof"))
+    g = found.groupBy("_id").agg(
+        F.min(F.struct("gap", "thr", "value")).alias("_best"), F.min("first").alias("_first"), F.min("dcf").alias("_dcf"), F.sum("wins").alias("_wins"), F.sum("area").alias("_area")
+    )
+    return _read_off(g.join(totals, "_id"), ["_id"], dcf, max_fpr)
+
+
+def _packed(longs: Column) -> Column:
+    """An array of longs as bytes: Spark looks at the size of every nested column of a batch after each row that it sends."""
+    return F.unhex(F.array_join(F.transform(longs, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+
+
+def slice_id(key: Column) -> Column:
+    return F.xxhash64(key)
+
+
+def _stream_slices(dcf: tuple[float, float, float], max_fpr: float):
+    c_miss, c_fa, pi = dcf
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices, held = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = dict(zip(batch.schema.names, batch.columns, strict=True))
+            if slices is None:  # the first row of the part
+                at = np.frombuffer(c["_starts"][0].as_py(), ">i8").astype(np.int64).reshape(-1, 5).T
+                slices = _Slices(*at, c_miss * (1 - pi), c_fa * pi, max_fpr)
+            now = [c[k].to_numpy(zero_copy_only=False) for k in ("score", "n_bona", "n_spoof")]
+            ids = c["_ids"].to_pylist()
+            now += [np.fromiter(map(len, ids), np.int64, len(ids)) // 8, np.frombuffer(b"".join(ids), ">i8").astype(np.int64)]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            k = int(np.searchsorted(held[0], held[0][-1]))  # rows of the last score wait for the rest of it
+            if k:
+                cut = int(held[3][:k].sum())
+                slices.add(*[x[:k] for x in held[:4]], held[4][:cut])
+                held = [*[x[k:] for x in held[:4]], held[4][cut:]]
+        if slices is not None:
+            slices.add(*held)
+            yield from slices.rows()
+
+    return run
+
+
+class _Slices:
+    """Running counts and best points of all slices while scores go by in order."""
+
+    def __init__(self, ids, c_b, c_s, t_b, t_s, w_miss: float, w_fa: float, limit: float):
+        self.ids, self.c_b, self.c_s, self.t_b, self.t_s = ids, c_b.copy(), c_s.copy(), t_b, t_s
+        self.w_miss, self.w_fa, self.limit = w_miss, w_fa, limit
+        n = len(ids)
+        self.gap, self.thr, self.value, self.first, self.dcf = (np.full(n, np.inf) for _ in range(5))
+        self.wins, self.area, self.seen = np.zeros(n), np.zeros(n), np.zeros(n, bool)
+
+    def add(self, score, n_bona, n_spoof, sizes, flat) -> None:
+        s, row = np.searchsorted(self.ids, flat), np.repeat(np.arange(len(score)), sizes)
+        both = ((self.t_b > 0) & (self.t_s > 0))[s]
+        s, row = s[both], row[both]
+        if not len(s):
+            return
+        order = np.argsort(s, kind="stable")
+        s, row = s[order], row[order]
+        x = score[row]
+        at = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (x[1:] != x[:-1])])
+        b, q, s, x = np.add.reduceat(n_bona[row], at), np.add.reduceat(n_spoof[row], at), s[at], x[at]
+        at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        here, sizes = s[at], np.diff(np.r_[at, len(s)])
+
+        def running(n, start):
+            c = np.cumsum(n)
+            return c + np.repeat(start[here] - (c[at] - n[at]), sizes)
+
+        c_b, c_s, t_b, t_s = running(b, self.c_b), running(q, self.c_s), self.t_b[s].astype(float), self.t_s[s].astype(float)
+        frr, far, frr0, far0 = c_b / t_b, 1 - c_s / t_s, (c_b - b) / t_b, 1 - (c_s - q) / t_s
+        gap = np.floor(np.abs(frr - far) * 1e12 + 0.5) / 1e12
+        best = np.minimum.reduceat(gap, at)
+        hit = np.flatnonzero(gap == np.repeat(best, sizes))
+        hit = hit[np.r_[True, s[hit][1:] != s[hit][:-1]]]  # the least score of a slice's smallest gap
+        closer = best < self.gap[here]
+        k, h = here[closer], hit[closer]
+        self.gap[k], self.thr[k], self.value[k] = best[closer], x[h], (frr[h] + far[h]) / 2
+        self.first[here] = np.minimum(self.first[here], x[at])
+        self.dcf[here] = np.minimum(self.dcf[here], np.minimum.reduceat(self.w_miss * frr + self.w_fa * far, at))
+        self.wins[here] += np.add.reduceat(b * ((c_s - q) + q / 2.0), at)
+        m, y0, y1, dx = self.limit, 1 - far0, 1 - far, frr - frr0
+        cut = y0 + (y1 - y0) * (m - frr0) / np.where(dx == 0, 1, dx)
+        self.area[here] += np.add.reduceat(np.where(frr <= m, dx * (y0 + y1) / 2, np.where(frr0 < m, (m - frr0) * (y0 + cut) / 2, 0.0)), at)
+        ends = at + sizes - 1
+        self.c_b[here], self.c_s[here], self.seen[here] = c_b[ends], c_s[ends], True
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.seen.any():
+            cols = (self.ids, self.gap, self.thr, self.value, self.first, self.dcf, self.wins, self.area)
+            yield pa.RecordBatch.from_arrays([pa.array(c[self.seen]) for c in cols], names=["_id", "gap", "thr", "value", "first", "dcf", "wins", "area"])
+
+
 def _area(max_fpr: float) -> Column:
     """Trapezoid of one step of the curve up to ``max_fpr``, interpolated where the step crosses it."""
     x0, x1 = F.col("frr0"), F.col("frr")

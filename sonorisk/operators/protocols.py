@@ -1,8 +1,8 @@
 """Evaluation protocols: slices of a score table summarised from one shared curve pass.
 
-Each trial is expanded to its (protocol, slice) keys, reduced to counts per distinct score, and
-every metric of every slice is read off the same running sums.  A trial carries a handful of keys,
-so the expansion is a constant factor in front of a map-side combined aggregate.
+Each trial carries the array of its (protocol, slice) keys, trials are reduced to counts per distinct score and array,
+and every metric of every slice is read off one pass over the counts in score order.  Rows are repeated per key only in
+front of a map-side combined aggregate of few groups.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sonorisk.functions.math import histogram_bin, snr_bin
-from sonorisk.operators.curves import curve_metrics, detection_curve
+from sonorisk.operators.curves import slice_id, sliced_metrics
 from sonorisk.scale import small_or_plain, spread
 
 MIN_TRIALS = 30  # fixed value
 KEYS = ["protocol", "slice"]
+SLICES = "_slices"  # array of a trial's keys
 
 
 def slice_key(protocol: str, value: Column) -> Column:
@@ -36,17 +37,18 @@ def snr_slice(col: str = "snr_db") -> Column:
     return slice_key("snr", snr_bin(F.col(col)))
 
 
-def explode_slices(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
-    """One row per trial and slice key; NULL keys are left out."""
-    arr = F.filter(F.array(*keys), lambda k: k.isNotNull())
-    return spread(df).withColumn("_k", F.explode(arr)).select("*", "_k.protocol", "_k.slice").drop("_k")
+def with_slices(df: DataFrame, keys: Sequence[Column], more: Sequence[Column] = ()) -> DataFrame:
+    """The trials with the array of their slice keys; NULL keys are left out.  ``more``: arrays of keys to add."""
+    arr = F.filter(F.array(*keys), lambda k: k.isNotNull()) if keys else None
+    arrays = [*([arr] if keys else []), *more]
+    return spread(df).withColumn(SLICES, F.concat(*arrays) if len(arrays) > 1 else arrays[0])
 
 
-def explode_shared_bona(df: DataFrame, col: str, protocol: str, families: Sequence[str], seen: Sequence[str] | None = None) -> DataFrame:
-    """Slices for an attribute only spoofs carry: every family against the whole bona fide pool.
+def shared_bona_slices(col: str, protocol: str, families: Sequence[str], seen: Sequence[str] | None = None) -> Column:
+    """Slice keys for an attribute only spoofs carry: every family against the whole bona fide pool.
 
-    The family list is registry-sized (the generators known to a run), so repeating the bona
-    fide rows per family happens before the count aggregate and shrinks to counts on the map side.
+    The family list is registry-sized (the generators known to a run), and a trial carries its keys as one array, so the bona
+    fide rows are not repeated per family.
     """
     fam = F.col(col)
     spoof = F.col("label") == "spoof"
@@ -57,9 +59,8 @@ def explode_shared_bona(df: DataFrame, col: str, protocol: str, families: Sequen
         pool = F.when(F.coalesce(known, F.lit(False)), "ALL_SEEN").otherwise("ALL_UNSEEN")
         spoof_keys.append(slice_key(protocol, pool))
         bona_keys += [slice_key(protocol, F.lit(p)) for p in ("ALL_SEEN", "ALL_UNSEEN")]
-    keys = F.when(spoof, F.filter(F.array(*spoof_keys), lambda k: k.isNotNull())).otherwise(F.array(*bona_keys))
-    out = spread(df).withColumn("_k", F.explode(keys)).select("*", "_k.protocol", "_k.slice").drop("_k")
-    return out
+    none = F.array().cast("array<struct<protocol:string,slice:string>>")
+    return F.when(spoof, F.filter(F.array(*spoof_keys), lambda k: k.isNotNull())).otherwise(F.array(*bona_keys) if bona_keys else none)
 
 
 def family_list(df: DataFrame, col: str, limit: int = 10_000) -> list[str]:
@@ -73,14 +74,18 @@ def family_list(df: DataFrame, col: str, limit: int = 10_000) -> list[str]:
 def summarize(trials: DataFrame, keys: Sequence[str] = KEYS, p_col: str | None = "p_spoof", bins: int = 15) -> DataFrame:
     """Counts, coverage and all curve metrics per slice; one-class slices keep NULL metrics.
 
-    Coverage is scored trials over all trials, next to every error rate.
+    Coverage is scored trials over all trials, next to every error rate.  Trials bring their keys as the array of
+    ``with_slices`` or as columns.
     """
     keys = list(keys)
+    if SLICES not in trials.columns:
+        trials = trials.withColumn(SLICES, F.array(F.struct(*keys)))
     scored = F.col("score").isNotNull() & ~F.isnan("score")
     p = F.col(p_col) if p_col is not None else F.lit(None).cast("double")
     p = F.when(~F.isnan(p), p)
     # counts per calibration bin first: one pass over the trials gives counts, coverage and ECE
-    b = trials.groupBy(*keys, histogram_bin(p, bins).alias("_bin")).agg(
+    each = trials.withColumn("_k", F.explode(SLICES))
+    b = each.groupBy(*[F.col("_k")[k].alias(k) for k in keys], histogram_bin(p, bins).alias("_bin")).agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum(scored.cast("long")).alias("_scored"),
         F.sum((scored & (F.col("label") == "bona_fide")).cast("long")).alias("_b"),
@@ -96,8 +101,8 @@ def summarize(trials: DataFrame, keys: Sequence[str] = KEYS, p_col: str | None =
         (F.sum("_scored") / F.sum("_n")).alias("coverage"),
         (F.sum(F.when(has_p, F.abs(F.col("_p") - F.col("_y")))) / F.sum(F.when(has_p, F.col("_n")))).alias("ece"),
     )
-    m = curve_metrics(detection_curve(trials, keys), keys).drop("n_bona", "n_spoof")
-    out = base.join(m, keys, "left").withColumn("ece", F.when(F.col("eer").isNotNull(), F.col("ece")))
+    m = sliced_metrics(trials, SLICES).drop("n_bona", "n_spoof")
+    out = base.withColumn("_id", slice_id(F.struct(*keys))).join(m, "_id", "left").drop("_id").withColumn("ece", F.when(F.col("eer").isNotNull(), F.col("ece")))
     return out.withColumns(
         {
             "low_n": F.least("n_bona", "n_spoof") < MIN_TRIALS,

@@ -166,9 +166,9 @@ summary_cte("rb", "SELECT 'language' AS protocol, coalesce(language, 'unknown')
 
 def two_runs(spark, sf):
     s = scores(spark, sf)
-    a = P.summarize(P.explode_slices(s, [P.group_slice("language", "language")]))
+    a = P.summarize(P.with_slices(s, [P.group_slice("language", "language")]))
     t = s.filter("language is null or language <> 'l3'").withColumn("score", -F.col("p_spoof"))
-    return a, P.summarize(P.explode_slices(t, [P.group_slice("language", "language")]))
+    return a, P.summarize(P.with_slices(t, [P.group_slice("language", "language")]))
 
 
 @query("JON21", sql("SELECT slice, round(a.eer, 6) AS eer_before, round(b.eer, 6) AS eer_after, round(b.eer - a.eer, 6) + 0.0 AS delta, coalesce(b.eer - a.eer > 0.001, false) AS regression FROM ra_s a FULL JOIN rb_s b USING (slice)", "ra_s", "rb_s"))

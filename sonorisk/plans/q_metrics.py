@@ -259,7 +259,7 @@ summary_cte("ov", f"SELECT 'overall' AS protocol, 'all' AS slice, {BASE} UNION A
 @query("AGG18", sql(_summary_select() + "ov_s", "ov_s"))
 def agg18(spark, sf):
     one = F.when(F.col("label") == "spoof", P.slice_key("empty", F.lit("one_class")))
-    return _out(P.summarize(P.explode_slices(scores(spark, sf), [P.overall_slice(), one])))
+    return _out(P.summarize(P.with_slices(scores(spark, sf), [P.overall_slice(), one])))
 
 
 FAM = "SELECT DISTINCT attack_family AS f FROM scores WHERE attack_family IS NOT NULL"
@@ -275,8 +275,7 @@ summary_cte(
 def agg19(spark, sf):
     s = scores(spark, sf)
     fams = P.family_list(s, "attack_family")
-    t = P.explode_slices(s, [P.group_slice("language", "language")])
-    return _out(P.summarize(t.unionByName(P.explode_shared_bona(s, "attack_family", "family", fams))))
+    return _out(P.summarize(P.with_slices(s, [P.group_slice("language", "language")], [P.shared_bona_slices("attack_family", "family", fams)])))
 
 
 SEEN = ["fam0", "fam1"]
@@ -291,7 +290,7 @@ summary_cte(
 @query("AGG20", sql(_summary_select(", slice IN ('fam0', 'fam1') AS seen_in_training") + "lg_s", "lg_s"))
 def agg20(spark, sf):
     s = scores(spark, sf)
-    t = P.explode_shared_bona(s, "attack_family", "logo", P.family_list(s, "attack_family"), SEEN)
+    t = P.with_slices(s, [], [P.shared_bona_slices("attack_family", "logo", P.family_list(s, "attack_family"), SEEN)])
     return _out(P.summarize(t), F.col("slice").isin(*SEEN).alias("seen_in_training"))
 
 
@@ -309,7 +308,7 @@ summary_cte("cd", f"SELECT 'cross_dataset' AS protocol, coalesce(dataset, 'unkno
     ),
 )
 def agg21(spark, sf):
-    rows = P.summarize(P.explode_slices(scores(spark, sf), [P.group_slice("dataset", "cross_dataset")]))
+    rows = P.summarize(P.with_slices(scores(spark, sf), [P.group_slice("dataset", "cross_dataset")]))
     return _out(P.cross_dataset(rows, ["ds0"]), "in_domain", r6(F.col("eer_minus_in_domain")).alias("eer_minus_in_domain"))
 
 
@@ -327,7 +326,7 @@ def _attr_keys():
 
 @query("AGG22", sql(_summary_select() + "at_s", "at_s"))
 def agg22(spark, sf):
-    return _out(P.summarize(P.explode_slices(scores(spark, sf), _attr_keys())))
+    return _out(P.summarize(P.with_slices(scores(spark, sf), _attr_keys())))
 
 
 @query("FN31", sql(f"SELECT {SNR_SQL} AS snr_bin, count(*) AS n FROM scores GROUP BY 1", "scores"))
@@ -350,7 +349,7 @@ summary_cte("cn", f"SELECT 'adversarial' AS protocol, coalesce(condition, 'unkno
     ),
 )
 def jon20(spark, sf):
-    rows = P.summarize(P.explode_slices(scores(spark, sf), [P.group_slice("condition", "adversarial")]))
+    rows = P.summarize(P.with_slices(scores(spark, sf), [P.group_slice("condition", "adversarial")]))
     return P.against_clean(rows).select("slice", r6(F.col("eer")).alias("eer"), r6(F.col("eer_minus_clean")).alias("eer_minus_clean"))
 
 
@@ -366,9 +365,8 @@ cte("run_t", f"""SELECT 'overall' AS protocol, 'all' AS slice, {BASE} UNION ALL
 def evaluation_rows(spark, sf):
     """All protocols in one curve pass."""
     s = scores(spark, sf)
-    t = P.explode_slices(s, [P.overall_slice(), *_attr_keys(), P.group_slice("dataset", "cross_dataset")])
-    t = t.unionByName(P.explode_shared_bona(s, "attack_family", "logo", P.family_list(s, "attack_family"), SEEN))
-    return P.summarize(t)
+    keys = [P.overall_slice(), *_attr_keys(), P.group_slice("dataset", "cross_dataset")]
+    return P.summarize(P.with_slices(s, keys, [P.shared_bona_slices("attack_family", "logo", P.family_list(s, "attack_family"), SEEN)]))
 
 
 @query("JOB14", sql(_summary_select() + "run_s", "run_s"))

@@ -114,3 +114,39 @@ def test_fairness_gate_has_four_outcomes(spark):
 def test_ratio_is_infinite_when_one_group_has_no_errors(spark):
     g = spark.createDataFrame([("a", "x", 50, 0.0), ("a", "y", 50, 0.2)], "attribute string, group string, n_bona long, fpr double")
     assert fairness.gap_and_ratio(g).collect()[0].ratio == float("inf")
+
+
+def _some_trials(spark, n=3000):
+    r = np.random.default_rng(5)
+    rows = [("spoof" if k else "bona_fide", None if v > 2.5 else float(np.round(v, 2)), float(p), f"g{g}" if g < 3 else None) for k, v, p, g in zip(r.integers(0, 2, n), r.normal(0, 1, n), r.random(n), r.integers(0, 4, n), strict=True)]
+    return spark.createDataFrame([*rows, ("spoof", 0.5, 0.5, "one")], "label string, score double, p_spoof double, grp string")
+
+
+@pytest.mark.parametrize("most", [1 << 17, 0])
+def test_sliced_metrics_equal_one_curve_per_slice(spark, monkeypatch, most):
+    """Streamed ranges give the metrics of a plain curve; trials without a slice, NULL scores and one-class slices are among them."""
+    monkeypatch.setattr(curves, "MAX_SETS", most)
+    df = _some_trials(spark)
+    keys = [F.when(F.col("grp").isNotNull(), P.slice_key("g", F.col("grp"))), F.when(F.col("score") > 0, P.overall_slice())]
+    t = P.with_slices(df, keys)
+    got = {r.slice: r for r in P.summarize(t).collect()}
+    each = t.select("*", F.inline(P.SLICES))
+    want = {r.slice: r for r in curves.curve_metrics(curves.detection_curve(each, P.KEYS), P.KEYS).collect()}
+    assert set(got) == {"g0", "g1", "g2", "one", "all"} == set(want) and got["one"].eer is None
+    for k, w in want.items():
+        assert (got[k].n_bona, got[k].n_spoof) == (w.n_bona, w.n_spoof)
+        for m in ("eer", "min_dcf", "auc", "pauc"):
+            assert getattr(got[k], m) is None if getattr(w, m) is None else abs(getattr(got[k], m) - getattr(w, m)) < 1e-9
+
+
+def test_trials_are_not_dealt_per_slice(spark):
+    """Ten slices of a trial send no more than one row of it: the rows that are ranged do not grow with the slices."""
+    df, sizes = _some_trials(spark), []
+    kept = curves.range_parts
+    try:
+        curves.range_parts = lambda d, by: sizes.append(d.count()) or kept(d, by)
+        for k in (1, 10):
+            P.summarize(P.with_slices(df, [P.slice_key(f"p{i}", F.lit("all")) for i in range(k)]))
+    finally:
+        curves.range_parts = kept
+    assert sizes[0] == sizes[1]
