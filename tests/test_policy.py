@@ -77,3 +77,19 @@ def test_held_sessions_make_an_erasure_partial(spark):
     h = spark.createDataFrame([("t", 11)], "tenant_id string, session_id long")
     todo, out = G.subject_erasure(m, h)
     assert [r.bundle_id for r in todo.collect()] == ["b1"] and out.collect()[0].outcome == "partial"
+
+
+def test_subject_matches_are_distinct_without_shuffling_pairs(spark):
+    """Repeated rows, NULL keys and several matching keys give each pair once, and nothing is dealt after the joins."""
+    from sonorisk.operators import governance as G
+
+    ev = [("b1", 1, "t", "i1", "n1"), ("b1", 1, "t", "i1", "n1"), ("b1", 1, "t", "i2", "n2"), ("b2", 2, "t", None, "n1"), ("b3", 3, "u", "i1", "n1"), ("b4", 4, None, "i1", "n1"), (None, 5, "t", "i9", "n9")]
+    su = [(7, "t", "i1", "n1"), (7, "t", "i2", "n1"), (7, "t", "i1", "n1"), (8, "t", None, "n2"), (None, "t", "i9", None), (9, "u", "i2", "n3")]
+    e = spark.createDataFrame(ev, "bundle_id string, session_id long, tenant_id string, claimed_identity_id string, caller_number string")
+    s = spark.createDataFrame(su, "subject_id long, tenant_id string, identity string, number string")
+    want = {(k, b, x, t) for b, x, t, i, n in ev for k, u, j, m in su if t is not None and t == u and ((i is not None and i == j) or (n is not None and n == m))}
+    got = G.subject_evidence(e, s)
+    rows = [tuple(r) for r in got.select("subject_id", "bundle_id", "session_id", "tenant_id").collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") == 0
