@@ -121,12 +121,13 @@ def udf07(spark, sf):
 
 @query("UDF08")
 def udf08(spark, sf):
-    def miss_at_median(b, s):
+    def at_median(frr, far):
         import numpy as np
 
-        share = np.cumsum(b, axis=1) / b.sum(axis=1, keepdims=True)
-        return 1 - (np.cumsum(s, axis=1) / s.sum(axis=1, keepdims=True))[np.arange(len(b)), np.argmax(share >= 0.5, axis=1)]
+        i, r = np.argmax(frr >= 0.5, axis=1), np.arange(len(frr))
+        return np.where(frr[r, i] >= 0.5, 0.0, 1.0), far[r, i]
 
+    miss_at_median = bootstrap.ByRange(at_median, lambda frr0, far0, frr, far: (frr0 < 0.5) & (frr >= 0.5))
     return bootstrap.bootstrap_interval(scores(spark, sf), ["gender"], miss_at_median, n=100)
 
 
