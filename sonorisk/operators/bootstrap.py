@@ -226,9 +226,7 @@ def interval(exact: DataFrame, slices: Sequence[str], metric: str | ByRange | Ca
     """``bootstrap_interval`` from class counts (slices, score, n_bona, n_spoof)."""
     slices, metric = list(slices), EER if metric == "eer" else metric
     if metric == "gap" or isinstance(metric, ByRange):
-        ranked = _parted(exact, slices)
-        stats = _replicates(ranked, slices, metric, n, seed)
-        exact = exact if fits_one_task(exact, ONE_TASK) else ranked  # which is checkpointed
+        stats = _replicates(_parted(exact, slices), slices, metric, n, seed)
     else:
         stats = _replicates_of(exact, slices, metric, n, seed)
     drawn = F.when(F.col("_rep") >= 0, F.col("_stat"))
