@@ -18,6 +18,7 @@ from sonorisk.functions.identity import order_hash, unit_hash
 from sonorisk.scale import fold_sorted, materialize, ordered_index, prefix_sums, small_or_plain
 
 SPLITS = ("train", "dev", "eval")
+MAX_PICKS = 1 << 14  # ranks per group that are sent to every executor
 
 
 def license_violations(rows: DataFrame, registry: DataFrame, allow_noncommercial: bool, purpose: str = "train") -> DataFrame:
@@ -165,6 +166,13 @@ def ranked(rows: DataFrame, keys: Sequence[str], seed: int, id_col: str = "utt_i
     return ordered_index(ids, keys, ["_h", id_col], name, limit).drop("_h")
 
 
+def first_ranked(rows: DataFrame, keys: Sequence[str], n: int, seed: int, id_col: str = "utt_id") -> DataFrame:
+    """The first ``n`` of ``ranked`` per group.  Map tasks keep their own first ``n``, so only those are shuffled."""
+    ids = rows.select(*keys, id_col, order_hash(F.col(id_col), seed).alias("_h"))
+    r = ids.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("_h", id_col))).filter(F.col("rank") <= n)
+    return r.withColumn("rank", F.col("rank").cast("long")).drop("_h")
+
+
 def proportional_sample(rows: DataFrame, keys: Sequence[str], n: int, seed: int, id_col: str = "utt_id") -> DataFrame:
     """About n rows, each group proportional and at least one (group share rounded half to even)."""
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_g"))
@@ -256,8 +264,8 @@ def generation_plan(refs: DataFrame, generators: DataFrame, per_generator: int,
     r = refs.filter("label = 'bona_fide'").drop("source_speaker")
     x = r.join(F.broadcast(all_g)).withColumn("g", F.explode("_g")).drop("_g")
     x = x.withColumns({"generator": F.col("g.name"), "task_id": F.concat_ws("__", F.col("g.name"), F.col("utt_id"))})
-    pick = ranked(x, ["generator"], seed, "task_id").filter(F.col("rank") <= per_generator).select("task_id", "rank")
-    t = x.join(pick, "task_id")
+    pick = first_ranked(x, ["generator"], per_generator, seed, "task_id").select("task_id", "rank")
+    t = x.join(F.broadcast(pick) if per_generator <= MAX_PICKS else pick, "task_id")
     speakers = r.groupBy("speaker_id").agg(F.min("utt_id").alias("first_utt"))
     ring = ordered_index(speakers.withColumns({"_h": order_hash(F.col("speaker_id"), seed), "_k": F.lit(1)}), ["_k"], ["_h", "speaker_id"], "pos")
     n = ring.agg(F.max("pos").alias("_n"))
