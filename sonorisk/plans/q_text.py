@@ -265,7 +265,8 @@ _LEXC = "CASE lang WHEN 'hi' THEN " + _LEX("hi") + "".join(f" WHEN '{k}' THEN {_
 )
 def fn24(spark, sf):
     d = docs(spark, sf).withColumn("ws", X.spoken_words(F.col("text")))
-    c = X.disfluency(F.col("ws"), F.col("lang"), F.size("ws") * 300 / 60000.0)
+    d = d.select("doc_id", F.size("ws").alias("n"), X.disfluency_counts(F.col("ws"), F.col("lang")).alias("c"))
+    c = X.disfluency(F.col("c"), F.col("n"), F.col("n") * 300 / 60000.0)
     return d.select("doc_id", *[r6(v).alias(k) for k, v in c.items()])
 
 
