@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import math
+import re
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sonorisk.functions.identity import order_hash
+from sonorisk.scale import literal_table
+
+PIECE_OF_FILE = 128 << 20  # a longer file is hashed piece by piece
 
 MANIFEST = T.StructType(
     [
@@ -183,10 +194,80 @@ def verify_files(registry_files: DataFrame, found: DataFrame) -> DataFrame:
     return j.withColumn("status", status)
 
 
-def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(name, sha256) of files below a folder, hashed where they are read."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return f.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"))
+def file_hashes(spark: SparkSession, path: str, pattern: str = "*", piece: int = PIECE_OF_FILE) -> DataFrame:
+    """(name, sha256) of files below a folder, hashed where they are read.
+
+    A file of more than ``piece`` bytes (a multiple of 128) is read piece by piece, each in a task that goes on from the
+    state of the one before; such files run side by side, when this is called.  Files that Hadoop would unpack, by their
+    suffix, and all files where OpenSSL's library is not shared, are one buffer each, under 2 GiB.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    name, meta = F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("_metadata")
+    whole = files.select(name, F.sha2("content", 256).alias("sha256"))
+    cut = (meta["file_size"] > piece) & ~F.lower(meta["file_name"]).rlike(r"^_|\.(gz|bz2|deflate|snappy|lz4|zst|zstd)$")
+    long = files.filter(cut).select(name, "path", "length").collect() if _sha256_library() else []
+    if not long:
+        return whole
+    with ThreadPoolExecutor(min(len(long), 8)) as pool:
+        shas = [*pool.map(lambda f: _sha256_by_pieces(spark.sparkContext, f.path, f.length, piece), long)]
+    rows = literal_table(spark, [(f.name, sha) for f, sha in zip(long, shas, strict=True)], "name string, sha256 string")
+    return whole.filter(~cut).unionByName(rows)
+
+
+def _sha256_by_pieces(sc: SparkContext, path: str, size: int, piece: int) -> str:
+    """SHA-256 of one file, each piece in its own task; only the state of the hash goes from task to task.
+
+    Hadoop reads whole records alone, and its last split is up to 1.1 pieces long, so ever smaller pieces follow, and at
+    the end records that divide the file.
+    """
+    at = re.sub(r"([\\\[\]{}*?])", r"\\\1", path).replace(",", r"{\,}")  # neither a pattern nor a list
+    state, done, least = _sha256_from(None, b""), 0, piece // 128
+    for split, record in ((piece, least), (piece // 8, least), (least, least), (least, math.gcd(size, least))):
+        if done == size:
+            break
+        conf = {"fixedlengthinputformat.record.length": str(record)} | {f"mapreduce.input.fileinputformat.split.{m}size": str(split) for m in ("min", "max")}
+        rdd = sc.newAPIHadoopFile(at, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+        n = rdd.getNumPartitions()
+        for i in range(done // split, n if size % record == 0 else n - 1):
+            state, done = sc.runJob(rdd, _feed(state, done, max(1, (1 << 20) // record)), [i])
+    if done != size:
+        raise RuntimeError(f"{path}: {done} bytes read of {size}")
+    return _sha256_from(state, b"", end=True).hex()
+
+
+def _feed(state: bytes, done: int, at_once: int) -> Callable[[Iterable[tuple[int, bytes]]], tuple[bytes, int]]:
+    """The state, and the count of the bytes that it has seen, after the records of a piece."""
+
+    def run(records: Iterable[tuple[int, bytes]]) -> tuple[bytes, int]:
+        now, seen, values = state, done, (v for _, v in records)
+        while part := b"".join(islice(values, at_once)):
+            now, seen = _sha256_from(now, part), seen + len(part)
+        return now, seen
+
+    return run
+
+
+def _sha256_library() -> ctypes.CDLL | None:
+    """The OpenSSL library behind ``hashlib``, whose own objects cannot be carried to another task."""
+    try:
+        import _hashlib
+
+        lib = ctypes.CDLL(_hashlib.__file__)
+        lib.SHA256_Update.argtypes = [ctypes.c_void_p, ctypes.c_char_p, ctypes.c_size_t]
+        return lib if lib.SHA256_Init and lib.SHA256_Final else None
+    except (ImportError, AttributeError, OSError):
+        return None
+
+
+def _sha256_from(state: bytes | None, part: bytes, end: bool = False) -> bytes:
+    """The state (or at the end the digest) after more bytes; OpenSSL's SHA256_CTX, 112 bytes, holds all of it."""
+    lib, ctx, out = _sha256_library(), ctypes.create_string_buffer(state or b"", 112), ctypes.create_string_buffer(32)
+    if state is None:
+        lib.SHA256_Init(ctx)
+    lib.SHA256_Update(ctx, part, len(part))
+    if end:
+        lib.SHA256_Final(out, ctx)
+    return out.raw if end else ctx.raw
 
 
 def expand_templates(templates: DataFrame, slots: dict[str, DataFrame], per_template: int, seed: int) -> DataFrame:
